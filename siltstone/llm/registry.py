@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, licenses, quality
+from siltstone.llm import bpe, licenses, minhash, quality
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels and places of every document."""
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
@@ -33,7 +38,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {f.__name__: f for f in (op5_license_scan, op7_quality_rules, op8_byte_bpe)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op5_license_scan, op7_quality_rules, op8_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
