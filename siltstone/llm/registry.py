@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, licenses, minhash, quality
+from siltstone.llm import bpe, decontaminate, licenses, minhash, quality
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,9 +36,14 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents leak benchmark items."""
+    return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op5_license_scan, op7_quality_rules, op8_byte_bpe)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op5_license_scan, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
