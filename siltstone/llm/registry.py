@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, decontaminate, licenses, minhash, quality
+from siltstone.llm import bpe, decontaminate, html, licenses, minhash, quality
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return minhash.classes(table(spark, sf_dir, "documents"))
@@ -43,7 +48,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op5_license_scan, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_html_extraction, op3_minhash_near_dedup, op5_license_scan, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
