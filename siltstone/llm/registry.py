@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, decontaminate, html, licenses, minhash, quality
+from siltstone.llm import bpe, ctw, decontaminate, html, licenses, minhash, quality
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and context-tree scores of every document."""
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -48,7 +53,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_html_extraction, op3_minhash_near_dedup, op5_license_scan, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_html_extraction, op3_minhash_near_dedup, op5_license_scan, op6_lm_scoring, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
