@@ -7,9 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, ctw, decontaminate, html, licenses, minhash, quality
+from siltstone.llm import bpe, ctw, decontaminate, html, licenses, minhash, pii, quality
 from siltstone.llm.common import table
 
+#: The key of the surrogates in these queries; a deployment passes its own.
+PII_KEY = "siltstone"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,6 +20,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return pii.replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="n_entities")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return minhash.classes(table(spark, sf_dir, "documents"))
@@ -53,7 +60,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_html_extraction, op3_minhash_near_dedup, op5_license_scan, op6_lm_scoring, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_pii_surrogates, op3_minhash_near_dedup, op5_license_scan, op6_lm_scoring, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
