@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, ctw, decontaminate, html, licenses, minhash, pii, quality
+from siltstone.llm import bpe, chat, ctw, decontaminate, html, licenses, minhash, pii, quality, warc
 from siltstone.llm.common import table
 
 #: The key of the surrogates in these queries; a deployment passes its own.
@@ -30,6 +30,11 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit among the pages' captures with the response that it revisits."""
+    return warc.digest_of(warc.resolve(warc.captures(table(spark, sf_dir, "pages"))))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels and places of every document."""
     return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
@@ -53,6 +58,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op9_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation with an answer as a preference pair."""
+    return chat.digest(chat.preferences(*chat.answers_swapped(table(spark, sf_dir, "conversations"))))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents leak benchmark items."""
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -60,9 +70,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return {f.__name__: f for f in (op1_html_extraction, op2_pii_surrogates, op3_minhash_near_dedup, op5_license_scan, op6_lm_scoring, op7_quality_rules, op8_byte_bpe, op10_benchmark_decontamination)}
+    made = (
+        op1_html_extraction,
+        op2_pii_surrogates,
+        op3_minhash_near_dedup,
+        op4_warc_revisits,
+        op5_license_scan,
+        op6_lm_scoring,
+        op7_quality_rules,
+        op8_byte_bpe,
+        op9_preference_formatting,
+        op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return {"op4_warc_revisits": warc.SQL, "op9_preference_formatting": chat.SQL}
