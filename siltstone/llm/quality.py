@@ -1,8 +1,8 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions alone.
 
-measured() takes each text's statistics; verdicts() estimates, per language and source, the minimum covariance determinant
-of their transforms by concentration steps (each keeps the rows nearest to the current estimate) from two starts, keeps
-the start of the smaller determinant, and rejects rows of a large Mahalanobis distance.
+measured() takes each text's statistics; fitted() estimates, per language and source, the minimum covariance determinant of
+their transforms by concentration steps (each keeps the rows nearest to the current estimate) from two starts; judged()
+takes the start of the smaller determinant and rejects rows of a large Mahalanobis distance.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ CONSISTENCY = 1.486
 CUTOFF = 42.0
 #: Rows that a group needs for an estimate of its own; the rows of smaller ones are taken by language.
 LEAST = 60
+#: Groups, at most, whose numbers (under 1 kB each) are sent to every executor; more are joined by salted keys.
+SENT, SALTS = 20_000, 64
 #: Concentration steps.
 STEPS = 3
 #: Words that an average text adds to each text, so that the shares of a short one are not wild.
@@ -135,22 +137,35 @@ def _factored(moments: DataFrame, keys: list[str], s: int) -> DataFrame:
     return out.select(*keys, *kept)
 
 
-def verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """measured() rows with distance2 (squared, robust; null where no estimate is made) and kept.
+def _keyed(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """stats with its group: (language, source), nulls being values of their own, and a salt."""
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    salt = F.floor(F.rand(11) * SALTS).cast("int")
+    return stats.withColumns({"_lang": name(lang_col), "_source": name(source_col), "_salt": salt})
 
-    Groups are (language, source), nulls being values of their own; groups of under LEAST rows are pooled by language,
-    and a pool of under LEAST rows has no estimate and keeps what the base rules keep. Rows that fail the base rules
-    take no part in the estimates. Every step sums per group before it shuffles, and the groups' few numbers come back
-    by a join that Spark broadcasts while they are small and splits by skew otherwise.
+
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows (with _salt) joined with a row a group: sent to every executor if there are at most SENT groups, else salted."""
+    if groups.count() <= SENT:
+        return rows.join(F.broadcast(groups), keys, how)
+    spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(spread, [*keys, "_salt"], how)
+
+
+def fitted(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """A row a (language, source) of measured() rows: mean, inverse Cholesky factor and log determinant of both starts, null
+    where there is no estimate.
+
+    Groups of under LEAST rows that pass the base rules are pooled by language; a pool of under LEAST rows has none. All
+    sums are taken per task before they move.
     """
     keys = ["_lang", "_source"]
-    rows = stats.withColumns({"_row": F.monotonically_increasing_id(), "_lang": F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")), "_source": F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))})
-    rows = settled(rows.withColumns({f"_x{i}": x for i, x in enumerate(_vector())}))
     x = [F.col(f"_x{i}") for i in range(_P)]
-    good = rows.where(~F.col("base_failed")).select(*keys, *x)
-    sizes = good.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_own", F.when(F.col("_n") >= LEAST, F.col("_source")).otherwise(F.lit("*")))
-    sizes = settled(sizes.select(*keys, "_own"))
-    good = good.join(sizes, keys).withColumn("_source", F.col("_own")).drop("_own")
+    good = _keyed(stats, lang_col, source_col).where(~F.col("base_failed"))
+    good = settled(good.select(*keys, "_salt", *[v.alias(f"_x{i}") for i, v in enumerate(_vector())]))
+    sizes = good.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sizes = settled(sizes.select(*keys, F.when(F.col("_n") >= LEAST, F.col("_source")).otherwise(F.lit("*")).alias("_own")))
+    good = settled(_met(good, sizes, keys).withColumn("_source", F.col("_own")).drop("_own"))
 
     def core(cut: list[Column], inside: list[Column]) -> list[Column]:
         """Sums over the rows inside each start's core."""
@@ -164,19 +179,32 @@ def verdicts(stats: DataFrame, lang_col: str = "lang", source_col: str = "source
 
     # The starts: distance from the medians in units of the middle half, summed (0) and at its largest (1).
     quarter = good.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"_q{i}") for i, c in enumerate(x)])
-    quarter = quarter.where(F.col("_n") >= LEAST).drop("_n")
+    quarter = settled(quarter.where(F.col("_n") >= LEAST).drop("_n"))
     z = [(x[i] - F.col(f"_q{i}")[1]) / (F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0] + FLOOR[i]) for i in range(_P)]
     near = [_total([a * a for a in z]), F.greatest(*[F.abs(a) for a in z])]
-    at, current = good.join(quarter, keys), None
+    at, current = _met(good, quarter, keys), None
     for _ in range(STEPS):
-        placed = at.select(*keys, *x, near[0].alias("_d0"), near[1].alias("_d1"))
-        cuts = placed.groupBy(*keys).agg(*[F.percentile_approx(f"_d{s}", CORE, 2000).alias(f"_cut{s}") for s in (0, 1)])
-        sums = placed.join(cuts, keys).groupBy(*keys).agg(*core([F.col("_cut0"), F.col("_cut1")], [F.col("_d0"), F.col("_d1")]))
-        current = _factored(sums, keys, 0).join(_factored(sums, keys, 1), keys)
-        current = settled(current)
-        at = good.join(current, keys)
-        near = [_squared(x, {(i, j): F.col(f"v{s}_{i}_{j}") for i in range(_P) for j in range(i + 1)}, [F.col(f"m{s}_{i}") for i in range(_P)]) for s in (0, 1)]
-    found = rows.join(sizes, keys, "left").withColumn("_source", F.coalesce(F.col("_own"), F.lit("*"))).join(current, keys, "left")
+        placed = at.select(*keys, "_salt", *x, near[0].alias("_d0"), near[1].alias("_d1"))
+        cuts = settled(placed.groupBy(*keys).agg(*[F.percentile_approx(f"_d{s}", CORE, 2000).alias(f"_cut{s}") for s in (0, 1)]))
+        sums = _met(placed, cuts, keys).groupBy(*keys).agg(*core([F.col("_cut0"), F.col("_cut1")], [F.col("_d0"), F.col("_d1")]))
+        sums = settled(sums)
+        current = settled(_factored(sums, keys, 0).join(_factored(sums, keys, 1), keys))
+        at, near = _met(good, current, keys), _distances(x)
+    own = sizes.select("_lang", F.col("_source").alias("_group"), F.col("_own").alias("_source"))
+    return settled(own.join(current, keys, "left").drop("_source").withColumnRenamed("_group", "_source"))
+
+
+def _distances(x: list[Column]) -> list[Column]:
+    return [_squared(x, {(i, j): F.col(f"v{s}_{i}_{j}") for i in range(_P) for j in range(i + 1)}, [F.col(f"m{s}_{i}") for i in range(_P)]) for s in (0, 1)]
+
+
+def judged(stats: DataFrame, groups: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """measured() rows with distance2 (squared, robust; null where there is no estimate) and kept, by fitted() groups.
+
+    A row without an estimate is kept if it passes the base rules.
+    """
+    found = _met(_keyed(stats, lang_col, source_col), groups, ["_lang", "_source"], "left")
+    near = _distances(_vector())
     found = found.withColumn("distance2", F.when(F.col("det0_0") <= F.col("det1_0"), near[0]).otherwise(near[1]))
     found = found.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF))
     return found.select(*stats.columns, "distance2", "kept")

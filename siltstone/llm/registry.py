@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.llm import bpe, chat, ctw, decontaminate, html, licenses, minhash, pii, quality, warc
-from siltstone.llm.common import table
+from siltstone.llm.common import settled, table
 
 #: The key of the surrogates in these queries; a deployment passes its own.
 PII_KEY = "siltstone"
@@ -48,7 +48,8 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of every document and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    found = quality.verdicts(quality.measured(docs).drop("text"))
+    stats = settled(quality.measured(docs).drop("text"))
+    found = quality.judged(stats, quality.fitted(stats))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance2")
 
 
