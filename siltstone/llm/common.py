@@ -33,12 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset.
+    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset. The shuffle files
+    that led to df are freed when the driver collects its garbage, which it is asked to do here: jobs of many steps would
+    otherwise fill the executors' disks with them.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    context._jvm.System.gc()
+    return kept
 
 
 def mix(x: np.ndarray) -> np.ndarray:
