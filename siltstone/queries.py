@@ -158,6 +158,22 @@ def delta_two_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.delta(o.where("y <= 1997").drop("y"), o.where("y > 1997").drop("y"), ["k"], "fp", F.col("k") % 2 == 0).select("o_orderkey", "side", "stage")
 
 
+_ALL_SNAP = "SELECT o_custkey AS k, o_orderpriority AS fp, o_orderkey, CASE WHEN year(o_orderdate) <= 1997 THEN 'base' ELSE 'head' END AS side FROM orders"
+
+
+@sql(
+    f"""WITH s AS ({_ALL_SNAP}), c AS (SELECT *, count(*) FILTER (side = 'base') OVER (PARTITION BY k) AS b, count(*) FILTER (side = 'head') OVER (PARTITION BY k) AS h,
+      count(*) FILTER (side = 'base') OVER (PARTITION BY k, fp) AS pb, count(*) FILTER (side = 'head') OVER (PARTITION BY k, fp) AS ph FROM s),
+    d AS (SELECT *, CASE WHEN k % 2 = 0 AND b = 1 AND h = 1 THEN 'identity' WHEN pb = 1 AND ph = 1 THEN 'fingerprint' END AS st FROM c),
+    e AS (SELECT *, bool_or(side = 'base' AND st IS NULL) OVER (PARTITION BY k) AS lb, bool_or(side = 'head' AND st IS NULL) OVER (PARTITION BY k) AS lh FROM d)
+    SELECT o_orderkey, side, coalesce(st, CASE WHEN lb AND lh THEN 'undetermined' WHEN CASE side WHEN 'base' THEN pb ELSE ph END > 1 THEN 'duplicate' ELSE 'only' END) AS stage FROM e"""
+)
+def delta_two_snapshots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of two snapshots of all orders corresponds, by identity, by fingerprint, or not."""
+    o = Tables(spark, sf_dir).orders.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("fp"), "o_orderkey", F.year("o_orderdate").alias("y"))
+    return matching.delta(o.where("y <= 1997").drop("y"), o.where("y > 1997 or y is null").drop("y"), ["k"], "fp", F.col("k") % 2 == 0).select("o_orderkey", "side", "stage")
+
+
 @sql("SELECT a.doc_id AS base_doc, b.doc_id AS head_doc FROM (SELECT sha256(text) AS f, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 0 GROUP BY 1 HAVING count(*) = 1) a JOIN (SELECT sha256(text) AS f, min(doc_id) AS doc_id FROM documents WHERE doc_id % 2 = 1 GROUP BY 1 HAVING count(*) = 1) b ON a.f = b.f")
 def delta_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of even and odd number that match by a fingerprint that is unique on either side."""
@@ -324,6 +340,27 @@ def referrers_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.referrers(t.nation.select("n_nationkey"), "n_nationkey", _few_edges(t))
 
 
+_ALL_EDGES = f"e AS ({SQL['edges_dedup']})"
+
+
+@sql(f"WITH RECURSIVE {_ALL_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
+def reach_recursive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs joined by a path of any edges."""
+    return graphs.reach(edges_dedup(spark, sf_dir))
+
+
+@sql(f"WITH RECURSIVE {_ALL_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src AS node FROM r WHERE src = dst")
+def cycle_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes on cycles of any edges."""
+    return graphs.cycle_nodes(edges_dedup(spark, sf_dir))
+
+
+@sql(f"WITH {_ALL_EDGES} SELECT n_nationkey, coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) FROM e WHERE dst = n_nationkey), '') AS referrers FROM nation")
+def referrers_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who refers to each node, by any edge."""
+    return graphs.referrers(Tables(spark, sf_dir).nation.select("n_nationkey"), "n_nationkey", edges_dedup(spark, sf_dir))
+
+
 @sql(
     """WITH b AS (SELECT p_partkey, u.* FROM part, (VALUES ('')) x, LATERAL (VALUES ('', 'map', NULL), ('name', 'str', p_name), ('size', 'int', p_size::VARCHAR)) u(path, vt, sv) WHERE p_partkey % 10 <> 3),
     h AS (SELECT p_partkey, u.* FROM part, LATERAL (VALUES ('', 'map', NULL), ('name', 'str', CASE WHEN p_partkey % 10 = 5 THEN upper(p_name) ELSE p_name END), ('size', CASE WHEN p_partkey % 10 = 6 THEN 'str' ELSE 'int' END, p_size::VARCHAR)) u(path, vt, sv)
