@@ -3,14 +3,14 @@
 1. Document frequencies of five-word shingles are summed in a table of CELLS counters (a count-min sketch of one row: of
    fixed size, so it can be sent everywhere; each count is the true one or above). A shingle weighs
    tf * (1 + ln((N + 1) / (df + 1))).
-2. Each text gets SAMPLES weighted samples, BANDS bands of ROWS. A text of fewer than SPLIT_AT * OVERLAP shingles takes
+2. Each text gets SAMPLES weighted and SAMPLES plain samples, BANDS bands of ROWS of each kind. A text of fewer than SPLIT_AT * OVERLAP shingles takes
    each sample from all its shingles; one of SPLIT_AT or more deals its shingles over the samples and takes each from its
    own share (an empty one borrows its neighbour's), so that the work is one evaluation a shingle. Texts between the two
    bounds do both: texts of similarity 0.8 or more always have a scheme in common.
 3. Copies are one node (equal words). In each bucket every node is compared with the most central one; then all pairs of
    nodes of a bucket that are not in one component yet: directly where a bucket has few components, by an exact prefix
-   filter and finer bands over the nodes of the others. Pairs whose samples agree less than a third as often as they should are left
-   out; the others are verified on whole texts, by weighted or plain Jaccard similarity.
+   filter and finer bands, weighted and plain, over the nodes of the others. Pairs whose weighted and whose plain samples
+   agree less than a third as often as they should are left out; the others are verified on whole texts, by weighted or plain Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -36,7 +36,9 @@ SAMPLES = BANDS * ROWS
 SPLIT_AT, OVERLAP = 128, 1.6
 #: Counters of the document frequencies.
 CELLS = 1 << 20
-#: Samples that a pair must agree on to be verified; at similarity 0.6 fewer agree once in 10^5 times.
+#: Weighted samples by either scheme, then plain ones; a link of either similarity has samples of its own.
+SAMPLED = ("first", "second", "plain_first", "plain_second")
+#: Samples of one kind that a pair must agree on to be verified; at similarity 0.6 fewer agree once in 10^5 times.
 AGREEING = 10
 
 #: Components of a bucket up to which all its pairs are taken; beyond that its nodes go through a prefix filter and finer
@@ -121,11 +123,11 @@ class Shingles:
         return out
 
 
-def samples(s: Shingles, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Samples of each text by the first scheme and by the second, and which texts have each."""
+def samples(s: Shingles, idf: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Samples of each text by the first scheme and by the second, and which texts have each; plain: all shingles weigh alike."""
     n_texts = len(s.bounds) - 1
     size = np.diff(s.bounds)
-    log_w = np.log(s.weights(idf))
+    log_w = np.zeros(len(s.hashes)) if plain else np.log(s.weights(idf))
     whole, dealt = (size > 0) & (size < SPLIT_AT * OVERLAP), size >= SPLIT_AT
     first, second = np.zeros((n_texts, SAMPLES), np.uint64), np.zeros((n_texts, SAMPLES), np.uint64)
 
@@ -166,22 +168,22 @@ def _bands(sample: np.ndarray, scheme: int) -> np.ndarray:
     return mix(out + (np.arange(BANDS, dtype=np.uint64) * _U(2) + _U(scheme)) * _PLACE[4])
 
 
-def fine_bands(s: Shingles) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each of the finer bands of each text, and a byte of each of their samples; all shingles weigh alike."""
+def fine_bands(s: Shingles, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each of the finer bands of each text, and a byte of each of their samples; without weights all weigh alike."""
     n_texts, n_samples = len(s.bounds) - 1, FINE_BANDS * FINE_ROWS
     out, marks = np.zeros((n_texts, FINE_BANDS), np.uint64), np.zeros((n_texts, n_samples), np.int8)
     if len(s.hashes):
         begins = np.flatnonzero(np.append(True, s.owner[1:] != s.owner[:-1]))
         counts = np.diff(np.append(begins, len(s.owner)))
-        even = np.zeros(len(s.hashes))
+        log_w = np.zeros(len(s.hashes)) if weights is None else np.log(weights)
         for k in range(n_samples):
-            a, _ = _draw(mix(s.hashes ^ mix(_SEED[0] + _U(k + 1) * _PLACE[3])), even)
+            a, t = _draw(mix(s.hashes ^ mix(_SEED[0] + _U(k + 1) * _PLACE[3])), log_w)
             won = np.flatnonzero(a == np.repeat(np.minimum.reduceat(a, begins), counts))[::-1]
             sample = np.zeros(n_texts, np.uint64)
-            sample[s.owner[won]] = mix(s.hashes[won])
+            sample[s.owner[won]] = mix(s.hashes[won] ^ (t[won].astype(np.int64).astype(np.uint64) * _PLACE[6]))
             out[:, k // FINE_ROWS] += sample * _PLACE[k % FINE_ROWS]
             marks[:, k] = (sample & _U(255)).astype(np.uint8).view(np.int8)
-    return mix(out + (np.arange(FINE_BANDS, dtype=np.uint64) + _U(1000)) * _PLACE[4]), marks
+    return mix(out + (np.arange(FINE_BANDS, dtype=np.uint64) + _U(1000 if weights is None else 2000)) * _PLACE[4]), marks
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text", words: int = SHINGLE) -> tuple[np.ndarray, int]:
@@ -210,7 +212,7 @@ def _signed(x: np.ndarray) -> list:
 
 
 def signatures(docs: DataFrame, idf, id_col: str, text_col: str, words: int = SHINGLE) -> DataFrame:  # noqa: ANN001
-    """id, key (of id and text), fp, bands, and the samples by either scheme (null where it does not apply)."""
+    """id, key (of id and text), fp, bands, and the weighted and plain samples by either scheme (null where it does not apply)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
@@ -218,33 +220,36 @@ def signatures(docs: DataFrame, idf, id_col: str, text_col: str, words: int = SH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            fp, bands, first, second = [], [], [], []
+            fp, bands, drawn = [], [], {name: [] for name in SAMPLED}
             for a, b in chunks(texts):
                 s = Shingles(texts[a:b], words)
                 fp += s.fingerprints(texts[a:b])
-                one, two, whole, dealt = samples(s, idf.value)
-                bands_1, bands_2 = _signed(_bands(one, 0).view(np.int64)), _signed(_bands(two, 1).view(np.int64))
-                short_1, short_2 = (x.astype(np.uint32).view(np.int32).tolist() for x in (one & _U(0xFFFFFFFF), two & _U(0xFFFFFFFF)))
-                for i, (w, d) in enumerate(zip(whole.tolist(), dealt.tolist(), strict=True)):
-                    bands.append((bands_1[i] if w else []) + (bands_2[i] if d else []))
-                    first.append(short_1[i] if w else None)
-                    second.append(short_2[i] if d else None)
+                own: list[list[int]] = [[] for _ in range(b - a)]
+                for plain in (False, True):
+                    one, two, whole, dealt = samples(s, idf.value, plain)
+                    for scheme, (sample, has) in enumerate(((one, whole), (two, dealt))):
+                        made = _signed(_bands(sample, scheme + 2 * BANDS * plain).view(np.int64))
+                        short = (sample & _U(0xFFFFFFFF)).astype(np.uint32).view(np.int32).tolist()
+                        drawn[SAMPLED[2 * plain + scheme]] += [x if h else None for x, h in zip(short, has.tolist(), strict=True)]
+                        for i in np.flatnonzero(has).tolist():
+                            own[i] += made[i]
+                bands += own
             ints = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(first, ints), pa.array(second, ints)], ["id", "key", "fp", "bands", "first", "second"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(fp, pa.binary()), pa.array(bands, pa.list_(pa.int64())), *[pa.array(drawn[x], ints) for x in SAMPLED]], ["id", "key", "fp", "bands", *SAMPLED])
 
-    return kept.mapInArrow(run, f"id {kind}, key bigint, fp binary, bands array<bigint>, first array<int>, second array<int>")
+    return kept.mapInArrow(run, f"id {kind}, key bigint, fp binary, bands array<bigint>, " + ", ".join(f"{x} array<int>" for x in SAMPLED))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, idf, id_col: str, text_col: str, threshold: float, words: int) -> DataFrame:  # noqa: ANN001
     """The pairs (a, b) of nodes that are similar, each with its weighted and its plain similarity."""
-    signed = nodes.select("fp", "key", "first", "second")
+    signed = nodes.select("fp", "key", *SAMPLED)
     ends = [signed.select(*[F.col(c).alias(f"{c}_{s}") for c in signed.columns]) for s in "ab"]
     both = pairs.join(ends[0], pairs["a"] == ends[0]["fp_a"]).join(ends[1], F.col("b") == ends[1]["fp_b"])
 
     def agree(x: str) -> F.Column:
         return F.aggregate(F.zip_with(f"{x}_a", f"{x}_b", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, y: n + y)
 
-    both = both.where(F.coalesce(agree("first"), agree("second")) >= AGREEING).select("a", "b", "key_a", "key_b")
+    both = both.where(F.greatest(F.coalesce(agree("first"), agree("second")), F.coalesce(agree("plain_first"), agree("plain_second"))) >= AGREEING).select("a", "b", "key_a", "key_b")
     both = settled(both)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sought = both.select(F.col("key_a").alias("key")).unionByName(both.select(F.col("key_b").alias("key"))).distinct()
@@ -299,8 +304,8 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, docs: DataFrame, idf, id_co
     With the shingles in one order, here from rare to frequent among the members, similar texts share one among their
     first: without these, less than `threshold` of a text is left, by number and by weight. Texts that share none of
     theirs, as copies with many edits, drop out, exactly and at a cost that is linear in their length. Those left meet in
-    bands of more samples, of plain similarity: a weighted link without a plain one may be missed here, where buckets are
-    crowded.
+    bands of more samples, weighted and plain ones apart: a pair of either similarity meets in, and is judged by, the marks of
+    its kind.
     """
     known = members.join(nodes.select("fp", "key"), "fp")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -308,21 +313,23 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, docs: DataFrame, idf, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column("text").to_pylist(), [[], [], [], []]
+            texts, out = batch.column("text").to_pylist(), [[] for _ in range(6)]
             for a, b in chunks(texts):
                 s = Shingles(texts[a:b], words)
                 w = s.weights(idf.value)
-                fine, marks = fine_bands(s)
-                out[3] += list(marks)
-                for i, bands in enumerate(_signed(fine.view(np.int64))):
+                for j, weights in ((2, None), (4, w)):
+                    fine, marks = fine_bands(s, weights)
+                    out[j] += [x if s.bounds[i] < s.bounds[i + 1] else [] for i, x in enumerate(_signed(fine.view(np.int64)))]
+                    out[j + 1] += list(marks)
+                for i in range(b - a):
                     at = slice(s.bounds[i], s.bounds[i + 1])
                     out[0].append(s.hashes[at].view(np.int64))
                     out[1].append(w[at])
-                    out[2].append(bands if s.bounds[i] < s.bounds[i + 1] else [])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out[0], longs), pa.array(out[1], pa.list_(pa.float64())), pa.array(out[2], longs), pa.array(out[3], pa.list_(pa.int8()))], ["key", "shingles", "weights", "fine", "marks"])
+            longs, tiny = pa.list_(pa.int64()), pa.list_(pa.int8())
+            kinds = (longs, pa.list_(pa.float64()), longs, tiny, longs, tiny)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(x, k) for x, k in zip(out, kinds, strict=True)]], ["key", "shingles", "weights", "fine", "marks", "fine_w", "marks_w"])
 
-    made = settled(texts.mapInArrow(run, "key bigint, shingles array<bigint>, weights array<double>, fine array<bigint>, marks array<tinyint>"))
+    made = settled(texts.mapInArrow(run, "key bigint, shingles array<bigint>, weights array<double>, fine array<bigint>, marks array<tinyint>, fine_w array<bigint>, marks_w array<tinyint>"))
     each = made.select("key", F.explode(F.arrays_zip("shingles", "weights")).alias("x")).select("key", F.col("x.shingles").alias("shingle"), F.col("x.weights").alias("w"))
     often = each.groupBy("shingle").agg(F.count("*").alias("df"))
     ordered = each.join(often, "shingle").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "w"))).alias("all"), F.sum("w").alias("weight"))
@@ -331,7 +338,9 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, docs: DataFrame, idf, id_co
     by_weight = F.aggregate("all", start, lambda acc, x: F.struct((acc["sum"] + x["w"]).alias("sum"), (acc["n"] + (acc["sum"] <= free * F.col("weight")).cast("int")).alias("n")))["n"]
     by_number = F.floor(free * F.size("all")).cast("int") + 1
     shared = ordered.where(F.exists(F.slice("all", 1, F.greatest(by_weight, by_number)), lambda x: x["df"] > 1)).select("key")
-    placed = settled(made.join(shared, "key").join(known, "key").select(F.explode("fine").alias("bucket"), "fp", "root", "marks"))
+    left = made.join(shared, "key").join(known, "key")
+    kinds = [left.select(F.explode(f"fine{x}").alias("bucket"), "fp", "root", F.col(f"marks{x}").alias("marks")) for x in ("", "_w")]
+    placed = settled(kinds[0].unionByName(kinds[1]))
     held = placed.select("bucket", "root").distinct()
     several = held.groupBy("bucket").agg(F.count("*").alias("roots")).where("roots > 1").select("bucket")
     return _across(held.join(several, "bucket"), placed)
@@ -343,7 +352,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, threshold: float, words
     frequency, n = document_frequencies(docs, text_col, words)
     idf = spark.sparkContext.broadcast((1 + np.log((n + 1) / (frequency + 1))).clip(1))
     rows = settled(signatures(docs, idf, id_col, text_col, words))
-    nodes = settled(rows.groupBy("fp").agg(F.min(F.struct("id", "key"))["key"].alias("key"), F.first("bands").alias("bands"), F.first("first").alias("first"), F.first("second").alias("second")))
+    nodes = settled(rows.groupBy("fp").agg(F.min(F.struct("id", "key"))["key"].alias("key"), F.first("bands").alias("bands"), *[F.first(x).alias(x) for x in SAMPLED]))
     buckets = nodes.select("fp", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = settled(buckets.join(sizes, "bucket"))

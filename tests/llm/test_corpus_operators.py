@@ -81,6 +81,64 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash.classes(docs.limit(0)).count() == 0 and minhash.deduplicated(docs.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def passages():
+    """(doc_id, text): 280 texts with one passage, and 20 texts of rare words beside their copies with that passage."""
+    rng = random.Random(11)
+    words = vocabulary(rng, 40000)
+    passage = " ".join(rng.choices(words, k=97))
+    bases = [" ".join(rng.choices(words, k=120)) for _ in range(20)]
+    texts = [x for b in bases for x in (b, b + " " + passage)] + [passage + " " + " ".join(rng.choices(words, k=30)) for _ in range(280)]
+    return list(enumerate(texts))
+
+
+def brute_links(docs, rows):
+    """Pairs whose similarity is 0.8 or more: weighted ones, plain ones."""
+    frequency, n = minhash.document_frequencies(docs)
+    s = minhash.Shingles([t for _, t in rows])
+    w = s.weights((1 + np.log((n + 1) / (frequency + 1))).clip(1))
+    bags = [dict(zip(s.hashes[a:b].tolist(), w[a:b].tolist(), strict=True)) for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]
+    found = (set(), set())
+    for i in range(len(rows)):
+        for j in range(i):
+            x, y = bags[i], bags[j]
+            if both := x.keys() & y.keys():
+                shared = sum(min(x[k], y[k]) for k in both)
+                if shared >= 0.8 * (sum(x.values()) + sum(y.values()) - shared):
+                    found[0].add((j, i))
+                if len(both) >= 0.8 * (len(x) + len(y) - len(both)):
+                    found[1].add((j, i))
+    return found
+
+
+def test_weighted_links_hold_in_crowded_buckets(spark, passages):
+    docs = spark.createDataFrame(passages, "doc_id long, text string")
+    weighted, plain = brute_links(docs, passages)
+    assert len(weighted - plain) >= 20
+    frequency, n = minhash.document_frequencies(docs)
+    idf = spark.sparkContext.broadcast((1 + np.log((n + 1) / (frequency + 1))).clip(1))
+    nodes = minhash.signatures(docs, idf, "doc_id", "text").select("id", "fp", "key").cache()
+    ids = {bytes(r.fp): r.id for r in nodes.collect()}
+    members = nodes.selectExpr("fp", "fp as root")
+    pairs = minhash._by_prefix(members, nodes.select("fp", "key"), docs, idf, "doc_id", "text", 0.8, 5).distinct().collect()
+    assert weighted | plain <= {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in pairs}
+
+
+def test_plain_links_meet_without_weighted_ones():
+    rng = random.Random(12)
+    words = vocabulary(rng, 40000)
+    idf = np.full(minhash.CELLS, 12.0)
+    for n in (100, 600):
+        base = rng.choices(words, k=n)
+        texts = [" ".join(base + rng.choices(words, k=n // 10)) for _ in range(2)]
+        s = minhash.Shingles(texts)
+        shared = set(s.hashes[: s.bounds[1]].tolist()) & set(s.hashes[s.bounds[1] :].tolist())
+        idf[[h & (minhash.CELLS - 1) for h in shared]] = 1.0
+        first, second, whole, dealt = minhash.samples(s, idf, plain=True)
+        made = first if whole.all() else second
+        assert (whole.all() or dealt.all()) and (made[0] == made[1]).sum() >= 20
+
+
 def test_samples_follow_the_weighted_similarity():
     rng = random.Random(5)
     words = vocabulary(rng, 5000)
