@@ -3,10 +3,12 @@
 1. Document frequencies of five-word shingles are summed in a table of CELLS counters (a count-min sketch of one row: of
    fixed size, so it can be sent everywhere; each count is the true one or above). A shingle weighs
    tf * (1 + ln((N + 1) / (df + 1))).
-2. Each text gets SAMPLES weighted and SAMPLES plain samples, BANDS bands of ROWS of each kind. A text of fewer than SPLIT_AT * OVERLAP shingles takes
-   each sample from all its shingles; one of SPLIT_AT or more deals its shingles over the samples and takes each from its
-   own share (an empty one borrows its neighbour's), so that the work is one evaluation a shingle. Texts between the two
-   bounds do both: texts of similarity 0.8 or more always have a scheme in common.
+2. Each text gets SAMPLES weighted and SAMPLES plain samples, BANDS bands of ROWS of each kind. A text of fewer than
+   SPLIT_AT * OVERLAP shingles takes each sample from all its shingles; one of SPLIT_AT or more deals its shingles over the
+   samples and takes each from its own share (an empty one borrows its neighbour's), so that the work is one evaluation a
+   shingle. Texts between the two bounds do both. For weighted samples the bounds are of a text's weight, in that of the
+   rarest shingles (texts of few shingles take the first way whatever they weigh): ends of a link of either kind always
+   have a scheme of that kind in common.
 3. Copies are one node (equal words). In each bucket every node is compared with the most central one; then all pairs of
    nodes of a bucket that are not in one component yet: directly where a bucket has few components, by an exact prefix
    filter and finer bands, weighted and plain, over the nodes of the others. Pairs whose weighted and whose plain samples
@@ -32,7 +34,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Bands, samples of a band; at similarity 0.8 a pair shares no band once in 5,000 times.
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-#: Shingles from which a text's are dealt over the samples, and how far the two schemes overlap.
+#: Shingles (of the greatest weight, for weighted samples) from which a text's are dealt over the samples, and how far the two schemes overlap.
 SPLIT_AT, OVERLAP = 128, 1.6
 #: Counters of the document frequencies.
 CELLS = 1 << 20
@@ -128,7 +130,9 @@ def samples(s: Shingles, idf: np.ndarray, plain: bool = False) -> tuple[np.ndarr
     n_texts = len(s.bounds) - 1
     size = np.diff(s.bounds)
     log_w = np.zeros(len(s.hashes)) if plain else np.log(s.weights(idf))
-    whole, dealt = (size > 0) & (size < SPLIT_AT * OVERLAP), size >= SPLIT_AT
+    # a link bounds how far its ends' sizes differ, or for weighted samples their weights: the bounds are of what it bounds
+    unit, mass = (1.0, size) if plain else (float(idf.max()), np.bincount(s.owner, s.weights(idf), n_texts))
+    whole, dealt = (size > 0) & ((mass < unit * SPLIT_AT * OVERLAP) | (size < SPLIT_AT * OVERLAP)), mass >= unit * SPLIT_AT
     first, second = np.zeros((n_texts, SAMPLES), np.uint64), np.zeros((n_texts, SAMPLES), np.uint64)
 
     pick = whole[s.owner]

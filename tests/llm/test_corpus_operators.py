@@ -124,6 +124,14 @@ def test_weighted_links_hold_in_crowded_buckets(spark, passages):
     assert weighted | plain <= {tuple(sorted((ids[bytes(r.a)], ids[bytes(r.b)]))) for r in pairs}
 
 
+def test_weighted_links_of_unlike_sizes_hold(spark, passages):
+    docs = spark.createDataFrame(passages, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    weighted, plain = brute_links(docs, passages)
+    assert {(2 * i, 2 * i + 1) for i in range(20)} <= weighted
+    assert all(got[i] == got[j] for i, j in weighted | plain)
+
+
 def test_plain_links_meet_without_weighted_ones():
     rng = random.Random(12)
     words = vocabulary(rng, 40000)
