@@ -83,8 +83,9 @@ def _hex(value: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.substr(F.lit("0123456789abcdef"), _byte(h, i) % 16 + 1, F.lit(1))), "")
 
 
-def _chosen(words: list[str], h: Column, i: int) -> Column:
-    return F.get(F.array(*map(F.lit, words)), _byte(h, F.lit(i)) % len(words))
+def _parts(words: list[str], h: Column, n: Column) -> Column:
+    """n words by the bytes of a hash."""
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.array(*map(F.lit, words)), _byte(h, i) % len(words)))
 
 
 def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
@@ -107,11 +108,14 @@ def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     def scripted(tables: dict[str, list[str]], build) -> Column:  # noqa: ANN001
         return F.when(cyrillic, build(tables["cyrillic"])).otherwise(build(tables["latin"]))
 
+    # a part more for each draw from the fifth on, so that the names are more than any vocabulary
+    more = F.greatest(draw - 4, F.lit(0))
+
     def given(words: list[str]) -> Column:
-        return F.concat(_chosen(words, h, 0), F.when(draw > 0, F.concat(F.lit("-"), _chosen(words, h, 1))).otherwise(""), F.when(draw > 4, F.concat(F.lit("-"), _chosen(words, h, 2))).otherwise(""))
+        return F.array_join(_parts(words, h, 1 + (draw > 0).cast("int") + more), "-")
 
     def surname(words: list[str]) -> Column:
-        return F.initcap(F.concat(*[_chosen(words, h, i) for i in range(3)], F.when(draw > 0, _chosen(words, h, 3)).otherwise(""), F.when(draw > 2, _chosen(words, h, 4)).otherwise("")))
+        return F.initcap(F.array_join(_parts(words, h, 3 + (draw > 0).cast("int") + (draw > 2).cast("int") + more), ""))
 
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "number", value)
     out = out.when(kind == "key_id", _redrawn(value, h, 4)).when(kind == "iban", _redrawn(value, h, 2))

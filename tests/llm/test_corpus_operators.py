@@ -290,3 +290,12 @@ def test_surrogates_stay_distinct(spark):
     got = pii.assigned(spark.createDataFrame(names, "kind string, value string"), "k").collect()
     made = [r.surrogate for r in got]
     assert len(got) == len(names) == len(set(made)) and not {"Anna", "Clara"} & set(made)
+
+
+def test_surrogates_of_any_number_of_names(spark):
+    kinds = ("given-f", "given-m", "given-n", "surname")
+    names = [(k, f"{first}{i}") for k in kinds for first in ("Name", "Имя") for i in range(3000)]
+    got = pii.assigned(spark.createDataFrame(names, "kind string, value string"), "k").collect()
+    assert len(got) == len(names) == len({(r.kind, r.surrogate) for r in got})
+    assert all(bool(re.search("[а-я]", r.surrogate)) == (r.value[0] == "И") for r in got)
+    assert all(r.surrogate.split("-")[0] in pii._GIVEN[r.kind[-1]]["cyrillic" if r.value[0] == "И" else "latin"] for r in got if r.kind != "surname")
