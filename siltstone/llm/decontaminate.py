@@ -14,7 +14,7 @@ from siltstone.llm.common import settled
 
 #: Words of a window; shorter items have one window of their own length, from SHORTEST words on.
 WINDOW, SHORTEST = 8, 4
-#: Share of a window's words that must not be placeholders.
+#: Share of a window's words that must not be placeholders for it to match by its template; others with a word match as they stand.
 LITERAL = 0.5
 #: Share of an item's words that must be covered by windows.
 COVERAGE = 0.5
@@ -73,41 +73,62 @@ def _key(df: DataFrame, id_col: str, text_col: str) -> Column:
     return F.xxhash64(df[id_col], F.coalesce(df[text_col].cast("string"), F.lit("")))
 
 
+def _covered(spans: Column) -> Column:
+    """How many words windows (at, n), in order, cover."""
+    step = lambda acc, x: F.struct((x["at"] + x["n"]).alias("end"), (acc["sum"] + F.least(x["n"], x["at"] + x["n"] - acc["end"])).alias("sum"))
+    return F.aggregate(spans, F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), step)["sum"]
+
+
 def index(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(hash, n, item, at, size, slotted): windows of the items' templates with enough words that are no placeholders."""
+    """(hash, n, item, at, size, slotted, exact, numbered, coverable): windows of the items.
+
+    The hash is of the template, or for windows of few words that are no placeholders (exact) of the surface; windows of
+    placeholders alone are left out. An item's first word counts as it stands and, in capitals, as the name that it looks
+    like further on in a text. coverable: how many words the windows that match by template cover.
+    """
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).distinct()
     items = items.withColumn("words", template(F.col("text"))).withColumn("size", F.size("words")).where(F.col("size") >= SHORTEST)
-    items = items.withColumn("n", F.least(F.col("size"), F.lit(window)))
+    items = items.withColumn("n", F.least(F.col("size"), F.lit(window))).withColumn("faces", surface(F.col("text")))
+    literals = lambda words: F.size(F.filter(words, lambda x: ~x.isin(*_SLOTS)))
+    spans = F.transform(F.sequence(F.lit(0), F.col("size") - F.col("n")), lambda k: F.struct(k.alias("at"), F.col("n").alias("n")))
+    items = items.withColumn("coverable", _covered(F.filter(spans, lambda x: literals(F.slice("words", x["at"] + 1, F.col("n"))) >= LITERAL * F.col("n"))))
     at = items.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("n"))))
-    at = at.withColumn("own", F.slice("words", F.col("at") + 1, F.col("n")))
-    literal = F.size(F.filter("own", lambda x: ~x.isin(*_SLOTS)))
+    own = F.slice("words", F.col("at") + 1, F.col("n"))
+    named = (F.col("at") == 0) & F.col("text").rlike(r"^[^\p{L}\p{N}]*\p{Lu}\p{Ll}+(?![\p{L}\p{N}])")
+    forms = F.when(named, F.array(own, F.concat(F.array(F.lit(_SLOTS[2])), F.slice("words", 2, F.col("n") - 1)))).otherwise(F.array(own))
+    at = at.withColumn("own", F.explode(forms)).withColumn("exact", literals(F.col("own")) < LITERAL * F.col("n"))
     slotted = F.exists("words", lambda x: x.isin(*_SLOTS))
-    return at.where(literal >= LITERAL * F.col("n")).select(F.xxhash64("own").alias("hash"), "n", "item", "at", "size", slotted.alias("slotted"))
+    shown = F.when(F.col("exact"), F.xxhash64(F.slice("faces", F.col("at") + 1, F.col("n")))).otherwise(F.xxhash64("own"))
+    return at.where(literals(own) > 0).select(shown.alias("hash"), "n", "item", "at", "size", slotted.alias("slotted"), "exact", F.array_contains("own", _SLOTS[0]).alias("numbered"), "coverable")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """(key, item, coverage) for every text and item that it leaks; key is xxhash64(id, text), null text as empty.
 
     Texts and items are taken whole. Texts shorter than every item, empty and null ones leak nothing; items of under
-    SHORTEST words are not sought; repeated rows share their key; empty tables give no rows; other columns are not read.
+    SHORTEST words, or without a word that is no placeholder, are not sought; repeated rows share their key; empty tables give no rows; other columns are not read.
     """
     sought = settled(index(benchmark, item_col, "text", window))
-    lengths = sorted(r[0] for r in sought.select("n").distinct().collect())  # at most `window` of them
     few = sought.count() <= SENT
-    words = docs.select(_key(docs, id_col, text_col).alias("key"), template(docs[text_col]).alias("words"))
+    key = _key(docs, id_col, text_col).alias("key")
+    words = docs.select(key, template(docs[text_col]).alias("words"))
+    # as they stand, texts are read for windows of few words only; without a number such a window is rare
+    as_is = docs if sought.where("exact and not numbered").take(1) else docs.where(docs[text_col].cast("string").rlike(r"\p{N}"))
+    faces = as_is.select(key, surface(as_is[text_col]).alias("words"))
+    lengths = sorted((r[0], r[1]) for r in sought.select("exact", "n").distinct().collect())  # at most `window` of either kind
     hits = None
-    for n in lengths or [window]:
-        part = words.select("key", F.posexplode(_windows(F.col("words"), n)).alias("place", "hash"))
-        own = sought.where(F.col("n") == n)
+    for exact, n in lengths or [(False, window)]:
+        part = (faces if exact else words).select("key", F.posexplode(_windows(F.col("words"), n)).alias("place", "hash"))
+        own = sought.where((F.col("n") == n) & (F.col("exact") == exact)).drop("numbered").distinct()
         part = part.join(F.broadcast(own) if few else own, "hash")
         hits = part if hits is None else hits.unionByName(part)
-    hits = settled(hits.select("key", "item", "place", "at", "n", "size", "slotted").distinct())
-    # coverage of the item by the windows that match
-    step = lambda acc, x: F.struct((x["at"] + x["n"]).alias("end"), (acc["sum"] + F.least(x["n"], x["at"] + x["n"] - acc["end"])).alias("sum"))
+    hits = settled(hits.select("key", "item", "place", "at", "n", "size", "slotted", "exact", "coverable").distinct())
+    # coverage of the item by all windows that match, or by those that match by template of what such windows can cover
     spans = F.array_sort(F.collect_set(F.struct("at", "n")))
-    covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).alias("sum")), step)["sum"]
-    found = hits.groupBy("key", "item").agg(spans.alias("spans"), F.max("size").alias("size"), F.max("slotted").alias("slotted"))
-    found = found.withColumn("coverage", covered / F.col("size")).where(F.col("coverage") >= coverage).drop("spans", "size")
+    formed = F.array_sort(F.collect_set(F.when(~F.col("exact"), F.struct("at", "n"))))
+    found = hits.groupBy("key", "item").agg(spans.alias("spans"), formed.alias("formed"), F.max("size").alias("size"), F.max("coverable").alias("coverable"), F.max("slotted").alias("slotted"))
+    covered = F.greatest(_covered(F.col("spans")) / F.col("size"), F.when(F.col("coverable") > 0, F.least(F.lit(1.0), _covered(F.col("formed")) / F.col("coverable"))))
+    found = found.withColumn("coverage", covered).where(F.col("coverage") >= coverage).drop("spans", "formed", "size", "coverable")
     plain, slotted = found.where(~F.col("slotted")), settled(found.where("slotted"))
 
     # slots: only texts that match an item with slots are read again

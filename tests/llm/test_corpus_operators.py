@@ -248,6 +248,23 @@ def test_leaks(spark):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows) and decontaminate.judged(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_of_few_words_and_of_first_words(spark):
+    rows = [(1, "Solve 3x + 5 = 20"), (2, "What is the capital of France"), (3, "Add 11 12 13 14 15 16 17 18 19 20 and then take the half of all that you have got"), (4, "Anna Bell met Carl")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [
+        "Here: Solve 3x + 5 = 20 now",
+        "Here: Solve 4x + 6 = 21 now",
+        "Question: What is the capital of France",
+        "what is the capital of Spain",
+        "Then add 21 22 23 24 25 26 27 28 29 30 and then take the half of all that you have got",
+        "So Anna Bell met Carl here",
+        "So Eva Bell met Carl here",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.item_id for r in decontaminate.judged(docs, bench).collect()}
+    assert got == {0: 1, 1: None, 2: 2, 3: 2, 4: 3, 5: 4, 6: None}
+
+
 def test_template_and_surface_have_the_same_words(spark):
     from pyspark.sql import functions as F
 
