@@ -2,9 +2,8 @@
 
 The model is a tree of contexts of up to three preceding bytes. Each node holds, for each of the 255 binary decisions of
 a byte, a Krichevsky-Trofimov estimator; the estimates of all depths along a context are mixed by their posterior
-weights. All contexts of two bytes are nodes; of three bytes the NODES most frequent are, and the others under a node of
-two bytes share one leaf: that bounds the model, at most (256 ** 2 + 256 + 1 + NODES) rows of 256 numbers, not what is
-counted or scored. Word counts stay distributed: the most frequent HEAVY words are sent to every executor, the rest of a
+weights. All contexts that were counted are nodes, so that the model grows with what the input holds: a row of 256 numbers
+a context, of which text has far fewer than 256 ** 3. Word counts stay distributed: the most frequent HEAVY words are sent to every executor, the rest of a
 text's words are joined with their counts by hash.
 """
 
@@ -19,8 +18,6 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import SPACED, Words, chunks, settled
 
-#: Contexts of three bytes that are nodes of their own.
-NODES = 1 << 15
 #: Words, at most, whose counts are sent to every executor (16 bytes each).
 HEAVY = 1 << 19
 #: Distinct keys that a task holds before it passes its counts on.
@@ -221,13 +218,10 @@ class Tree:
         return total[ends] - total[begins]
 
 
-def tree(grams: DataFrame, nodes: int = NODES) -> Tree:
-    """The tree from (key, n) of four-byte codes: what comes to the driver is bounded by the model's size."""
-    n = F.sum("n").alias("n")
-    three = grams.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(n).toArrow()
-    context = F.shiftright("key", 8)
-    kept = grams.groupBy(context.alias("context")).agg(n).orderBy(F.desc("n"), "context").limit(nodes).select("context")
-    four = grams.join(F.broadcast(kept), context == F.col("context")).select("key", "n").toArrow()
+def tree(grams: DataFrame) -> Tree:
+    """The tree from (key, n) of four-byte codes: all of them come to the driver, as the model they make does."""
+    three = grams.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    four = grams.select("key", "n").toArrow()
     return Tree(*((t.column("key").to_numpy(), t.column("n").to_numpy()) for t in (three, four)))
 
 
@@ -236,7 +230,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 7 == 2
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes: int = NODES, heavy: int = HEAVY) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """One row a row of docs: the id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte.
 
     Learns from the rows that are not held out. Null text counts as empty: one token, the end, score 0, no bits. Repeated
@@ -263,7 +257,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nodes
     keys, n = often.column("key").to_numpy(), often.column("n").to_numpy()
     order = np.argsort(keys)
     known = spark.sparkContext.broadcast((np.append(keys[order], np.iinfo(np.int64).max), np.append(n[order], 0)))
-    model = spark.sparkContext.broadcast(tree(counts.where(F.col("kind") == _GRAM).select("key", "n"), nodes))
+    model = spark.sparkContext.broadcast(tree(counts.where(F.col("kind") == _GRAM).select("key", "n")))
     kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -203,6 +203,17 @@ def test_tree_is_a_distribution_and_mixes_by_evidence():
     assert abs(float(ctw.Tree._estimate((np.array([z]), np.array([o])))[0]) - kt) < 1e-9
 
 
+def test_every_counted_context_is_a_node(spark):
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüабвгдежзик0123456789") for _ in range(400_000))
+    grams = ctw.counted(spark.createDataFrame([(text,)], "text string")).where("kind = 1").select("key", "n")
+    contexts = grams.selectExpr("shiftright(key, 8) as c").distinct().count()
+    assert contexts > 1 << 15
+    model = ctw.tree(grams)
+    depth = lambda keep: grams.selectExpr(f"shiftright(key, 8) & {keep} as c").distinct().count()
+    assert len(model.table) == 1 + depth(0xFF) + depth(0xFFFF) + contexts
+
+
 def test_quality_counts_and_outliers(spark):
     rng = random.Random(9)
     words = vocabulary(rng, 500)
