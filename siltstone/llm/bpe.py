@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -23,10 +24,17 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import chunks
 
-#: Parts of texts, with their ids, that a worker remembers from block to block.
-REMEMBERED = 300_000
+#: Bytes, as estimated, of the parts of texts that a worker remembers with their ids; at most twice as many are held, and
+#: those not met since the last time are forgotten.
+REMEMBERED = 60 << 20
 #: Characters of the texts of a block; a longer text makes a block of its own.
-BLOCK = 1 << 24
+BLOCK = 1 << 20
+#: Texts that are taken out of Arrow at a time.
+TAKEN = 500
+#: Tokens after which a worker passes its rows on.
+PASSED = 1 << 19
+#: Fixed value: the pattern whose pre-tokens parts() may cut at spaces; with any other, texts are split by the pattern alone.
+CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of a pre-token, at most, that is coded together with others; a longer one has the queue to itself.
 SHORT = 48
 _SHIFT = 8
@@ -41,11 +49,16 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.token = {n: b for b, n in ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.decimal = {n: str(n) for n in ranks.values()}
+        compiled = regex.compile(pattern)
+        self.split = compiled.findall if not compiled.groups else lambda text: [m[0] for m in compiled.finditer(text)]
+        self.cuts = pattern == CUT_AT_SPACES
         self.leaves = [0] * ((max(ranks.values(), default=0) >> _SHIFT) + 1)
         self.buckets: dict[int, list[int]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
+        self.held = 0
         self.size = max(ranks.values(), default=0) + 1
         self.byte_ids = np.fromiter((ranks[bytes([i])] for i in range(256)), np.int32, 256)
         joined = {ranks[x] * self.size + ranks[y]: n for b, n in ranks.items() for k in range(1, len(b)) if (x := b[:k]) in ranks and (y := b[k:]) in ranks}
@@ -215,10 +228,10 @@ class Bpe:
         return np.where(self.pair_keys[at] == key, self.pair_values[at], -1)
 
     def parts(self, text: str | None) -> list[str]:
-        """The text cut before its spaces: no pre-token crosses such a cut unless white space stands on both sides of
-        the space, or on one at the end; then the text's pre-tokens."""
+        """The text cut before its spaces, where no pre-token crosses such a cut: unless white space stands on both sides
+        of the space, or on one at the end, or the pattern is another; then the text's pre-tokens."""
         text = text or ""
-        if " " not in text or _RUN.search(text):
+        if not self.cuts or " " not in text or _RUN.search(text):
             return self.split(text)
         out = [" " + x for x in text.split(" ")]
         if text[0] == " ":
@@ -226,24 +239,27 @@ class Bpe:
         out[0] = out[0][1:]
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        """Code the parts that are not remembered yet."""
-        if len(self.known) > REMEMBERED:
-            self.known, self.pieces = {}, {}
-        missing = parts.difference(self.known)
+    def learn(self, missing: set[str]) -> None:
+        """Code the parts, which are not remembered yet."""
         split = {}
         for part in missing:
             word = part[1:] if part[:1] == " " else part
-            if word.isalpha():
+            if not self.cuts:
+                split[part] = [part]
+            elif word.isalpha():
                 split[part] = [part]
             elif word[-1:] in (".", ",") and word[:-1].isalpha():
                 split[part] = [part[:-1], part[-1]]
             else:
                 split[part] = self.split(part)
         unseen = set(chain.from_iterable(split.values())).difference(self.pieces)
-        raw = {p: p.encode("utf-8", "surrogatepass") for p in unseen}
-        short = []
-        for p, x in raw.items():
+        older = self.older[1]
+        again = unseen.intersection(older)
+        self.pieces.update((p, older[p]) for p in again)
+        unseen -= again
+        short, raws = [], []
+        for p in unseen:
+            x = p.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(x)
             if whole is not None:
                 self.pieces[p] = (whole,)
@@ -251,26 +267,45 @@ class Bpe:
                 self.pieces[p] = tuple(self.merge(x))
             else:
                 short.append(p)
-        self.pieces.update(zip(short, self.merge_all([raw[p] for p in short]), strict=True))
-        for part, pieces in split.items():
-            ids = self.pieces[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
-            self.known[part] = (ids, ",".join(map(str, ids)))
+                raws.append(x)
+        self.pieces.update(zip(short, self.merge_all(raws), strict=True))
+        known, pieces = self.known, self.pieces
+        for part, own in split.items():
+            known[part] = pieces[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, own)))
+
+    def coded(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of the texts of a block."""
+        cut = [self.parts(text) for text in texts]
+        missing = set().union(*cut)
+        if self.held > REMEMBERED:
+            self.older, self.known, self.pieces, self.held = (self.known, self.pieces), {}, {}, 0
+        missing.difference_update(self.known)
+        older = self.older[0]
+        again = missing.intersection(older)
+        self.known.update((x, older[x]) for x in again)
+        self.held += sum(400 + 20 * len(x) for x in missing)
+        self.learn(missing - again)
+        return [list(chain.from_iterable(map(self.known.__getitem__, parts))) for parts in cut]
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
-        """For each whole text its ids, and their decimals joined by commas."""
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """The ids of each whole text."""
         for a, b in chunks(texts, BLOCK):
-            need: set[str] = set()
-            for text in texts[a:b]:
-                need.update(self.parts(text))
-            self.learn(need)
-            known = self.known
-            for text in texts[a:b]:
-                got = [known[x] for x in self.parts(text)]
-                yield list(chain.from_iterable([x[0] for x in got])), ",".join([x[1] for x in got])
+            on = gc.isenabled()
+            gc.disable()  # a block makes many tuples and no cycles
+            try:
+                made = self.coded(texts[a:b])
+            finally:
+                if on:
+                    gc.enable()
+            yield from made
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of one whole text."""
-        return next(self.encode_all([text]))[0]
+        return next(self.encode_all([text]))
+
+    def decimals(self, ids: list[int]) -> str:
+        """The ids in decimals, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that the ids stand for."""
@@ -293,23 +328,34 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
 
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
-        gc.disable()  # millions of tuples, no cycles
         for batch in batches:
-            counts, ids_sha, text_sha, all_ids = [], [], [], []
-            for ids, decimals in coder.encode_all(batch.column("text").to_pylist()):
+            counts, ids_sha, text_sha, flat, begun, tokens = [], [], [], array("i"), 0, 0
+
+            def rows(end: int) -> pa.RecordBatch:
+                own = batch.column("id").slice(begun, end - begun)  # noqa: B023
+                columns = [own, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]  # noqa: B023
+                if keep_ids:
+                    offsets = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32)  # noqa: B023
+                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, np.int32))))  # noqa: B023
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            taken = (batch.column("text").slice(at, TAKEN).to_pylist() for at in range(0, batch.num_rows, TAKEN))
+            for end, ids in enumerate(chain.from_iterable(map(coder.encode_all, taken)), 1):
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(decimals.encode()).hexdigest())
+                tokens += len(ids)
+                ids_sha.append(hashlib.sha256(coder.decimals(ids).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
                 if keep_ids:
-                    all_ids.append(ids)
-            columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    flat.extend(ids)
+                if tokens >= PASSED:
+                    yield rows(end)
+                    counts, ids_sha, text_sha, flat, begun, tokens = [], [], [], array("i"), end, 0
+            if counts or not batch.num_rows:
+                yield rows(batch.num_rows)
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -29,9 +29,26 @@ def test_bpe_equals_the_library(coder):
     rng = random.Random(1)
     texts = ["".join(rng.choice("abthe 𝄞éß中 \n\t1'\x1c\x85.,") for _ in range(rng.randint(0, 80))) for _ in range(1500)]
     texts += ["the" * 3000 + "ab" * 2000, "a" * 20000, "  a   b\n \n c ", "don't we'll I'M"]
-    for text, (ids, decimals) in zip(texts, coder.encode_all(texts), strict=True):
+    for text, ids in zip(texts, coder.encode_all(texts), strict=True):
         assert ids == other.encode_ordinary(text)
-        assert decimals == ",".join(map(str, ids)) and coder.decode(ids) == text.encode()
+        assert coder.decimals(ids) == ",".join(map(str, ids)) and coder.decode(ids) == text.encode()
+
+
+@pytest.mark.parametrize("pattern", [r"\p{Lu}?\p{Ll}+|\p{N}{1,3}|\s|.", r"( ?\w+)|\s+|[^\w\s]+"])
+def test_bpe_equals_the_library_by_other_patterns(coder, pattern):
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=coder.ranks, special_tokens={})
+    texts = ["helloWorld fooBar", "and the THEend of it, 12345 times", " a  b\n", ""]
+    assert list(bpe.Bpe(coder.ranks, pattern).encode_all(texts)) == [other.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_forgets_and_passes_rows_on(spark, coder, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 2000)
+    monkeypatch.setattr(bpe, "BLOCK", 60)
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(12)) for _ in range(200)]
+    small = bpe.Bpe(coder.ranks, public_tokenizers.PATTERN)
+    assert list(small.encode_all(texts)) == list(coder.encode_all(texts))
+    assert len(small.known) + len(small.older[0]) < 60
 
 
 def test_bpe_long_and_short_ways_agree(coder):
