@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -30,19 +31,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, else one of this machine if all runs on it."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        held = context._jsc.sc().getCheckpointDir()
+        found = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="siltstone-")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(found)
+    return found
+
+
+#: Whether Spark removes the files of a query's shuffles when it ends.
+_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, its lineage cut.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where that is unset. The shuffle files
-    that led to df are freed when the driver collects its garbage, which it is asked to do here: jobs of many steps would
-    otherwise fill the executors' disks with them.
+    The files of the shuffles that led to df are removed as soon as it is kept: jobs of many steps would otherwise fill the
+    executors' disks with them.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="siltstone-"))
-    kept = df.checkpoint(eager=True)
-    context._jvm.System.gc()
-    return kept
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(_CLEANS)
+    spark.conf.set(_CLEANS, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # select: a query of its own, made under the setting
+    finally:
+        spark.conf.set(_CLEANS, before)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

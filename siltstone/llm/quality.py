@@ -1,8 +1,9 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions alone.
 
 measured() takes each text's statistics; fitted() estimates, per language and source, the minimum covariance determinant of
-their transforms by concentration steps (each keeps the rows nearest to the current estimate) from two starts; judged()
-takes the start of the smaller determinant and rejects rows of a large Mahalanobis distance.
+their transforms: two concentration steps (each keeps the rows nearest to the current estimate) from four fixed starts,
+then steps from the start of the least determinant until no group's determinant falls any more; judged() rejects rows of a
+large Mahalanobis distance.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ CUTOFF = 42.0
 LEAST = 60
 #: Groups, at most, whose numbers (under 1 kB each) are sent to every executor; more are joined by salted keys.
 SENT, SALTS = 20_000, 64
-#: Concentration steps.
-STEPS = 3
+#: Starts of an estimate, concentration steps of each, and the fall of a log determinant that is worth another step.
+STARTS, STEPS, FALL = 4, 2, 1e-4
 #: Words that an average text adds to each text, so that the shares of a short one are not wild.
 PRIOR = 40.0
 #: Least standard deviation of each transformed statistic.
@@ -66,10 +67,12 @@ def _covered(hashes: Column) -> Column:
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each whole text, and base_failed.
 
-    Null counts as no words. Columns of docs with these names are replaced.
+    Null and empty texts have no words, so they fail. A row gets its numbers from its own text alone: repeated rows get the
+    same ones, ids and other columns may hold anything, an empty table gives no rows. Texts of any length are taken whole.
+    Columns of docs with these names are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = F.regexp_replace(text, r"^[ \t-\r]+|[ \t-\r]+$", "")
+    some = F.regexp_replace(text, r"\A[ \t-\r]+|[ \t-\r]+\z", "")
     words = F.when(some == "", F.array().cast("array<string>")).otherwise(F.split(some, r"[ \t-\r]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
 
@@ -144,67 +147,114 @@ def _keyed(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     return stats.withColumns({"_lang": name(lang_col), "_source": name(source_col), "_salt": salt})
 
 
-def _met(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows (with _salt) joined with a row a group: sent to every executor if there are at most SENT groups, else salted."""
-    if groups.count() <= SENT:
+def _met(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows (with _salt) joined with a row a group: sent to every executor if there are few (at most SENT), else salted."""
+    if few:
         return rows.join(F.broadcast(groups), keys, how)
     spread = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.join(spread, [*keys, "_salt"], how)
 
 
+def _sums(s: int, x: list[Column], on: Column | None = None) -> list[Column]:
+    """Number, sums and sums of products of x over the rows that are on, as start s."""
+    held = (lambda v: F.sum(F.when(on, v))) if on is not None else F.sum
+    out = [held(F.lit(1.0)).alias(f"n{s}_0"), *[held(x[i]).alias(f"s{s}_{i}") for i in range(_P)]]
+    return out + [held(x[i] * x[j]).alias(f"q{s}_{i}_{j}") for i, j in combinations_with_replacement(range(_P), 2)]
+
+
+def _distance(s: int, x: list[Column], mean: list[Column] | None = None) -> Column:
+    """The squared distance of x by start s."""
+    return _squared(x, {(i, j): F.col(f"v{s}_{i}_{j}") for i in range(_P) for j in range(i + 1)}, mean or [F.col(f"m{s}_{i}") for i in range(_P)])
+
+
+def _joined(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    return reduce(lambda a, b: a.join(b, keys), parts)
+
+
+def _step(placed: DataFrame, keys: list[str], x: list[Column], starts: range, few: bool) -> DataFrame:
+    """The estimates of each group from the CORE rows of the least distance (_d0, ...) of each start."""
+    cuts = placed.groupBy(*keys).agg(*[F.percentile_approx(f"_d{s}", CORE, 2000).alias(f"_cut{s}") for s in starts])
+    inside = [v for s in starts for v in _sums(s, x, F.col(f"_d{s}") <= F.col(f"_cut{s}"))]
+    sums = settled(_met(placed, cuts, keys, few).groupBy(*keys).agg(*inside))
+    return settled(_joined([_factored(sums, keys, s) for s in starts], keys))
+
+
+def _own_groups(good: DataFrame, keys: list[str]) -> DataFrame:
+    """(_lang, _source) with the group (_own_lang, _own) that it is judged by."""
+    sizes = settled(good.groupBy(*keys).agg(F.count("*").alias("_n")))
+    pools = sizes.where(F.col("_n") < LEAST).groupBy("_lang").agg(F.sum("_n").alias("_pool"))
+    sizes = sizes.join(pools, "_lang", "left")
+    large, pooled = F.col("_n") >= LEAST, F.col("_pool") >= LEAST
+    lang = F.when(large | pooled, F.col("_lang")).otherwise(F.lit("*"))
+    return settled(sizes.select(*keys, lang.alias("_own_lang"), F.when(large, F.col("_source")).otherwise(F.lit("*")).alias("_own")))
+
+
 def fitted(stats: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """A row a (language, source) of measured() rows: mean, inverse Cholesky factor and log determinant of both starts, null
-    where there is no estimate.
+    """A row a (language, source) of measured() rows: mean, inverse Cholesky factor and log determinant of its estimate.
 
-    Groups of under LEAST rows that pass the base rules are pooled by language; a pool of under LEAST rows has none. All
-    sums are taken per task before they move.
+    Groups of under LEAST rows that pass the base rules are pooled by language; where such a pool is under LEAST too, they
+    are judged by one estimate of all rows of the table. The numbers are null where even those are under LEAST. Rows that repeat count
+    each time; null languages and sources are values of their own; an empty table gives no rows. All sums are taken per
+    task before they move.
     """
     keys = ["_lang", "_source"]
     x = [F.col(f"_x{i}") for i in range(_P)]
     good = _keyed(stats, lang_col, source_col).where(~F.col("base_failed"))
     good = settled(good.select(*keys, "_salt", *[v.alias(f"_x{i}") for i, v in enumerate(_vector())]))
-    sizes = good.groupBy(*keys).agg(F.count("*").alias("_n"))
-    sizes = settled(sizes.select(*keys, F.when(F.col("_n") >= LEAST, F.col("_source")).otherwise(F.lit("*")).alias("_own")))
-    good = settled(_met(good, sizes, keys).withColumn("_source", F.col("_own")).drop("_own"))
-
-    def core(cut: list[Column], inside: list[Column]) -> list[Column]:
-        """Sums over the rows inside each start's core."""
-        out = []
-        for s, (c, d) in enumerate(zip(cut, inside, strict=True)):
-            on = d <= c
-            out.append(F.sum(F.when(on, 1.0)).alias(f"n{s}_0"))
-            out += [F.sum(F.when(on, x[i])).alias(f"s{s}_{i}") for i in range(_P)]
-            out += [F.sum(F.when(on, x[i] * x[j])).alias(f"q{s}_{i}_{j}") for i, j in combinations_with_replacement(range(_P), 2)]
-        return out
-
-    # The starts: distance from the medians in units of the middle half, summed (0) and at its largest (1).
+    own = _own_groups(good, keys)
+    few = own.count() <= SENT
+    placed = _met(good, own, keys, few)
+    every = placed.where("_own_lang != '*'").withColumns({"_lang": F.col("_own_lang"), "_source": F.col("_own")}).select(good.columns)
+    if own.where("_own_lang = '*'").take(1):
+        every = every.unionByName(good.withColumns({"_lang": F.lit("*"), "_source": F.lit("*")}))
+    good = settled(every)
+
+    # The starts, in units of the middle half around the medians: the distance, its largest part, and distances by the
+    # covariances of the hyperbolic tangents and of the directions.
     quarter = good.groupBy(*keys).agg(F.count("*").alias("_n"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(f"_q{i}") for i, c in enumerate(x)])
     quarter = settled(quarter.where(F.col("_n") >= LEAST).drop("_n"))
     z = [(x[i] - F.col(f"_q{i}")[1]) / (F.col(f"_q{i}")[2] - F.col(f"_q{i}")[0] + FLOOR[i]) for i in range(_P)]
-    near = [_total([a * a for a in z]), F.greatest(*[F.abs(a) for a in z])]
-    at, current = _met(good, quarter, keys), None
+    unit = _met(good, quarter, keys, few).select(*keys, "_salt", *x, *[v.alias(f"_z{i}") for i, v in enumerate(z)])
+    z = [F.col(f"_z{i}") for i in range(_P)]
+    length = F.sqrt(_total([v * v for v in z]))
+    shapes = [[F.tanh(v) for v in z], [F.when(length > 0, v / length).otherwise(0.0) for v in z]]
+    shaped = settled(unit.groupBy(*keys).agg(*[v for s, y in enumerate(shapes) for v in _sums(s, y)]))
+    shaped = settled(_joined([_factored(shaped, keys, s) for s in range(2)], keys))
+    middle = [F.lit(0.0)] * _P
+    near = [length, F.greatest(*[F.abs(v) for v in z]), _distance(0, z, middle), _distance(1, z, middle)]
+    at = _met(unit, shaped, keys, few)
     for _ in range(STEPS):
-        placed = at.select(*keys, "_salt", *x, near[0].alias("_d0"), near[1].alias("_d1"))
-        cuts = settled(placed.groupBy(*keys).agg(*[F.percentile_approx(f"_d{s}", CORE, 2000).alias(f"_cut{s}") for s in (0, 1)]))
-        sums = _met(placed, cuts, keys).groupBy(*keys).agg(*core([F.col("_cut0"), F.col("_cut1")], [F.col("_d0"), F.col("_d1")]))
-        sums = settled(sums)
-        current = settled(_factored(sums, keys, 0).join(_factored(sums, keys, 1), keys))
-        at, near = _met(good, current, keys), _distances(x)
-    own = sizes.select("_lang", F.col("_source").alias("_group"), F.col("_own").alias("_source"))
-    return settled(own.join(current, keys, "left").drop("_source").withColumnRenamed("_group", "_source"))
-
-
-def _distances(x: list[Column]) -> list[Column]:
-    return [_squared(x, {(i, j): F.col(f"v{s}_{i}_{j}") for i in range(_P) for j in range(i + 1)}, [F.col(f"m{s}_{i}") for i in range(_P)]) for s in (0, 1)]
+        current = _step(at.select(*keys, "_salt", *x, *[d.alias(f"_d{s}") for s, d in enumerate(near)]), keys, x, range(STARTS), few)
+        at, near = _met(good, current, keys, few), [_distance(s, x) for s in range(STARTS)]
+
+    def least(rows: DataFrame, starts: range) -> DataFrame:
+        """Of some starts that of the least determinant, as start 0."""
+        dets = [F.col(f"det{s}_0") for s in starts]
+        best = F.least(*dets)
+        every = [F.struct(*[F.col(f"{k}{s}_{n}").alias(f"{k}0_{n}") for k, n in kinds]) for s in starts]
+        chosen = F.coalesce(*[F.when(d == best, e) for d, e in zip(dets, every, strict=True)])
+        return rows.select(*keys, chosen.alias("_best")).select(*keys, "_best.*")
+
+    kinds = [("m", str(i)) for i in range(_P)] + [("v", f"{i}_{j}") for i in range(_P) for j in range(i + 1)] + [("det", "0")]
+    best = settled(least(current, range(STARTS)))
+    while True:
+        after = _step(_met(good, best, keys, few).select(*keys, "_salt", *x, _distance(0, x).alias("_d0")), keys, x, range(1), few)
+        moved = after.select(*keys, *[F.col(f"{k}0_{n}").alias(f"{k}1_{n}") for k, n in kinds]).join(best, keys)
+        falls = bool(moved.where(F.col("det1_0") < F.col("det0_0") - FALL).take(1))
+        best = settled(least(moved, range(2)))
+        if not falls:
+            break
+    named = own.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.col("_own_lang").alias("_lang"), F.col("_own").alias("_source"))
+    return settled(named.join(best, keys, "left").drop(*keys).withColumnsRenamed({"_l": "_lang", "_s": "_source"}))
 
 
 def judged(stats: DataFrame, groups: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """measured() rows with distance2 (squared, robust; null where there is no estimate) and kept, by fitted() groups.
 
-    A row without an estimate is kept if it passes the base rules.
+    A row is kept if it passes the base rules and its distance is within CUTOFF, or if there is no estimate: only where
+    fewer than LEAST rows of the whole table pass. Repeated rows are judged alike; an empty table gives no rows.
     """
-    found = _met(_keyed(stats, lang_col, source_col), groups, ["_lang", "_source"], "left")
-    near = _distances(_vector())
-    found = found.withColumn("distance2", F.when(F.col("det0_0") <= F.col("det1_0"), near[0]).otherwise(near[1]))
+    found = _met(_keyed(stats, lang_col, source_col), groups, ["_lang", "_source"], groups.count() <= SENT, "left")
+    found = found.withColumn("distance2", _distance(0, _vector()))
     found = found.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF))
     return found.select(*stats.columns, "distance2", "kept")

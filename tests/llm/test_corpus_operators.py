@@ -244,6 +244,50 @@ def test_quality_counts_and_outliers(spark):
     assert quality.judged(none, quality.fitted(none)).count() == 0
 
 
+def fast_mcd(x, rng):
+    """log of the least determinant's root over many random starts, and the squared distances by its estimate."""
+    n, p = x.shape
+    best = (np.inf, None)
+    floor = np.diag(np.array(quality.FLOOR) ** 2)
+    for _ in range(200):
+        at = rng.choice(n, p + 1, replace=False)
+        last = np.inf
+        while True:
+            mean, cov = x[at].mean(0), quality.CONSISTENCY * np.cov(x[at].T, bias=True) + floor
+            det = np.linalg.slogdet(cov)[1] / 2
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            if len(at) > p + 1 and det > last - 1e-9:
+                break
+            last, at = (det if len(at) > p + 1 else np.inf), np.argsort(d, kind="stable")[: math.ceil(quality.CORE * n)]
+        best = min(best, (det, d), key=lambda b: b[0])
+    return best
+
+
+def test_estimates_are_those_of_least_determinant(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for g, share in enumerate((0.0, 0.1, 0.2)):
+        n = 400
+        words = rng.integers(50, 400, n)
+        per_word, symbols = rng.normal(5.5, 0.4, n), rng.poisson(2, n)
+        lines, repeats = rng.poisson(1, n), rng.poisson(3, n)
+        off = np.arange(n) < share * n
+        symbols = np.where(off, symbols + words // 2, symbols)
+        per_word = np.where(off, per_word + 3, per_word)
+        own = np.stack([words, (words * per_word).astype(int), symbols, lines, repeats], axis=1)
+        rows += [(*map(int, r), False, "l", f"g{g}") for r in own]
+        m = own[:, 0] + quality.PRIOR
+        x = np.stack([np.log((own[:, 1] + 5.5 * quality.PRIOR) / m), np.log1p(20 * own[:, 2] / m), np.log1p(20 * own[:, 3] / m), np.log1p(5 * own[:, 4] / m)], axis=1)
+        want[f"g{g}"] = (*fast_mcd(x, rng), off)
+    stats = spark.createDataFrame(rows, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, source string")
+    groups = quality.fitted(stats)
+    dets = {r["_source"][1:]: r["det0_0"] for r in groups.collect()}
+    for g, (det, d, off) in want.items():
+        assert dets[g] < det + 0.02
+        got = np.array([r.kept for r in quality.judged(stats.where(f"source = '{g}'"), groups).collect()])
+        assert (got == (d <= quality.CUTOFF)).mean() > 0.99 and not got[off].any()
+
+
 def test_leaks(spark):
     bench = spark.createDataFrame(
         [(1, "A train that goes 60 km/h leaves from Boston at 9 and reaches Denver after 3.5 hours, so how far is Denver"), (2, "one two three four five"), (3, None), (4, "to be"), (5, "7 8 9 10 11")],
