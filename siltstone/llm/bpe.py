@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,7 @@ from siltstone.llm.common import chunks
 #: those not met since the last time are forgotten.
 REMEMBERED = 60 << 20
 #: Characters of the texts of a block; a longer text makes a block of its own.
-BLOCK = 1 << 20
-#: Texts that are taken out of Arrow at a time.
-TAKEN = 500
+BLOCK = 1 << 22
 #: Tokens after which a worker passes its rows on.
 PASSED = 1 << 19
 #: Fixed value: the pattern whose pre-tokens parts() may cut at spaces; with any other, texts are split by the pattern alone.
@@ -275,8 +274,9 @@ class Bpe:
 
     def coded(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of the texts of a block."""
-        cut = [self.parts(text) for text in texts]
-        missing = set().union(*cut)
+        missing: set[str] = set()
+        for text in texts:
+            missing.update(self.parts(text))
         if self.held > REMEMBERED:
             self.older, self.known, self.pieces, self.held = (self.known, self.pieces), {}, {}, 0
         missing.difference_update(self.known)
@@ -285,7 +285,7 @@ class Bpe:
         self.known.update((x, older[x]) for x in again)
         self.held += sum(400 + 20 * len(x) for x in missing)
         self.learn(missing - again)
-        return [list(chain.from_iterable(map(self.known.__getitem__, parts))) for parts in cut]
+        return [list(chain.from_iterable(map(self.known.__getitem__, self.parts(text)))) for text in texts]
 
     def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each whole text."""
@@ -343,7 +343,9 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, np.int32))))  # noqa: B023
                 return pa.RecordBatch.from_arrays(columns, names)
 
-            taken = (batch.column("text").slice(at, TAKEN).to_pylist() for at in range(0, batch.num_rows, TAKEN))
+            block = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy()) // BLOCK
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
+            taken = (batch.column("text").slice(a, b - a).to_pylist() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
             for end, ids in enumerate(chain.from_iterable(map(coder.encode_all, taken)), 1):
                 counts.append(len(ids))
                 tokens += len(ids)
