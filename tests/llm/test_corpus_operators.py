@@ -338,14 +338,57 @@ def test_leaks(spark):
     )
     same = "x. A train that goes 72 km/h leaves from Paris at 8 and reaches Berlin after 2.5 hours, so how far is Berlin and more"
     rows = [(1, same), (2, same.replace("far is Berlin", "far is Rome")), (3, "zero one TWO three four five six"), (4, None), (5, ""), (5, "7 8 9 10 11 to be"), (None, "one two three, four five"), (6, "one two three four")]
-    docs = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, item string")
-    got = {(r.doc_id): r for r in decontaminate.judged(docs, bench).collect() if r.doc_id != 5}
-    assert [k for k, r in got.items() if r.contaminated and k] == [1, 3] or {k for k, r in got.items() if r.contaminated} == {1, 3, None}
-    assert got[1].item_id == 1 and got[3].item_id == 2 and got[1].coverage == 1.0
-    assert sorted(r.text or "" for r in decontaminate.clean(docs, bench).collect()) == sorted(t or "" for i, t in rows if i not in (1, 3, None))
+    docs = spark.createDataFrame([(i, t, "clash", "k") for i, t in rows], "doc_id long, text string, item string, _leak string")
+    got = {(r.doc_id, r.text): r for r in decontaminate.judged(docs, bench).join(docs.select("doc_id", "text"), "doc_id", "left").collect() if r.doc_id not in (5, None)}
+    assert {k for (k, _), r in got.items() if r.contaminated} == {1, 3}
+    assert got[1, same].item_id == 1 and got[3, rows[2][1]].item_id == 2 and got[1, same].coverage == 1.0
+    five = decontaminate.judged(docs.where("doc_id = 5"), bench).collect()
+    assert sorted((r.n_items, r.item_id) for r in five) == sorted([(0, None), (2, 4)], key=str) or {(r.n_items, r.item_id) for r in five} == {(0, None), (2, 4)}
+    gone = (same, rows[2][1], rows[5][1], rows[6][1])
+    assert sorted(r.text or "" for r in decontaminate.clean(docs, bench).collect()) == sorted(t or "" for _, t in rows if t not in gone)
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(rows) and decontaminate.judged(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_by_brute_force(spark):
+    rng = random.Random(21)
+    words = vocabulary(rng, 4000)
+    items = [(f"q{i}", " ".join(rng.choices(words, k=rng.randint(1, 40)))) for i in range(40)] + [("n1", "12 + 7 = 19 and 30 - 4 = 26 ?"), ("n2", "who wrote hamlet")]
+    rows = []
+    for i in range(160):
+        text = rng.choices(words, k=rng.randint(5, 120))
+        if i % 2:
+            item = rng.choice(items)[1].split()
+            part = item[: max(1, int(len(item) * rng.choice((0.2, 0.45, 0.7, 1.0))))]
+            at = rng.randint(0, len(text))
+            text[at:at] = part
+        rows.append((f"d{i}", " ".join(text)))
+    docs, bench = spark.createDataFrame(rows, "doc_id string, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {r.doc_id: r.item_id for r in decontaminate.judged(docs, bench).collect() if r.contaminated}
+    split = lambda t: re.findall(r"\w+", t)
+    want = set()
+    for i, t in rows:
+        theirs = split(t)
+        for _, item in items:
+            ours = split(item)
+            n = min(8, len(ours))
+            windows = {tuple(theirs[k : k + n]) for k in range(len(theirs) - n + 1)}
+            covered = {j for k in range(len(ours) - n + 1) if tuple(ours[k : k + n]) in windows for j in range(k, k + n)}
+            if len(covered) >= 0.5 * len(ours):
+                want.add(i)
+    assert set(got) == want and len(want) > 30
+
+
+def test_runs_of_unlike_slots_do_not_count(spark):
+    item = "A shop sells 5 red pens and 9 blue pens each day , how many pens does it sell , and then how many pens remain if 5 are lost"
+    good = item.replace("5", "7").replace("9", "3")
+    mixed = good.replace("remain if 7", "remain if 8")
+    apart = "tell me and then how many pens remain . " + "word " * 400 + "A shop sells 5 red pens and 9 blue pens"
+    bench = spark.createDataFrame([("x", item)], "item_id string, text string")
+    docs = spark.createDataFrame([("good", good), ("mixed", mixed), ("apart", apart)], "doc_id string, text string")
+    got = {r.doc_id: r.contaminated for r in decontaminate.judged(docs, bench).collect()}
+    assert got == {"good": True, "mixed": False, "apart": False}
+
+
 def test_leaks_of_few_words_and_of_first_words(spark):
     rows = [(1, "Solve 3x + 5 = 20"), (2, "What is the capital of France"), (3, "Add 11 12 13 14 15 16 17 18 19 20 and then take the half of all that you have got"), (4, "Anna Bell met Carl")]
     bench = spark.createDataFrame(rows, "item_id long, text string")
