@@ -2,29 +2,63 @@
 
 An entity's surrogate comes from a keyed hash of what it is and what it says: the same entity gets the same surrogate
 everywhere, of the same kind, format, script and gender. Entities whose surrogates collide with another's, or with a real
-entity, take the next draw of their hash until all differ.
+entity, and only those, take the next draw of their hash until all differ. A name that a text has after a title is replaced
+wherever else it stands in that text as well.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import settled
 
-#: Draws of a hash before giving up; a draw collides rarely, so that many in a row don't happen.
-DRAWS = 40
+#: Draws of a hash before giving up. Names grow with each draw, so that any number of them is told apart; values of a fixed
+#: format (a number of ten digits) cannot be where a corpus has nearly all there are.
+DRAWS = 60
 
-# Titles by gender, and given names and syllables of surnames by script.
-_TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra г-жа госпожа".split(), "m": "Mr Herr Monsieur Señor Sr г-н господин".split(), "n": "Dr Prof".split()}
+# Titles by gender; given names and syllables of surnames by script, and letters of scripts without capitals.
+_TITLES = {"f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "госпожа"), "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"), "n": ("Dr", "Prof")}
 _GIVEN = {
-    "f": {"latin": "Anna Clara Elena Greta Irene Julia Laura Maria Nora Paula Rosa Sofia Teresa Vera Alice Diana".split(), "cyrillic": "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Татьяна Юлия Полина".split()},
-    "m": {"latin": "Albert Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Leo Martin Oscar Paul Simon Victor".split(), "cyrillic": "Андрей Борис Виктор Глеб Денис Иван Кирилл Максим Николай Олег Павел Роман".split()},
-    "n": {"latin": "Alex Robin Sasha Kim Noel Jules Charlie Quinn Rene Toni Jamie Marin".split(), "cyrillic": "Саша Женя Валя Шура Слава Вася Паша Тоша".split()},
+    "f": {
+        "Latin": "Anna Clara Elena Greta Irene Julia Laura Maria Nora Paula Rosa Sofia Teresa Vera Alice Diana",
+        "Cyrillic": "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Татьяна Юлия Полина",
+        "Greek": "Άννα Ελένη Ειρήνη Κατερίνα Μαρία Σοφία Δήμητρα Γεωργία",
+        "Armenian": "Անի Արփի Գայանե Լիլիթ Մարիամ Նարե Սոնա Տաթև",
+    },
+    "m": {
+        "Latin": "Albert Bruno Carl David Erik Felix Georg Hugo Ivan Jonas Leo Martin Oscar Paul Simon Victor",
+        "Cyrillic": "Андрей Борис Виктор Глеб Денис Иван Кирилл Максим Николай Олег Павел Роман",
+        "Greek": "Γιώργος Νίκος Κώστας Δημήτρης Παύλος Πέτρος Στέφανος Μάρκος",
+        "Armenian": "Արամ Արմեն Դավիթ Կարեն Նարեկ Տիգրան Հայկ Վահան",
+    },
+    "n": {
+        "Latin": "Alex Robin Sasha Kim Noel Jules Charlie Quinn Rene Toni Jamie Marin",
+        "Cyrillic": "Саша Женя Валя Шура Слава Вася Паша Тоша",
+        "Greek": "Αλέξ Χάρις Φώτις Τζο Άρις Λίο",
+        "Armenian": "Ալեքս Արև Լույս Հույս Նար Սիփան",
+    },
+}
+_SYLLABLES = {
+    "Latin": "ba den for gal hel kin lor mar nel ost per ras sel tam ul ver win zan bor dal fen gar",
+    "Cyrillic": "ба вор гал дан зен кир лом мар нов ост пер род сел там улин фед чер шан",
+    "Greek": "βα γα δη κο λα μα νι πα ρι σα τα φω",
+    "Armenian": "բա գա դե կա լու մա նա սար տեր վա րա պե",
+}
+_LETTERS = {
+    "Han": "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧",
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほ",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホ",
+    "Hangul": "김이박최정강조윤장임한오서신권황안송류홍민수지현우영진호",
+    "Arabic": "ابتثجحخدذرزسشصضطعفقكلمنهوي",
+    "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Devanagari": "अकखगघचछजझटठडतथदधनपफबभमयरलवशसह",
+    "Thai": "กขคงจชซดตถทธนบปผพฟมยรลวสหอ",
 }
-_SYLLABLES = {"latin": "ba den for gal hel kin lor mar nel ost per ras sel tam ul ver win zan bor dal fen gar".split(), "cyrillic": "ба вор гал дан зен кир лом мар нов ост пер род сел там улин фед чер шан".split()}
 
-_NAME_WORD = r"\p{Lu}[\p{L}'’-]*+"
+_NAME_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:['’-](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+"
 _TITLED = r"(?:" + "|".join(t for words in _TITLES.values() for t in words) + r")"
 _NAMED = rf"(?<![\p{{L}}]){_TITLED}\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
@@ -40,7 +74,7 @@ _SECRET = r"(?<=(?:token|secret|password|api_key|apikey|key) ?[=:] ?[\"'])[A-Za-
 KINDS = (("email", _EMAIL), ("ip", _IP), ("iban", _IBAN), ("ssn", _SSN), ("card", _CARD), ("phone", _PHONE), ("key_id", _KEY_ID), ("secret", _SECRET), ("person", _NAMED))
 PATTERN = "|".join(p for _, p in KINDS)
 #: What a text with any entity has somewhere; it is cheap to look for.
-_HINT = rf"[@0-9]|AKIA|(?<![\p{{L}}]){_TITLED}\.? \p{{Lu}}|(?:token|secret|password|api_key|apikey|key) ?[=:] ?[\"']"
+_HINT = rf"[@0-9]|AKIA|(?<![\p{{L}}]){_TITLED}\.? [\p{{Lu}}\p{{Lt}}\p{{Lo}}]|(?:token|secret|password|api_key|apikey|key) ?[=:] ?[\"']"
 
 
 def _kind(entity: Column) -> Column:
@@ -63,8 +97,9 @@ def _byte(h: Column, i: Column) -> Column:
 
 
 def _hash(key: str, kind: Column, value: Column, draw: Column) -> Column:
-    seed = F.concat_ws("\0", F.lit(key), kind, value, draw.cast("string"))
-    return F.concat(*[F.sha2(F.concat(seed, F.lit(f"\0{i}")), 256) for i in range(3)])
+    inner, outer = (hashlib.sha256(f"{x}\0{key}".encode()).hexdigest() for x in ("inner", "outer"))  # the key itself is in no plan
+    seed = F.sha2(F.concat_ws("\0", F.lit(inner), kind, value, draw.cast("string")), 256)
+    return F.concat(*[F.sha2(F.concat(F.lit(f"{outer}\0{i}\0"), seed), 256) for i in range(3)])
 
 
 def _redrawn(value: Column, h: Column, keep: int = 0) -> Column:
@@ -83,6 +118,20 @@ def _hex(value: Column, h: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.substr(F.lit("0123456789abcdef"), _byte(h, i) % 16 + 1, F.lit(1))), "")
 
 
+def _mod97(code: Column) -> Column:
+    """A string of digits and capitals as a number, A being 10, by 97."""
+    step = lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.filter(F.split(code, ""), lambda c: c != ""), F.lit(0), step)
+
+
+def _iban(value: Column, h: Column) -> Column:
+    """All but the country redrawn, with the check digits that belong to it."""
+    drawn = _redrawn(value, h, 4)
+    country, rest = F.substring(drawn, 1, 2), F.substring(drawn, F.lit(5), F.length(drawn))
+    check = 98 - _mod97(F.concat(F.regexp_replace(rest, " ", ""), country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
+
+
 def _parts(words: list[str], h: Column, n: Column) -> Column:
     """n words by the bytes of a hash."""
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.array(*map(F.lit, words)), _byte(h, i) % len(words)))
@@ -91,7 +140,6 @@ def _parts(words: list[str], h: Column, n: Column) -> Column:
 def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     """The surrogate of an entity, or of one word of a person's name (kinds given-f, given-m, given-n, surname)."""
     h = _hash(key, kind, value, draw)
-    cyrillic = value.rlike(r"\p{IsCyrillic}")
     domain = F.substring_index(value, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
@@ -105,9 +153,6 @@ def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     redrawn = _redrawn(value, h)
     phone = F.concat(F.substring(value, F.lit(1), area), F.substring(redrawn, area + 1, F.length(value)))
 
-    def scripted(tables: dict[str, list[str]], build) -> Column:  # noqa: ANN001
-        return F.when(cyrillic, build(tables["cyrillic"])).otherwise(build(tables["latin"]))
-
     # a part more for each draw from the fifth on, so that the names are more than any vocabulary
     more = F.greatest(draw - 4, F.lit(0))
 
@@ -117,8 +162,18 @@ def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     def surname(words: list[str]) -> Column:
         return F.initcap(F.array_join(_parts(words, h, 3 + (draw > 0).cast("int") + (draw > 2).cast("int") + more), ""))
 
+    def scripted(tables: dict[str, str], build) -> Column:  # noqa: ANN001
+        """Of the table of the value's script, or as many of its script's letters; Latin for any other script."""
+        out = build(tables["Latin"].split())
+        for script in tables:
+            if script != "Latin":
+                out = F.when(value.rlike(rf"\p{{Is{script}}}"), build(tables[script].split())).otherwise(out)
+        for script, letters in _LETTERS.items():
+            out = F.when(value.rlike(rf"\p{{Is{script}}}"), F.array_join(_parts(list(letters), h, F.greatest(F.length(value), F.lit(2)) + (draw > 0).cast("int") + more), "")).otherwise(out)
+        return out
+
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "number", value)
-    out = out.when(kind == "key_id", _redrawn(value, h, 4)).when(kind == "iban", _redrawn(value, h, 2))
+    out = out.when(kind == "key_id", _redrawn(value, h, 4)).when(kind == "iban", _iban(value, h))
     out = out.when((kind == "secret") & value.rlike("^[0-9a-f]+$"), _hex(value, h))
     for g in "fmn":
         out = out.when(kind == f"given-{g}", scripted(_GIVEN[g], given))
@@ -141,32 +196,45 @@ def _words_of(entity: Column, kind: Column) -> Column:
 def assigned(values: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value) rows: surrogates of a class differ from each other and from all values.
 
-    Names are told apart within their class (given names of a gender, surnames), the others among themselves.
+    Names are told apart within their class (given names of a gender, surnames), the others among themselves. A draw that is
+    taken is drawn again, the others stay. An empty table gives no rows; values are not null.
     """
-    real = values.select("kind", F.col("value").alias("surrogate"))
-    current = values.withColumn("draw", F.lit(0))
+    real = values.select("kind", F.col("value").alias("surrogate")).withColumn("used", F.lit(True))
+    pending, done = values.withColumn("draw", F.lit(0)), []
     for _ in range(DRAWS):
-        drawn = current.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("draw"), key))
-        drawn = settled(drawn)
-        # the least value of those with one surrogate keeps it: collisions are few, and counted before they move
-        first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "value"))["value"].alias("first"), F.count("*").alias("n"))
-        taken = first.join(real.withColumn("real", F.lit(True)), ["kind", "surrogate"], "left").where("(n > 1 or real) and kind != 'number'")
-        bad = settled(taken)
-        if not bad.take(1):
-            return drawn.select("kind", "value", "surrogate")
-        moved = drawn.join(bad, ["kind", "surrogate"], "left")
-        again = F.col("real").isNotNull() | (F.col("n").isNotNull() & (F.col("first") != F.col("value")))
-        current = moved.select("kind", "value", (F.col("draw") + again.cast("int")).alias("draw"))
-    raise RuntimeError(f"surrogates still collide after {DRAWS} draws")
+        drawn = settled(pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("draw"), key)))
+        # the least value of those with one surrogate keeps it, unless it is used already: counted before they move
+        first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n"))
+        used = real
+        for part in done:
+            used = used.unionByName(part.select("kind", "surrogate", F.lit(True).alias("used")))
+        taken = settled(first.join(used, ["kind", "surrogate"], "left").where("(n > 1 or used) and kind != 'number'").select("kind", "surrogate", F.when(F.col("used").isNull(), F.col("first")).alias("first"), F.lit(True).alias("again")))
+        if not taken.take(1):
+            done.append(drawn.select("kind", "value", "surrogate"))
+            break
+        moved = drawn.join(taken, ["kind", "surrogate"], "left")
+        again = F.col("again").isNotNull() & ~F.coalesce(F.col("first") == F.col("value"), F.lit(False))
+        moved = settled(moved.select("kind", "value", "surrogate", "draw", again.alias("again")))
+        done.append(moved.where(~F.col("again")).select("kind", "value", "surrogate"))
+        pending = moved.where("again").select("kind", "value", (F.col("draw") + 1).alias("draw"))
+    else:
+        if pending.take(1):
+            raise RuntimeError(f"a format has too few values for distinct surrogates ({DRAWS} draws)")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
-    """docs with the personal data in each whole text replaced; with count_col, how many entities each text had.
+    """docs with the personal data in each whole text replaced; with count_col, how many places were replaced in each text.
 
     Null texts stay null and have none; empty texts stay; repeated rows get the same text; all other columns stay, and
-    those of docs may have any names. Texts without entities are not moved; the others are moved once, with their
-    entities, and no row holds more than its own text's entities.
+    those of docs may have any names; one named count_col is replaced. Texts of any length are taken whole. Texts without
+    entities are not moved; the others are moved once, with their entities, and no row holds more than its own text's
+    entities. An empty table gives no rows.
     """
+    docs = docs.drop(count_col) if count_col else docs
     text = F.col(f"`{text_col}`")
     found = F.coalesce(text.rlike(_HINT) & text.rlike(PATTERN), F.lit(False))
     counted = [count_col] if count_col else []
@@ -175,17 +243,29 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
         plain = plain.withColumn(count_col, F.lit(0))
     rows = docs.where(found).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     inner = F.col("row").getField(text_col)
-    rows = rows.withColumns({"entities": F.regexp_extract_all(inner, F.lit(f"({PATTERN})"), F.lit(1)), "pieces": F.split(inner, PATTERN, -1)})
-    rows = settled(rows.withColumn("at", F.monotonically_increasing_id()))
-    each = rows.select("at", F.explode(F.array_distinct("entities")).alias("entity")).withColumn("kind", _kind(F.col("entity")))
-    each = each.withColumn("words", _words_of(F.col("entity"), F.col("kind")))
-    words = each.select("at", F.explode("words").alias("w")).select("at", "w.kind", "w.value").distinct()
+    rows = rows.withColumn("entities", F.regexp_extract_all(inner, F.lit(f"({PATTERN})"), F.lit(1)))
+    names = F.flatten(F.transform(F.filter("entities", lambda e: _kind(e) == "person"), lambda e: _words_of(e, F.lit("person"))))
+    rows = rows.withColumn("names", F.filter(F.array_distinct(names), lambda w: F.length(w["value"]) > 1))
+    # names of the text again, without a title: letters, apostrophes and hyphens only, so they need no escapes
+    again = F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{M}}\p{{N}}])(?:"), F.array_join(F.col("names")["value"], "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    named = F.size("names") > 0
+    every = F.when(named, F.regexp_extract_all(inner, F.concat(F.lit("("), again, F.lit(")")), F.lit(1))).otherwise(F.col("entities"))
+    pieces = F.when(named, F.split(inner, again, -1)).otherwise(F.split(inner, PATTERN, -1))
+    rows = settled(rows.withColumns({"pieces": pieces, "entities": every}).withColumn("at", F.monotonically_increasing_id()))
+
+    def words_of(entity: Column) -> Column:
+        """What of an entity gets surrogates, a name without title as what it is after one."""
+        known = F.filter("names", lambda w: w["value"] == entity)
+        return F.when(F.size(known) > 0, F.array(F.array_max(known))).otherwise(_words_of(entity, _kind(entity)))
+
+    each = rows.select("at", "names", F.explode(F.array_distinct("entities")).alias("entity"))
+    words = each.select("at", F.explode(words_of(F.col("entity"))).alias("w")).select("at", "w.kind", "w.value").distinct()
     surrogates = assigned(settled(words.select("kind", "value").distinct()), key)
     pair = F.struct(F.concat_ws("\0", "kind", "value").alias("key"), F.col("surrogate").alias("value"))
     maps = words.join(surrogates, ["kind", "value"]).groupBy("at").agg(F.map_from_entries(F.collect_set(pair)).alias("known"))
 
     def new(entity: Column) -> Column:
-        parts = F.transform(_words_of(entity, _kind(entity)), lambda w: F.try_element_at("known", F.concat_ws("\0", w["kind"], w["value"])))
+        parts = F.transform(words_of(entity), lambda w: F.try_element_at("known", F.concat_ws("\0", w["kind"], w["value"])))
         joined = F.array_join(parts, " ")
         return F.when(_kind(entity) == "person", F.concat(F.regexp_extract(entity, r"^(\S+ )", 1), joined)).otherwise(joined)
 
@@ -193,4 +273,5 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     whole = F.array_join(F.flatten(F.zip_with("pieces", fresh, lambda p, e: F.array(F.coalesce(p, F.lit("")), F.coalesce(e, F.lit(""))))), "")
     changed = rows.join(maps, "at", "left").withColumn("_new", whole)
     columns = [(F.col("_new") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]
-    return plain.unionByName(changed.select(*columns, *[F.size("entities").alias(c) for c in counted]))
+    number = F.size(F.filter("entities", lambda e: _kind(e) != "number"))
+    return plain.unionByName(changed.select(*columns, *[number.alias(c) for c in counted]))

@@ -429,7 +429,7 @@ def test_surrogates(spark):
     assert [got[i].n for i in range(6)] == [7, 6, 4, 0, 0, 0] and [got[i].text for i in (3, 4, 5)] == [None, "", "no data, 7 of 9"]
     assert all(r.kind == "c" and r.known == "k" for r in got.values())
     one = re.match(r"Mrs\. (\w+) (\w+) met Mr (\w+)\. Mr\. (\w+) (\w+), г-жа (\w+) (\w+); (\d{3}-\d\d-\d{4}) and (\S+@\S+), (\S+@\S+)$", got[0].text)
-    assert one and one[2] == one[3] != "Smith" and one[1] in pii._GIVEN["f"]["latin"] and one[4] in pii._GIVEN["m"]["latin"] and one[6] in pii._GIVEN["f"]["cyrillic"]
+    assert one and one[2] == one[3] != "Smith" and one[1] in pii._GIVEN["f"]["Latin"].split() and one[4] in pii._GIVEN["m"]["Latin"].split() and one[6] in pii._GIVEN["f"]["Cyrillic"].split()
     assert re.search("[а-я]", one[7]) and one[9] != one[10] and one[9].split("@")[1] == one[10].split("@")[1]
     assert one[2] == re.match(r"Mr (\w+)", got[1].text)[1]
     card = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[1].text)[0].replace(" ", "")
@@ -443,6 +443,31 @@ def test_surrogates(spark):
     assert pii.replaced(docs.limit(0), "key").count() == 0
 
 
+def test_surrogates_of_names_without_title(spark):
+    texts = [
+        "Dr Smith. Anna Smith called Mr. Smith; Smith said so, Smithson did not. Smith's dog",
+        "Ms Anna Smith came. Anna left; ANNA and Annabel stayed",
+        "Mr Παπαδόπουλος and Mr 王伟 met г-н Իվան",
+        "IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432",
+        "numbers 1234 5678 9012 3456 only, and 1.2.3.4",
+        "Miss O'Neil-Smith saw Mr Bell's bell",
+    ]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(texts)], "doc_id long, text string, n long")
+    got = {r.doc_id: r for r in pii.replaced(docs, "key", count_col="n").collect()}
+    name = re.match(r"Dr (\w+)\. Anna (\w+) called Mr\. (\w+); (\w+) said so, Smithson did not\. (\w+)'s dog$", got[0].text)
+    assert name and len(set(name.groups())) == 1 and name[1] != "Smith" and got[0].n == 5
+    ms = re.match(r"Ms (\S+) (\w+) came\. (\S+) left; ANNA and Annabel stayed$", got[1].text)
+    assert ms and ms[1] == ms[3] != "Anna" and ms[2] == name[1] and got[1].n == 2
+    other = re.match(r"Mr (\S+) and Mr (\S+) met г-н (\S+)$", got[2].text)
+    assert re.fullmatch("[Ͱ-Ͽ]+", other[1]) and re.fullmatch("[一-鿿]{2,}", other[2]) and re.fullmatch("[\u0530-\u058f]+", other[3])
+    for iban in re.findall(r"[A-Z]{2}\d\d[A-Z0-9 ]{10,}\d", got[3].text):
+        flat = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+    assert "DE" in got[3].text and "3704" not in got[3].text and got[3].n == 2
+    assert got[4].n == 1 and "1234 5678 9012 3456" in got[4].text
+    assert not re.search("Neil|Bell", got[5].text) and got[5].text.endswith("'s bell")
+
+
 def test_surrogates_stay_distinct(spark):
     names = [("given-f", f"Name{i}") for i in range(60)] + [("given-f", "Anna"), ("given-f", "Clara")]
     got = pii.assigned(spark.createDataFrame(names, "kind string, value string"), "k").collect()
@@ -452,8 +477,8 @@ def test_surrogates_stay_distinct(spark):
 
 def test_surrogates_of_any_number_of_names(spark):
     kinds = ("given-f", "given-m", "given-n", "surname")
-    names = [(k, f"{first}{i}") for k in kinds for first in ("Name", "Имя") for i in range(3000)]
+    names = [(k, f"{first}{i}") for k in kinds for first in ("Name", "Имя") for i in range(6000)]
     got = pii.assigned(spark.createDataFrame(names, "kind string, value string"), "k").collect()
     assert len(got) == len(names) == len({(r.kind, r.surrogate) for r in got})
     assert all(bool(re.search("[а-я]", r.surrogate)) == (r.value[0] == "И") for r in got)
-    assert all(r.surrogate.split("-")[0] in pii._GIVEN[r.kind[-1]]["cyrillic" if r.value[0] == "И" else "latin"] for r in got if r.kind != "surname")
+    assert all(r.surrogate.split("-")[0] in pii._GIVEN[r.kind[-1]]["Cyrillic" if r.value[0] == "И" else "Latin"].split() for r in got if r.kind != "surname")
