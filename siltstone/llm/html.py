@@ -1,7 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the running text that stands in them; each page votes for the generalised tag-class
-paths of its best ones; Spark sums the votes per host; every page is extracted again by the paths that won on its host.
+paths of its best ones; Spark sums the votes per host; every page is extracted again by all the paths that won on its host,
+with what stands right beside them in their parent. Class names lower a container's score; they take an element out of the
+text only if it holds less than half of the page's running text, or readers' comments.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import settled
 
-#: Share of a host's votes that a path needs.
-SHARE = 0.1
+#: Share of a host's votes that a path needs, and a path with the same parent as one that has it.
+SHARE, BESIDE = 0.1, 0.02
 #: Paths that a page votes for.
-VOTES = 3
+VOTES = 5
+#: What the score of a container is multiplied by if it is named as what is no article.
+PENALTY = 0.2
 #: Bytes of the winners' table, at most, that is sent to every executor; a larger one is joined by shuffle.
 SENT_BYTES = 16 << 20
 
@@ -36,9 +40,12 @@ _CLOSED_BY = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd"
 # Words of class, id and role that name what is no part of an article.
 _NOT_TEXT = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead comment comments disqus reply replies respond share sharing social "
+    "sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer foot header masthead share sharing social "
     "related recommended newsletter subscribe subscription signup login search toolbar pagination pager widget skip".split()
 )
+_COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+#: Names that tell how a page is laid out, not what an element is.
+_LAYOUT = re.compile(r"(?:has|no|with|without)[-_]", re.IGNORECASE)
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)[^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
@@ -53,15 +60,38 @@ _DIGITS = re.compile(r"\d+")
 class Page:
     """A page's elements and blocks of text in order.
 
-    Of each element: tag, parent, path, whether it is out of the text; of each block: element, text, characters in links.
+    Of each element: tag, parent, path, whether it is out of the text, and whether it is named as no article (1) or as
+    comments (2); of each block: element, text, characters in links.
     """
 
     def __init__(self, html: str | None):
-        self.tags, self.parents, self.paths, self.out = ["#"], [-1], [""], [False]
+        self.tags, self.parents, self.paths, self.out, self.named = ["#"], [-1], [""], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self._parts: list[str] = []
         self._linked = 0
         self._read(html or "")
+        self._hide()
+
+    def _hide(self) -> None:
+        """Leave out the blocks of comments, and of elements named as no article that hold no more than half of the running text."""
+        if not any(self.named):
+            return
+        n = len(self.tags)
+        head = [tag in ("h1", "main") for tag in self.tags]
+        for i in range(n - 1, 0, -1):
+            head[self.parents[i]] = head[self.parents[i]] or head[i]
+        self._leave_out([self.named[i] == 2 and not head[i] for i in range(n)])
+        running = [0] * n
+        for element, text, linked in self.blocks:
+            running[element] += len(text) - linked
+        for i in range(n - 1, 0, -1):
+            running[self.parents[i]] += running[i]
+        self._leave_out([self.named[i] == 1 and 2 * running[i] <= running[0] for i in range(n)])
+
+    def _leave_out(self, hidden: list[bool]) -> None:
+        for i in range(1, len(hidden)):
+            hidden[i] = hidden[i] or hidden[self.parents[i]]
+        self.blocks = [b for b in self.blocks if not hidden[b[0]]]
 
     def _flush(self, element: int) -> None:
         text = " ".join("".join(self._parts).split())
@@ -149,14 +179,17 @@ class Page:
 
     def _open(self, tag: str, attributes: str, stack: list[int]) -> None:
         parent = stack[-1]
-        step, named = tag, False
+        step, named = tag, 0
         if "=" in attributes:
             for m in _NAMES.finditer(attributes):
                 value = m[2] or m[3] or m[4] or ""
-                named = named or not _NOT_TEXT.isdisjoint(w.lower() for w in _WORD.findall(value))
+                words = {w.lower() for x in value.split() if not _LAYOUT.match(x) for w in _WORD.findall(x)}
+                named = max(named, 2 * (not _COMMENTS.isdisjoint(words)), not _NOT_TEXT.isdisjoint(words))
                 if m[1].lower() == "class":
                     step += "".join("." + x for x in sorted({_DIGITS.sub("0", c.lower()) for c in value.split()})[:3])
-        hidden = tag in _OUT or named and tag not in ("html", "body", "article", "main") and tag not in _HEADINGS
+        if tag in ("html", "body", "main") or tag in _HEADINGS or tag == "article" and named == 1:
+            named = 0
+        hidden = tag in _OUT or named > 0 and tag not in _BLOCK  # in the middle of a block it goes at once
         if tag == "header" and any(self.tags[i] == "article" for i in stack):
             hidden = False  # an article's own head; only its headings are kept
         kept_head = tag not in _HEADINGS and self.tags[parent] == "header"
@@ -164,19 +197,28 @@ class Page:
         self.parents.append(parent)
         self.paths.append(f"{self.paths[parent]}/{step}")
         self.out.append(self.out[parent] or hidden or kept_head)
+        self.named.append(named)
         stack.append(len(self.tags) - 1)
 
+    def _container(self, element: int) -> int:
+        return self.parents[element] if self.tags[element] in _TEXTUAL else element
+
     def scores(self) -> dict[int, float]:
         """Running text of each container: all of what stands right in it, half of what stands a level deeper."""
         found: dict[int, float] = defaultdict(float)
         for element, text, linked in self.blocks:
             value = (len(text) - linked) * (1 - linked / len(text))
-            first = self.parents[element] if self.tags[element] in _TEXTUAL else element
+            first = self._container(element)
             if first > 0:
                 found[first] += value
                 above = self.parents[first]
                 if above > 0 and self.tags[above] != "html":
                     found[above] += value / 2
+        if any(self.named):
+            weight = [1.0] * len(self.tags)
+            for i in range(1, len(weight)):
+                weight[i] = weight[self.parents[i]] * (PENALTY if self.named[i] else 1)
+            found = {i: score * weight[i] for i, score in found.items()}
         return found
 
     def votes(self) -> list[tuple[str, float]]:
@@ -188,19 +230,46 @@ class Page:
         total = sum(score for _, score in best)
         return [(path, score / total) for path, score in best if score > 0] if total > 0 else []
 
-    def text(self, winners: list[str]) -> str:
-        """The blocks in the elements of the first winning path that the page has text in, else in the page's own best."""
+    def text(self, winners: list[str], beside: list[str] = ()) -> str:
+        """The blocks in all elements of winning paths, else in the page's own best; with those of paths beside them, and
+        with headings and running text that stand right in their parent, or in an article above them."""
         paths = set(self.paths)
-        own = [path for path, _ in self.votes()[:1]]
-        for path in [*(w for w in winners if w in paths), *own]:
-            inside = [False] * len(self.paths)
-            for i in range(1, len(inside)):
-                inside[i] = inside[self.parents[i]] or self.paths[i] == path
-            got = [text for element, text, _ in self.blocks if inside[element]]
-            if got:
-                return "\n".join(got)
+        for chosen in ({w for w in winners if w in paths}, {path for path, _ in self.votes()[:1]}):
+            if chosen:
+                parents = {path.rpartition("/")[0] for path in chosen}
+                chosen = chosen | {path for path in beside if path in paths and path.rpartition("/")[0] in parents}
+                got = self._inside(chosen)
+                if got:
+                    return "\n".join(got)
         return "\n".join(text for _, text, _ in self.blocks)
 
+    def _inside(self, chosen: set[str]) -> list[str]:
+        n = len(self.paths)
+        inside, above = [False] * n, [False] * n
+        for i in range(1, n):
+            inside[i] = inside[self.parents[i]] or self.paths[i] in chosen
+        held = {element for element, _, _ in self.blocks if inside[element]}
+        for element in held:
+            i = element
+            while not (self.paths[i] in chosen and not inside[self.parents[i]]):
+                i = self.parents[i]
+            i, near = self.parents[i], True
+            while i > 0 and self.tags[i] not in ("html", "body"):
+                above[i] = above[i] or near or self.tags[i] in ("article", "main")
+                i, near = self.parents[i], False
+        headed = any(self._headed(element) for element in held)
+        out = []
+        for element, text, linked in self.blocks:
+            container = self._container(element)
+            right_above = above[container] and (2 * linked < len(text) or self.tags[element] in _HEADINGS)
+            title = not headed and self.tags[element] == "h1" and self.tags[container] == "body"
+            if inside[element] or bool(held) and (right_above or title):
+                out.append(text)
+        return out if held else []
+
+    def _headed(self, element: int) -> bool:
+        return self.tags[element] == "h1"
+
 
 def host_of(url: str | None) -> str:
     """The host in lower case, without user, port and a leading www.; empty if there is none."""
@@ -214,7 +283,10 @@ def _host_column():  # noqa: ANN202
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, paths): for each host the paths that won, best first. Takes the columns url and html."""
+    """(host, paths, beside): for each host the paths that won, best first, and those that count beside a winner.
+
+    Takes the columns url and html.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +296,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
     votes = pages.select(_host_column().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, path string, vote double")
     votes = votes.groupBy("host", "path").agg(F.sum(F.round("vote", 6).cast("decimal(28,6)")).alias("votes"))
     total = votes.groupBy("host").agg(F.sum("votes").alias("all"), F.max("votes").alias("most"))
-    won = votes.join(total, "host").where((F.col("votes") >= SHARE * F.col("all")) | (F.col("votes") == F.col("most")))
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path")))
-    return won.groupBy("host").agg(ranked.alias("ranked")).select("host", F.col("ranked.path").alias("paths"))
+    near = votes.join(total, "host").where((F.col("votes") >= BESIDE * F.col("all")) | (F.col("votes") == F.col("most")))
+    won = (F.col("votes") >= SHARE * F.col("all")) | (F.col("votes") == F.col("most"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path", won.alias("won"))))
+    paths = lambda own: F.transform(F.filter("ranked", own), lambda x: x["path"])
+    return near.groupBy("host").agg(ranked.alias("ranked")).select("host", paths(lambda x: x["won"]).alias("paths"), paths(lambda x: ~x["won"]).alias("beside"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -239,14 +313,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     won = settled(host_paths(own))
-    size = won.agg(F.sum(F.length("host") + F.length(F.array_join("paths", ",")) + 64)).first()[0] or 0
+    size = won.agg(F.sum(F.length("host") + F.length(F.array_join(F.concat("paths", "beside"), ",")) + 64)).first()[0] or 0
     rows = own.withColumn("host", _host_column()).join(F.broadcast(won) if size <= SENT_BYTES else won, "host", "left")
     kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(t).text(p or []) for t, p in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True)]
+            columns = [batch.column(c).to_pylist() for c in ("html", "paths", "beside")]
+            texts = [Page(t).text(p or [], q or []) for t, p, q in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["id", "url", "text", "n_chars"])
 
-    found = rows.select("id", "url", "html", "paths").mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
+    found = rows.select("id", "url", "html", "paths", "beside").mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint")
     return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -118,3 +118,34 @@ def test_html_deep_and_odd_markup():
     assert html.Page("<div>" * 3000 + "x").text([]) == "x"
     assert html.Page("<a '>" * 2000 + "x").text([]).endswith("x")
     assert html.Page("a<!-- b").text([]) == "a"
+
+
+def made_pages(seed):
+    """(page_id, url, html, text): pages of several hosts' layouts, with the article that was put in."""
+    rng = random.Random(seed)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n)) + "."
+    paras = lambda k, n: [say(rng.randint(n, 2 * n)) for _ in range(k)]
+    tagged = lambda tag, xs: "".join(f"<{tag}>{x}</{tag}>" for x in xs)
+    out = []
+    for i in range(24):
+        nav = "<nav><a href=/>" + say(3) + "</a></nav><div class=cookie-notice>" + say(9) + "</div>"
+        side = '<div class="sidebar">' + tagged("p", paras(2, 9)) + "</div>"
+        talk = '<div id="comments">' + "".join(f'<article class="comment"><p>{x}</p></article>' for x in paras(rng.randint(0, 12), 30)) + "</div>"
+        foot = "<footer>" + say(8) + "</footer>"
+        h, lead, body, more = say(4), paras(1, 12), paras(rng.randint(3, 6), 30), paras(3, 8)
+        pages = {
+            "a.org": (f'{nav}<div class="page has-sidebar"><h1>{h}</h1><div class="lead">{tagged("p", lead)}</div><div class="story">{tagged("p", body)}</div>{side}</div>{talk}{foot}', [h, *lead, *body]),
+            "b.org": (f'{nav}<div class="social-science-post"><h1>{h}</h1>{tagged("p", body)}</div><div class="related-posts">{tagged("p", lead)}</div>{talk}{foot}', [h, *body]),
+            "c.org": (f'{nav}<div id=wrap><article><h1>{h}</h1>{tagged("p", lead)}<section>{tagged("p", body)}</section><section>{tagged("p", more)}</section></article>{side}</div>{foot}', [h, *lead, *body, *more]),
+            "d.org": (f'{nav}<article><h1>{h}</h1>{tagged("p", lead)}<ul>{tagged("li", body)}</ul>{tagged("p", more)}</article>{talk}{foot}', [h, *lead, *body, *more]),
+        }
+        for host, (html_text, want) in pages.items():
+            out.append((len(out), f"https://www.{host}/{i}", f"<!DOCTYPE html><html><head><title>{h}</title></head><body>{html_text}</body></html>", "\n".join(want)))
+    return out
+
+
+def test_main_text_is_the_article_that_was_put_in(spark):
+    rows = made_pages(3)
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")).collect()}
+    wrong = [(url, got[i], want) for i, url, _, want in rows if got[i] != want]
+    assert not wrong, (len(wrong), wrong[0])
