@@ -272,6 +272,10 @@ class Bpe:
         for part, own in split.items():
             known[part] = pieces[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, own)))
 
+    def forget(self) -> None:
+        """Hold no parts of texts any more."""
+        self.known, self.pieces, self.older, self.held = {}, {}, ({}, {}), 0
+
     def coded(self, texts: list[str | None]) -> list[list[int]]:
         """The ids of the texts of a block."""
         missing: set[str] = set()
@@ -319,11 +323,12 @@ def load(path: str, pattern: str) -> Bpe:
         return Bpe({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True, forget: bool = False) -> DataFrame:
     """One row a row of docs: the id, n_tokens, ids (if keep_ids), and SHA-256 of the ids and of the bytes they decode to.
 
     Null counts as empty: no ids, the digests of nothing. Repeated rows give a row each; ids may be null; other columns
     are not read. Texts are coded whole, each in one task. `path` must name the vocabulary on every executor.
+    Workers remember parts of texts between tasks, unless they are to forget them, for what runs in them afterwards.
     """
     kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
@@ -358,6 +363,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     counts, ids_sha, text_sha, flat, begun, tokens = [], [], [], array("i"), end, 0
             if counts or not batch.num_rows:
                 yield rows(batch.num_rows)
+        if forget:
+            coder.forget()
 
     schema = f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return kept.mapInArrow(run, schema).withColumnRenamed("id", id_col)

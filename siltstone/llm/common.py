@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _U = np.uint64
@@ -45,8 +47,21 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-#: Whether Spark removes the files of a query's shuffles when it ends.
-_CLEANS = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings under which a step runs: Spark removes the files of its shuffles when it ends, and hands Python few texts at a time.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextmanager
+def as_step(spark: SparkSession) -> Iterator[None]:
+    """Run what is inside under the settings of a step."""
+    before = {k: spark.conf.get(k) for k in _STEP}
+    for k, v in _STEP.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -57,12 +72,14 @@ def settled(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     shared_folder(spark)
-    before = spark.conf.get(_CLEANS)
-    spark.conf.set(_CLEANS, "true")
-    try:
-        return df.select("*").checkpoint(eager=True)  # select: a query of its own, made under the setting
-    finally:
-        spark.conf.set(_CLEANS, before)
+    with as_step(spark):
+        return df.select("*").checkpoint(eager=True)  # select: a query of its own, made under the settings
+
+
+def to_driver(df: DataFrame) -> pa.Table:
+    """The few rows of df, computed as a step."""
+    with as_step(df.sparkSession):
+        return df.select("*").toArrow()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

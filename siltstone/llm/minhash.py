@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import ALNUM, Words, chunks, mix, settled
+from siltstone.llm.common import ALNUM, Words, chunks, mix, settled, to_driver
 from siltstone.llm.graph import components
 
 _U = np.uint64
@@ -228,7 +228,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", words: int = S
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["slice", "counts"])
 
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "slice int, width int, counts binary")
-    got = parts.repartition("slice").mapInArrow(summed, "slice int, counts binary").toArrow()  # LINES * CELLS / SLICE + 1 rows
+    got = to_driver(parts.repartition("slice").mapInArrow(summed, "slice int, counts binary"))  # LINES * CELLS / SLICE + 1 rows
     counts, n = np.zeros((LINES * CELLS // SLICE, SLICE), np.int64), 0
     for at, packed in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
         if at < 0:
