@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,45 @@ def cycle_nodes(links: DataFrame) -> DataFrame:
     return reach(links).where("src = dst").select(F.col("src").alias("node"))
 
 
+def first_cycles(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(template_id, cycle): the first cycle of each template that has one, its first node again at the end.
+
+    links has (template_id, src, dst, late, ord), nodes (template_id, node, ord). Nodes are entered in their order, and so
+    are the edges of a node; the first edge back to a node that is still open closes the cycle. A template is one group.
+    """
+
+    def run(key: tuple, own: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        after: dict[str, list[str]] = {}
+        for src, dst in ends.sort_values(["late", "ord"])[["src", "dst"]].itertuples(index=False):
+            after.setdefault(src, []).append(dst)
+        closed: set[str] = set()
+        for start in own.sort_values("ord")["node"]:
+            if start in closed:
+                continue
+            way, rest = [start], [iter(after.get(start, ()))]
+            at = {start: 0}
+            while way:
+                node = next(rest[-1], None)
+                if node is None:
+                    gone = way.pop()
+                    rest.pop()
+                    del at[gone]
+                    closed.add(gone)
+                elif node in at:
+                    return pd.DataFrame({"template_id": [key[0]], "cycle": [[*way[at[node] :], node]]})
+                elif node not in closed:
+                    at[node] = len(way)
+                    way.append(node)
+                    rest.append(iter(after.get(node, ())))
+        return pd.DataFrame({"template_id": [], "cycle": []})
+
+    links = links.select(*[F.col(c).alias(c) for c in ("template_id", "src", "dst", "late", "ord")])
+    nodes = nodes.select(*[F.col(c).alias(c) for c in ("template_id", "node", "ord")])
+    linked = nodes.join(links.select(F.col("template_id").alias("template_id")).distinct(), "template_id", "left_semi")
+    ends = links.select(*[F.col(c).alias(c) for c in links.columns])
+    return linked.groupBy("template_id").cogroup(ends.groupBy("template_id")).applyInPandas(run, "template_id string, cycle array<string>")
+
+
 def referrers(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
     """Each node with the sources of its edges, in order, joined by commas; empty if there are none."""
     by = links.groupBy(F.col("dst").alias("_dst")).agg(F.array_join(F.array_sort(F.collect_set(F.col("src").cast("string"))), ",").alias("referrers"))

@@ -11,18 +11,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.logic import wildcard
+from siltstone.plans.settle import settled
 from siltstone.rules.network import row
 from siltstone.sources.templates import Relations
 
 # Where policies stand, as "type: property", with the kind of policy.
 SITES = (
     ("AWS::IAM::Role", "Properties/AssumeRolePolicyDocument", "trust"),
-    *((f"AWS::IAM::{t}", "Properties/Policies/*/PolicyDocument", "inline") for t in ("Role", "User", "Group")),
-    *((f"AWS::IAM::{t}", "Properties/PolicyDocument", "managed") for t in ("ManagedPolicy", "Policy")),
-    *((f"AWS::{t}", f"Properties/{p}", "resource") for t, p in (("S3::BucketPolicy", "PolicyDocument"), ("KMS::Key", "KeyPolicy"), ("SQS::QueuePolicy", "PolicyDocument"), ("SNS::TopicPolicy", "PolicyDocument"), ("ECR::Repository", "RepositoryPolicyText"), ("SecretsManager::ResourcePolicy", "ResourcePolicy"))),
+    ("AWS::IAM::Role", "Properties/Policies/*/PolicyDocument", "inline"),
+    ("AWS::IAM::User", "Properties/Policies/*/PolicyDocument", "inline"),
+    ("AWS::IAM::Group", "Properties/Policies/*/PolicyDocument", "inline"),
+    ("AWS::IAM::ManagedPolicy", "Properties/PolicyDocument", "managed"),
+    ("AWS::IAM::Policy", "Properties/PolicyDocument", "managed"),
+    ("AWS::S3::BucketPolicy", "Properties/PolicyDocument", "resource"),
+    ("AWS::KMS::Key", "Properties/KeyPolicy", "resource"),
+    ("AWS::SQS::QueuePolicy", "Properties/PolicyDocument", "resource"),
+    ("AWS::SNS::TopicPolicy", "Properties/PolicyDocument", "resource"),
+    ("AWS::ECR::Repository", "Properties/RepositoryPolicyText", "resource"),
+    ("AWS::SecretsManager::ResourcePolicy", "Properties/ResourcePolicy", "resource"),
+    ("AWS::Lambda::Permission", "Properties", "permission"),
 )
+# Properties of a permission that bound it, and the keys of a condition that say the same.
+PERMISSION_KEYS = (("SourceAccount", "aws:SourceAccount"), ("SourceArn", "aws:SourceArn"), ("PrincipalOrgID", "aws:PrincipalOrgID"))
 # Actions and keys that the rules speak of.
-MUTATING = tuple(f"iam:{a}" for a in "CreatePolicyVersion SetDefaultPolicyVersion AttachUserPolicy AttachGroupPolicy AttachRolePolicy PutUserPolicy PutGroupPolicy PutRolePolicy".split())
+MUTATING = (
+    "iam:CreatePolicyVersion",
+    "iam:SetDefaultPolicyVersion",
+    "iam:AttachUserPolicy",
+    "iam:AttachGroupPolicy",
+    "iam:AttachRolePolicy",
+    "iam:PutUserPolicy",
+    "iam:PutGroupPolicy",
+    "iam:PutRolePolicy",
+)
 S3_ALL = ("s3:GetObject", "s3:PutObject", "s3:DeleteObject")
 SENSITIVE = ("iam:", "sts:", "lambda:", "s3:")
 DEPUTY_KEYS = ("aws:sourceaccount", "aws:sourcearn", "aws:principalorgid")
@@ -30,16 +51,34 @@ _ACTIONS = {"passrole": "iam:PassRole", "assumerole": "sts:AssumeRole", "create_
 _STEP = r"(?:/[0-9]+|/Fn::If/[12])*"
 
 
+def _props(relations: Relations) -> DataFrame:
+    """The properties with the type of their resource; a permission's stand as one statement that allows."""
+    own = relations.props.join(relations.resources.select("template_id", "logical_id", "type"), ["template_id", "logical_id"])
+    own = own.select("template_id", "logical_id", "ord", "type", "vtype", "sval", "place", "prop")
+    is_permission = F.col("type") == "AWS::Lambda::Permission"
+    said = own.where(is_permission)
+    moves = [("^Properties/(Action|Principal)(?=/|$)", "Properties/Statement/$1"), ("^Properties$", "Properties/Statement")]
+    moves += [(f"^Properties/{name}(?=/|$)", f"Properties/Statement/Condition/Bound/{key}") for name, key in PERMISSION_KEYS]
+    for column in ("place", "prop"):
+        moved = F.col(column)
+        for pattern, to in moves:
+            moved = F.regexp_replace(moved, pattern, to)
+        said = said.withColumn(column, moved)
+    allows = said.where("place = 'Properties/Statement'").withColumns({"vtype": F.lit("str"), "sval": F.lit("Allow"), "place": F.lit("Properties/Statement/Effect"), "prop": F.lit("Properties/Statement/Effect")})
+    return own.where(~is_permission).unionByName(said).unionByName(allows)
+
+
 def statements(relations: Relations) -> DataFrame:
     """(template_id, logical_id, kind, doc, stmt, effect): doc and stmt are places; one row a statement and branch."""
     spark = relations.nodes.sparkSession
     sites = F.broadcast(spark.createDataFrame(SITES, "type string, site string, kind string"))
-    maps = relations.props.where("vtype = 'map'").join(relations.resources.select("template_id", "logical_id", "type"), ["template_id", "logical_id"]).join(sites, "type")
+    props = _props(relations)
+    maps = props.where("vtype = 'map'").join(sites, "type")
     shape = F.regexp_replace("prop", r"/Fn::If/\*", "")
     doc = F.regexp_extract("place", r"^(.*)/Statement" + _STEP + "$", 1)
     found = maps.withColumn("doc", doc).where((F.col("doc") != "") & shape.rlike(r"/Statement(/\*)*$") & (F.regexp_replace(shape, r"/Statement(/\*)*$", "") == F.col("site")))
     roots = found.select("template_id", "logical_id", "kind", "doc", F.col("place").alias("stmt"))
-    effect = relations.props.where(F.col("place").rlike(r"/Effect$")).select("template_id", "logical_id", F.regexp_replace("place", "/Effect$", "").alias("stmt"), F.lower(F.trim("sval")).alias("effect"))
+    effect = props.where(F.col("place").rlike(r"/Effect$")).select("template_id", "logical_id", F.regexp_replace("place", "/Effect$", "").alias("stmt"), F.lower(F.trim("sval")).alias("effect"))
     return roots.join(effect, ["template_id", "logical_id", "stmt"])
 
 
@@ -48,7 +87,7 @@ def candidates(relations: Relations, stmts: DataFrame) -> DataFrame:
     at = F.regexp_extract("place", r"^(.*?/Statement" + _STEP + r")/(Action|Resource|Principal|Condition)(/.*)?$", 1)
     element = F.regexp_extract("place", r"/Statement" + _STEP + r"/(Action|Resource|Principal)(/.*)?$", 1)
     rest = F.regexp_extract("place", r"/Statement" + _STEP + r"/(?:Action|Resource|Principal)(/.*)?$", 1)
-    rows = relations.props.select("template_id", "logical_id", at.alias("stmt"), element.alias("element"), rest.alias("rest"), "place", "vtype", "sval").where("stmt != '' and element != '' and vtype not in ('map', 'list')")
+    rows = _props(relations).select("template_id", "logical_id", at.alias("stmt"), element.alias("element"), rest.alias("rest"), "place", "vtype", "sval").where("stmt != '' and element != '' and vtype not in ('map', 'list')")
     plain = F.regexp_replace("rest", r"/[0-9]+|/Fn::If/[12]", "")
     plain = F.when(F.col("element") == "Principal", F.regexp_replace(plain, r"^/(AWS|Service|Federated|CanonicalUser)", "")).otherwise(plain)
     rows = rows.withColumn("plain", plain).where(~F.col("rest").rlike(r"/Fn::If/0$"))
@@ -95,28 +134,30 @@ def judged(relations: Relations) -> DataFrame:
     cands = cands.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in _flags().items()})
     key = ["template_id", "logical_id", "stmt"]
     groups = cands.groupBy(*key, "element", "grp").agg(F.bool_and("all_required").alias("all"), F.bool_or("blocked").alias("blocked"), *[x for n in names for x in (F.bool_or(n).alias(f"any_{n}"), F.bool_and(n).alias(f"every_{n}"))])
-    decided = groups.groupBy(*key).agg(F.bool_or("blocked").alias("blocked"), *[F.bool_or(F.when(F.col("all"), F.col(f"every_{n}")).otherwise(F.col(f"any_{n}"))).alias(n) for n in names])
-    keys = relations.props.select("template_id", "logical_id", F.regexp_extract("place", r"^(.*?/Statement" + _STEP + r")/Condition/", 1).alias("stmt"), F.lower(F.regexp_extract("place", r"/Condition/(?:Fn::If/[12]/)?[^/]+/([^/]+(?:/[^/0-9][^/]*)?)", 1)).alias("k")).where("stmt != '' and k != ''")
+    # a group that must agree and does not is unknown
+    torn = F.col("all") & F.greatest(*[F.col(f"any_{n}") & ~F.col(f"every_{n}") for n in names])
+    decided = groups.groupBy(*key).agg(F.bool_or(F.col("blocked") | torn).alias("blocked"), *[F.bool_or(F.when(F.col("all"), F.col(f"every_{n}")).otherwise(F.col(f"any_{n}"))).alias(n) for n in names])
+    keys = _props(relations).select("template_id", "logical_id", F.regexp_extract("place", r"^(.*?/Statement" + _STEP + r")/Condition/", 1).alias("stmt"), F.lower(F.regexp_extract("place", r"/Condition/(?:Fn::If/[12]/)?[^/]+/([^/]+(?:/[^/0-9][^/]*)?)", 1)).alias("k")).where("stmt != '' and k != ''")
     held = keys.groupBy(*key).agg(F.collect_set("k").alias("keys"))
     return stmts.join(decided, key).join(held, key, "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
 
 
 def findings(relations: Relations) -> DataFrame:
     """Findings of all detectors; a cross-account grant with an external id is a level milder."""
-    s = judged(relations)
+    s = settled(judged(relations))
     c, no_keys = F.col, F.size("keys") == 0
-    permits = c("kind") != "trust"
+    policy = c("kind") != "permission"  # a permission is no policy statement: only what speaks of principals reads it
     deputy = F.exists("keys", lambda k: F.exists(F.array(*map(F.lit, DEPUTY_KEYS)), lambda d: F.startswith(k, d)))
     external = F.exists("keys", lambda k: F.startswith(k, F.lit("sts:externalid")))
     rules = [
-        ("star_action_star_resource", "CRITICAL", c("a_star") & c("r_star"), "allows every action on every resource"),
-        ("wildcard_action", "HIGH", c("a_wild"), "allows actions by wildcard"),
-        ("wildcard_resource", "HIGH", c("r_wild"), "allows resources by wildcard"),
-        ("sensitive_prefix_without_condition", "HIGH", c("a_sensitive") & permits & no_keys, "allows sensitive actions without a condition"),
-        ("passrole_unrestricted", "CRITICAL", c("a_passrole") & c("r_role"), "lets any role be passed"),
-        ("assumerole_unrestricted", "HIGH", c("a_assumerole") & c("r_star"), "lets any role be assumed"),
-        ("privesc_policy_mutation", "CRITICAL", c("a_mutates"), "lets policies be changed"),
-        ("cross_service_missing_condition", "HIGH", (c("p_service") | c("p_cross_account")) & ~deputy & (c("kind") == "resource"), "trusts a service or account without naming its source"),
+        ("star_action_star_resource", "CRITICAL", policy & c("a_star") & c("r_star"), "allows every action on every resource"),
+        ("wildcard_action", "HIGH", policy & c("a_wild"), "allows actions by wildcard"),
+        ("wildcard_resource", "HIGH", policy & c("r_wild"), "allows resources by wildcard"),
+        ("sensitive_prefix_without_condition", "HIGH", policy & c("a_sensitive") & no_keys, "allows sensitive actions without a condition"),
+        ("passrole_unrestricted", "CRITICAL", policy & c("a_passrole") & c("r_role"), "lets any role be passed"),
+        ("assumerole_unrestricted", "HIGH", policy & c("a_assumerole") & c("r_star"), "lets any role be assumed"),
+        ("privesc_policy_mutation", "CRITICAL", policy & c("a_mutates"), "lets policies be changed"),
+        ("cross_service_missing_condition", "HIGH", (c("p_service") | c("p_cross_account")) & ~deputy, "trusts a service or account without naming its source"),
         ("principal_star", "CRITICAL", c("p_star"), "trusts everyone"),
     ]
     said = lambda text: F.concat("logical_id", F.lit(" "), "stmt", F.lit(f": {text}"))
@@ -124,10 +165,10 @@ def findings(relations: Relations) -> DataFrame:
     parts = [iam(s.where(hit), rule, severity, text) for rule, severity, hit, text in rules]
     foreign = s.where("p_cross_account")
     parts += [iam(foreign.where(~external), "cross_account_principal", "HIGH", "trusts another account"), iam(foreign.where(external), "cross_account_principal", "MEDIUM", "trusts another account with an external id")]
-    broad = s.where((c("kind") == "trust") & (c("p_star") | c("p_service") & no_keys))
+    broad = s.where((c("kind") == "trust") & c("a_assumerole") & (c("p_star") | c("p_service") & no_keys))
     parts += [iam(broad.where("p_star"), "privesc_broad_trust", "CRITICAL", "may be assumed by anyone"), iam(broad.where("not p_star"), "privesc_broad_trust", "HIGH", "may be assumed by a service without a condition")]
     # pairs and triples of actions that one document grants
-    by_doc = s.where(permits).groupBy("template_id", "logical_id", "doc")
+    by_doc = s.where(policy).groupBy("template_id", "logical_id", "doc")
     flags = by_doc.agg(*[F.bool_or(f"a_{n}").alias(n) for n in _ACTIONS], *[F.bool_or(c(f"a_s3_{i}") & c("r_star")).alias(f"any_{i}") for i in range(3)], F.min("stmt").alias("stmt"))
     combos = [
         ("privesc_lambda_passrole", "CRITICAL", "passrole and create_fn", "may pass a role to a new function"),

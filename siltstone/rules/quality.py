@@ -13,8 +13,8 @@ from siltstone.sources.templates import Relations
 _ENVIRONMENTS = ((r"(?i)is[_-]?prod(uction)?\b", "prod"), (r"(?i)is[_-]?stag(ing|e)?\b", "stag"), (r"(?i)is[_-]?dev(elopment)?\b", "dev"), (r"(?i)is[_-]?test\b", "test"))
 
 
-def _found(df: DataFrame, rule: str, severity: str, text: str, kind: str = "BestPractice") -> DataFrame:
-    return df.select(*row(rule, severity, "Other", kind, "Quality Review", F.concat("name", F.lit(text)), "name"))
+def _found(df: DataFrame, rule: str, severity: str, text: str, kind: str = "BestPractice", resource: str = "name") -> DataFrame:
+    return df.select(*row(rule, severity, "Other", kind, "Quality Review", F.concat("name", F.lit(text)), resource))
 
 
 def findings(relations: Relations) -> DataFrame:
@@ -30,10 +30,11 @@ def findings(relations: Relations) -> DataFrame:
     unused = relations.section("Parameters").join(used, ["template_id", "name"], "left_anti")
 
     conditions = relations.section("Conditions")
-    by_resource = nodes.where("size(path) = 3 and get(path, 0) in ('Resources', 'Outputs') and get(path, 2) = 'Condition' and vtype = 'str'")
-    by_if = nodes.where(F.col("shape").endswith("Fn::If/*") & (key == "0") & (F.col("vtype") == "str"))
-    by_other = nodes.where((F.get("path", F.lit(0)) == "Conditions") & (key == "Condition") & (F.size("path") > 2) & (F.col("vtype") == "str"))
-    named = by_resource.unionByName(by_if).unionByName(by_other).select("template_id", F.col("sval").alias("name"))
+    within = "get(path, 0) in ('Conditions', 'Outputs') or get(path, 0) = 'Resources' and get(path, 2) = 'Properties'"
+    by_resource = nodes.where("size(path) = 3 and get(path, 0) = 'Resources' and get(path, 2) = 'Condition' and vtype = 'str'")
+    by_if = nodes.where(within).where(F.col("shape").endswith("Fn::If/*") & (key == "0") & (F.col("vtype") == "str"))
+    by_key = nodes.where(within).where((key == "Condition") & (F.size("path") > 2) & (F.col("vtype") == "str"))
+    named = by_resource.unionByName(by_if).unionByName(by_key).select("template_id", F.col("sval").alias("name"))
     idle = conditions.join(named, ["template_id", "name"], "left_anti")
 
     literal = nodes.where("get(path, 0) = 'Conditions' and size(path) = 4 and get(path, 2) = 'Fn::Equals'").groupBy("template_id", F.get("path", F.lit(1)).alias("name")).agg(F.count("*").alias("n"), F.min(F.when(F.col("vtype") == "str", F.struct("ord", "sval")))["sval"].alias("literal"))
@@ -44,8 +45,8 @@ def findings(relations: Relations) -> DataFrame:
     other = F.exists(F.array(*[F.lit(e) for _, e in _ENVIRONMENTS]), lambda e: (e != F.col("wanted")) & F.contains(said, e))
     wrong = literal.where("n = 2 and literal is not null").withColumn("wanted", wanted).where(F.col("wanted").isNotNull() & ~F.contains(said, F.col("wanted")) & other)
 
-    links = relations.edges().select(F.struct("template_id", F.col("src").alias("id")).alias("src"), F.struct("template_id", F.col("dst").alias("id")).alias("dst"))
-    rings = graphs.cycle_nodes(links).groupBy(F.col("node.template_id").alias("template_id")).agg(F.array_join(F.array_sort(F.collect_set("node.id")), ", ").alias("name"))
+    rings = graphs.first_cycles(relations.edges(with_order=True), relations.resources.select("template_id", F.col("logical_id").alias("node"), "ord"))
+    rings = rings.select("template_id", F.get("cycle", F.lit(0)).alias("resource"), F.array_join("cycle", " -> ").alias("name"))
 
     values = nodes.where("get(path, 0) = 'Parameters' and size(path) = 4 and get(path, 2) = 'AllowedValues'").groupBy("template_id", F.get("path", F.lit(1)).alias("name"))
     mixed = values.agg(F.bool_or(F.col("vtype") == "str").alias("a"), F.bool_or(F.col("vtype") != "str").alias("b")).where("a and b")
@@ -53,7 +54,7 @@ def findings(relations: Relations) -> DataFrame:
         _found(wrong, "condition_name_logic_mismatch", "MEDIUM", ": the condition's name and what it compares speak of different environments"),
         _found(unused, "unused_parameter", "LOW", ": the parameter is not used"),
         _found(idle, "unused_condition", "LOW", ": the condition is not used"),
-        _found(rings, "circular_dependency", "HIGH", ": the resources depend on each other", "Validity").withColumn("resource", F.lit(None).cast("string")),
+        _found(rings, "circular_dependency", "HIGH", ": the resources depend on each other", "Validity", "resource"),
         _found(mixed, "allowed_values_mixed_types", "LOW", ": the allowed values mix text and other types"),
     ]
     out = parts[0]

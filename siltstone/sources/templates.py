@@ -35,6 +35,19 @@ class _Map(list):
     """Pairs of a mapping in order, repeated keys kept."""
 
 
+def _with_merged(own: _Map, merged: list[_Map]) -> _Map:
+    """The pairs of a mapping with those of the mappings that it takes in: its own keys go first, then the first to have a key.
+
+    A key that is repeated in the mapping that gives it comes out repeated.
+    """
+    taken, out = {str(k) for k, _ in own}, _Map()
+    for other in merged:
+        keys = {str(k) for k, _ in other}
+        out += [(k, v) for k, v in other if str(k) not in taken]
+        taken |= keys
+    return _Map([*out, *own])
+
+
 def _from_json(text: str):  # noqa: ANN202
     try:
         return json.loads(text, object_pairs_hook=_Map)
@@ -53,7 +66,7 @@ def _from_yaml(text: str):  # noqa: ANN202
         mark = getattr(error, "problem_mark", None)
         at = f" at line {mark.line + 1}, column {mark.column + 1}" if mark else ""
         raise Refused(f"malformed YAML{at}: {getattr(error, 'problem', error)}") from None
-    scalars, open_nodes, seen = yaml.SafeLoader(""), set(), [0]
+    scalars, open_nodes, seen, done, aliases = yaml.SafeLoader(""), set(), [0], set(), [0]
 
     def build(node, depth: int):  # noqa: ANN001, ANN202
         seen[0] += 1
@@ -66,9 +79,24 @@ def _from_yaml(text: str):  # noqa: ANN202
         tag = node.tag[1:] if node.tag.startswith("!") else ""
         if tag and tag not in _PLAIN_TAGS and tag not in _FUNCTION_TAGS:
             raise Refused(f"unsupported tag !{tag}")
+        if id(node) in done and not isinstance(node, yaml.ScalarNode):
+            aliases[0] += 1
+            if aliases[0] > MAX_ALIASES:
+                raise Refused("too many aliases")
+        done.add(id(node))
         open_nodes.add(id(node))
         if isinstance(node, yaml.MappingNode):
-            made = _Map((build(k, depth + 1), build(v, depth + 1)) for k, v in node.value)
+            made, merged = _Map(), []
+            for k, v in node.value:
+                if k.tag == "tag:yaml.org,2002:merge":
+                    given = build(v, depth + 1)
+                    given = given if isinstance(given, list) and not isinstance(given, _Map) else [given]
+                    if not all(isinstance(x, _Map) for x in given):
+                        raise Refused("a merge of what is no mapping")
+                    merged += given
+                else:
+                    made.append((build(k, depth + 1), build(v, depth + 1)))
+            made = _with_merged(made, merged) if merged else made
         elif isinstance(node, yaml.SequenceNode):
             made = [build(x, depth + 1) for x in node.value]
         elif tag:
@@ -137,6 +165,8 @@ def nodes_of(template_id: str, text: str) -> list[tuple]:
         return rows
     except Refused as refused:
         return [(template_id, [], "", 0, "error", None, False, str(refused))]
+    except Exception as error:  # noqa: BLE001  one document's fault is its own row, never the job's
+        return [(template_id, [], "", 0, "error", None, False, f"unreadable value: {type(error).__name__}")]
 
 
 def nodes(templates: DataFrame) -> DataFrame:
@@ -177,18 +207,23 @@ class Relations:
         """(template_id, name, ord, vtype, sval) of the entries of a section."""
         return self.nodes.where((F.size("path") == 2) & (F.get("path", F.lit(0)) == name)).select("template_id", F.get("path", F.lit(1)).alias("name"), "ord", "vtype", "sval")
 
-    def edges(self, include_sub: bool = False, scope: str = "Properties") -> DataFrame:
-        """Distinct (template_id, src, dst) by Ref, GetAtt and DependsOn between resources of a template; Sub if asked for."""
+    def edges(self, include_sub: bool = False, scope: str = "Properties", with_order: bool = False) -> DataFrame:
+        """Distinct (template_id, src, dst) by Ref, GetAtt and DependsOn between resources of a template; Sub if asked for.
+
+        with_order adds (late, ord): references in properties come before DependsOn, each kind in order of its first place.
+        """
         key = F.element_at("path", -1)
         under = self.props.where(F.col("prop").startswith(scope + "/")) if scope else self.props
-        ref = under.where((key == "Ref") & (F.col("vtype") == "str")).select("template_id", F.col("logical_id").alias("src"), F.col("sval").alias("dst"))
+        edge = lambda df, dst, late=0: df.select("template_id", F.col("logical_id").alias("src"), dst.alias("dst"), F.lit(late).alias("late"), "ord")
+        ref = edge(under.where((key == "Ref") & (F.col("vtype") == "str")), F.col("sval"))
         att = under.where(F.col("prop").endswith("Fn::GetAtt/*") & (key == "0") | F.col("prop").endswith("Fn::GetAtt") & (F.col("vtype") == "str"))
-        att = att.select("template_id", F.col("logical_id").alias("src"), F.substring_index("sval", ".", 1).alias("dst"))
-        dep = self.props.where("prop in ('DependsOn', 'DependsOn/*') and vtype = 'str'").select("template_id", F.col("logical_id").alias("src"), F.col("sval").alias("dst"))
+        att = edge(att, F.substring_index("sval", ".", 1))
+        dep = edge(self.props.where("prop in ('DependsOn', 'DependsOn/*') and vtype = 'str'"), F.col("sval"), 1)
         all_ = ref.unionByName(att).unionByName(dep)
         if include_sub:
             tokens = F.regexp_extract_all("sval", F.lit(r"\$\{([A-Za-z0-9:._-]+)\}"), F.lit(1))
-            sub = under.where(F.col("prop").rlike(r"Fn::Sub(/\*)?$") & (F.col("vtype") == "str")).select("template_id", F.col("logical_id").alias("src"), F.explode(F.transform(tokens, lambda t: F.substring_index(t, ".", 1))).alias("dst"))
-            all_ = all_.unionByName(sub)
+            sub = under.where(F.col("prop").rlike(r"Fn::Sub(/\*)?$") & (F.col("vtype") == "str"))
+            all_ = all_.unionByName(edge(sub, F.explode(F.transform(tokens, lambda t: F.substring_index(t, ".", 1)))))
         known = self.resources.select("template_id", F.col("logical_id").alias("dst"))
-        return all_.where("src != dst").distinct().join(known, ["template_id", "dst"], "left_semi").select("template_id", "src", "dst")
+        ends = all_.where("src != dst").groupBy("template_id", "src", "dst").agg(F.min(F.struct("late", "ord")).alias("first")).join(known, ["template_id", "dst"], "left_semi")
+        return ends.select("template_id", "src", "dst", *(["first.late", "first.ord"] if with_order else []))

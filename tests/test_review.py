@@ -46,7 +46,7 @@ def test_findings(review):
     for resource, rule in (
         ("B", "s3_bucket_encryption"), ("B", "s3_public_access_block"), ("B", "required_tags"), ("B", "s3_deletion_policy"), ("Igw", "igw_not_attached"), ("V", "vpc_flow_logs"),
         ("R", "star_action_star_resource"), ("R", "principal_star"), ("R", "privesc_broad_trust"), ("Unused", "unused_parameter"), ("Unused", "plaintext_secret"),
-        ("IsProd", "condition_name_logic_mismatch"), ("Env", "allowed_values_mixed_types"), (None, "circular_dependency"),
+        ("IsProd", "condition_name_logic_mismatch"), ("Env", "allowed_values_mixed_types"), ("A", "circular_dependency"),
     ):
         assert ("t1", resource, rule) in raw
     assert ("t1", "V", "vpc_dns_hostnames") not in raw and ("t1", "A", "sqs_queue_encrypted") not in raw and ("t1", "Env", "unused_parameter") not in raw
@@ -85,3 +85,37 @@ def test_parsing_keeps_order_types_and_repeats():
     assert nodes_of("t", "a: &x {b: *x}")[0][7]
     assert nodes_of("t", "[" * 100 + "]" * 100)[0][7] == "nested too deeply"
     assert nodes_of("t", "﻿{}")[0][4] == "map"
+
+
+def test_merge_keys_aliases_and_odd_values():
+    rows = nodes_of("t", "base: &b {x: 1, x: 2, y: 3}\nuse: {<<: *b, y: 4}\nboth: {<<: [*b, {z: 5, x: 6}]}")
+    found = {"/".join(r[1]): (r[5], r[6]) for r in rows if r[4] not in ("map", "list")}
+    assert found["use/x"] == ("2", True) and found["use/y"] == ("4", False) and found["both/z"] == ("5", False) and found["both/x"] == ("2", True)
+    assert nodes_of("t", "a: {<<: 3}")[0][7] == "a merge of what is no mapping"
+    assert nodes_of("t", "a: 2001-99-99")[0][7].startswith("unreadable value")
+    bomb = "a0: &a0 [1, 2]\n" + "\n".join(f"a{i}: &a{i} [" + ", ".join([f"*a{i - 1}"] * 9) + "]" for i in range(1, 8))
+    assert nodes_of("t", bomb)[0][7] == "too many aliases"
+
+
+def test_elements_of_lists_are_tested_each(spark):
+    text = """
+Resources:
+  I: {Type: AWS::EC2::Instance, Properties: {BlockDeviceMappings: [{Ebs: {Encrypted: true}}, {DeviceName: x}]}}
+  J: {Type: AWS::EC2::Instance, Properties: {BlockDeviceMappings: [{Ebs: {Encrypted: true}}]}}
+  L: {Type: AWS::ElasticLoadBalancingV2::Listener, Properties: {Protocol: HTTP, DefaultActions: [{Order: 1}, {Type: redirect}]}}
+  M: {Type: AWS::ElasticLoadBalancingV2::Listener, Properties: {Protocol: HTTP, DefaultActions: [{Type: redirect}, {Type: forward}]}}
+  P: {Type: AWS::IAM::Policy, Properties: {PolicyDocument: {Statement: [{Effect: Allow, Action: [x, "*"], Resource: "*"}]}}}
+  F: {Type: AWS::Lambda::Permission, Properties: {Principal: s3.amazonaws.com, Action: "lambda:*"}}
+  G: {Type: AWS::Lambda::Permission, Properties: {Principal: s3.amazonaws.com, Action: "lambda:*", SourceAccount: "123456789012"}}
+"""
+    raw = {(r.resource, r.rule_id) for r in Review(spark.createDataFrame([("t", text)], "template_id string, text string"), ("properties", "iam")).raw().collect()}
+    assert {r for r, rule in raw if rule == "ebs_volume_encrypted"} == {"I"} and {r for r, rule in raw if rule == "alb_https_only"} == {"L"}
+    assert ("P", "iam_policy_no_star_star") in raw and {r for r, rule in raw if rule == "cross_service_missing_condition"} == {"F"}
+    assert not any(r in ("F", "G") and rule == "wildcard_action" for r, rule in raw)
+
+
+def test_first_cycle_of_several(spark):
+    q = "{Type: AWS::SQS::Queue, Properties: {KmsMasterKeyId: !Ref %s}}"
+    text = "Resources:\n" + "\n".join(f"  {a}: {q % b}" for a, b in (("S", "C"), ("A", "B"), ("B", "A"), ("C", "D"), ("D", "C")))
+    rows = [r for r in Review(spark.createDataFrame([("t", text)], "template_id string, text string"), ("quality",)).raw().collect() if r.rule_id == "circular_dependency"]
+    assert len(rows) == 1 and rows[0].resource == "C" and rows[0].finding.startswith("C -> D -> C")
