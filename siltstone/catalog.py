@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.queries import QUERIES, SQL
+from siltstone import queries as tables
+from siltstone import template_queries as templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return dict(QUERIES)
+    return tables.QUERIES | templates.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return dict(SQL)
+    return tables.SQL | templates.SQL

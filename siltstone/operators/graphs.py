@@ -68,7 +68,7 @@ def first_cycles(links: DataFrame, nodes: DataFrame) -> DataFrame:
                     at[node] = len(way)
                     way.append(node)
                     rest.append(iter(after.get(node, ())))
-        return pd.DataFrame({"template_id": [], "cycle": []})
+        return pd.DataFrame({"template_id": [], "cycle": []}, dtype=object)
 
     links = links.select(*[F.col(c).alias(c) for c in ("template_id", "src", "dst", "late", "ord")])
     nodes = nodes.select(*[F.col(c).alias(c) for c in ("template_id", "node", "ord")])
