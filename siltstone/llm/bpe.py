@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import chunks
 
-#: Bytes, as estimated, of the parts of texts that a worker remembers with their ids; at most twice as many are held, and
-#: those not met since the last time are forgotten.
-REMEMBERED = 60 << 20
+#: Bytes, as estimated, of the parts of texts that a worker remembers with their ids; beyond that it forgets all.
+REMEMBERED = 160 << 20
 #: Characters of the texts of a block; a longer text makes a block of its own.
-BLOCK = 1 << 22
-#: Tokens after which a worker passes its rows on.
-PASSED = 1 << 19
+BLOCK = 1 << 23
+#: Parts of texts whose ids are put together at a time.
+GATHERED = 1 << 17
 #: Fixed value: the pattern whose pre-tokens parts() may cut at spaces; with any other, texts are split by the pattern alone.
 CUT_AT_SPACES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of a pre-token, at most, that is coded together with others; a longer one has the queue to itself.
@@ -42,23 +41,60 @@ _MASK = (1 << _SHIFT) - 1
 _RUN = regex.compile(r"\s \s|\s \Z")
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each length, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Runs:
+    """Runs of numbers by index, held end to end."""
+
+    def __init__(self):
+        self.flat, self.begins, self.n = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> range:
+        """More runs; their indexes."""
+        first, at = self.n, int(self.begins[self.n])
+        while at + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while first + len(lengths) + 1 > len(self.begins):
+            self.begins = np.concatenate((self.begins, np.zeros_like(self.begins)))
+        self.flat[at : at + len(flat)] = flat
+        self.begins[first + 1 : first + 1 + len(lengths)] = at + np.cumsum(lengths)
+        self.n += len(lengths)
+        return range(first, self.n)
+
+    def lengths(self, index: np.ndarray) -> np.ndarray:
+        return self.begins[index + 1] - self.begins[index]
+
+    def of(self, index: np.ndarray) -> np.ndarray:
+        """The runs of these indexes, one after the other."""
+        return self.flat[_ragged(self.begins[index], self.lengths(index))]
+
+
+def _table(runs: list[bytes]) -> _Runs:
+    out = _Runs()
+    out.flat = np.zeros(1, np.uint8)
+    out.add(np.frombuffer(b"".join(runs), np.uint8), np.fromiter(map(len, runs), np.int64, len(runs)))
+    return out
+
+
 class Bpe:
     """Encoder and decoder over merge ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.token = {n: b for b, n in ranks.items()}
-        self.decimal = {n: str(n) for n in ranks.values()}
         compiled = regex.compile(pattern)
         self.split = compiled.findall if not compiled.groups else lambda text: [m[0] for m in compiled.finditer(text)]
         self.cuts = pattern == CUT_AT_SPACES
         self.leaves = [0] * ((max(ranks.values(), default=0) >> _SHIFT) + 1)
         self.buckets: dict[int, list[int]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: tuple[dict[str, tuple[int, ...]], dict[str, tuple[int, ...]]] = ({}, {})
-        self.held = 0
+        self.forget()
         self.size = max(ranks.values(), default=0) + 1
+        self.spelled = _table([self.token.get(i, b"") for i in range(self.size)])
+        self.decimals = _table([b"%d," % i for i in range(self.size)])
         self.byte_ids = np.fromiter((ranks[bytes([i])] for i in range(256)), np.int32, 256)
         joined = {ranks[x] * self.size + ranks[y]: n for b, n in ranks.items() for k in range(1, len(b)) if (x := b[:k]) in ranks and (y := b[k:]) in ranks}
         keys = np.fromiter(joined, np.int64, len(joined))
@@ -133,14 +169,14 @@ class Bpe:
             i = end
         return out
 
-    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of many short pre-tokens at once: one linked list over all their bytes, and one rank queue.
+    def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many short pre-tokens at once, and how many each has: one linked list over all their bytes, and one rank queue.
 
         A step takes the lowest rank's bucket and merges the leftmost live place of each pre-token that it holds, so
         each pre-token sees the very order that it would see alone.
         """
         if not pieces:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         ends = np.cumsum(lengths)
@@ -216,9 +252,7 @@ class Bpe:
                     buckets[r] = [np.sort(places)]
                     leaves[r >> _SHIFT] |= 1 << (r & _MASK)
                     root |= 1 << (r >> _SHIFT)
-        ids = token[live].tolist()
-        stops = np.cumsum(np.add.reduceat(live, ends - lengths, dtype=np.int64)).tolist()
-        return [tuple(ids[a:b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+        return token[live], np.add.reduceat(live, ends - lengths, dtype=np.int64)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of tokens joined, or -1."""
@@ -252,68 +286,85 @@ class Bpe:
             else:
                 split[part] = self.split(part)
         unseen = set(chain.from_iterable(split.values())).difference(self.pieces)
-        older = self.older[1]
-        again = unseen.intersection(older)
-        self.pieces.update((p, older[p]) for p in again)
-        unseen -= again
         short, raws = [], []
         for p in unseen:
             x = p.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(x)
             if whole is not None:
-                self.pieces[p] = (whole,)
+                self.pieces[p] = self.coded_pieces.add(np.array([whole], np.int32), np.ones(1, np.int64))[0]
             elif len(x) > SHORT:
-                self.pieces[p] = tuple(self.merge(x))
+                ids = self.merge(x)
+                self.pieces[p] = self.coded_pieces.add(np.array(ids, np.int32), np.array([len(ids)]))[0]
             else:
                 short.append(p)
                 raws.append(x)
-        self.pieces.update(zip(short, self.merge_all(raws), strict=True))
-        known, pieces = self.known, self.pieces
-        for part, own in split.items():
-            known[part] = pieces[own[0]] if len(own) == 1 else tuple(chain.from_iterable(map(pieces.__getitem__, own)))
+        self.pieces.update(zip(short, self.coded_pieces.add(*self.merge_all(raws)), strict=True))
+        own = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split.values())), np.int64)
+        counts = np.fromiter(map(len, split.values()), np.int64, len(split))
+        sizes = np.concatenate(([0], np.cumsum(self.coded_pieces.lengths(own))))
+        ends = np.cumsum(counts)
+        self.known.update(zip(split, self.coded_parts.add(self.coded_pieces.of(own), sizes[ends] - sizes[ends - counts]), strict=True))
 
     def forget(self) -> None:
         """Hold no parts of texts any more."""
-        self.known, self.pieces, self.older, self.held = {}, {}, ({}, {}), 0
+        self.known: dict[str, int] = {}
+        self.pieces: dict[str, int] = {}
+        self.coded_parts, self.coded_pieces, self.held = _Runs(), _Runs(), 0
 
-    def coded(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of the texts of a block."""
-        missing: set[str] = set()
-        for text in texts:
-            missing.update(self.parts(text))
+    def coded(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of the texts of a block, some texts at a time: all their ids, and where each text's end."""
         if self.held > REMEMBERED:
-            self.older, self.known, self.pieces, self.held = (self.known, self.pieces), {}, {}, 0
-        missing.difference_update(self.known)
-        older = self.older[0]
-        again = missing.intersection(older)
-        self.known.update((x, older[x]) for x in again)
-        self.held += sum(400 + 20 * len(x) for x in missing)
-        self.learn(missing - again)
-        return [list(chain.from_iterable(map(self.known.__getitem__, self.parts(text)))) for text in texts]
+            self.forget()
+        on = gc.isenabled()
+        gc.disable()  # a block makes many strings and no cycles
+        try:
+            missing: set[str] = set()
+            for text in texts:
+                missing.update(self.parts(text))
+            missing.difference_update(self.known)
+            self.held += sum(250 + 3 * len(x) for x in missing)
+            self.learn(missing)
+            index, counts = array("i"), []
+            for text in texts:
+                parts = self.parts(text)
+                counts.append(len(parts))
+                index.extend(map(self.known.__getitem__, parts))
+        finally:
+            if on:
+                gc.enable()
+        index, ends = np.array(index, np.int64), np.cumsum(counts, dtype=np.int64)
+        begun = 0
+        while begun < len(texts):
+            first = ends[begun - 1] if begun else 0
+            stop = max(begun + 1, int(np.searchsorted(ends, first + GATHERED)))
+            own = index[first : ends[stop - 1]]
+            sizes = np.concatenate(([0], np.cumsum(self.coded_parts.lengths(own))))
+            yield self.coded_parts.of(own), sizes[ends[begun:stop] - first]
+            begun = stop
 
     def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
         """The ids of each whole text."""
         for a, b in chunks(texts, BLOCK):
-            on = gc.isenabled()
-            gc.disable()  # a block makes many tuples and no cycles
-            try:
-                made = self.coded(texts[a:b])
-            finally:
-                if on:
-                    gc.enable()
-            yield from made
+            for ids, ends in self.coded(texts[a:b]):
+                begun = 0
+                for end in ends.tolist():
+                    yield ids[begun:end].tolist()
+                    begun = end
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of one whole text."""
         return next(self.encode_all([text]))
 
-    def decimals(self, ids: list[int]) -> str:
-        """The ids in decimals, joined by commas."""
-        return ",".join(map(self.decimal.__getitem__, ids))
-
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """The bytes that the ids stand for."""
-        return b"".join(map(self.token.__getitem__, ids))
+        return self.spelled.of(np.asarray(ids, np.int64)).tobytes()
+
+
+def _digests(runs: _Runs, ids: np.ndarray, ends: np.ndarray, less: int) -> list[str]:
+    """SHA-256 of what the ids of each text are spelled as, without the last `less` bytes."""
+    at = np.concatenate(([0], np.cumsum(runs.lengths(ids))))[np.concatenate(([0], ends))].tolist()
+    spelled = memoryview(np.ascontiguousarray(runs.of(ids)))
+    return [hashlib.sha256(spelled[a : max(a, b - less)]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -338,31 +389,18 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(path, pattern)
         for batch in batches:
-            counts, ids_sha, text_sha, flat, begun, tokens = [], [], [], array("i"), 0, 0
-
-            def rows(end: int) -> pa.RecordBatch:
-                own = batch.column("id").slice(begun, end - begun)  # noqa: B023
-                columns = [own, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]  # noqa: B023
-                if keep_ids:
-                    offsets = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32)  # noqa: B023
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.array(flat, np.int32))))  # noqa: B023
-                return pa.RecordBatch.from_arrays(columns, names)
-
             block = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy()) // BLOCK
             cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), batch.num_rows]
-            taken = (batch.column("text").slice(a, b - a).to_pylist() for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-            for end, ids in enumerate(chain.from_iterable(map(coder.encode_all, taken)), 1):
-                counts.append(len(ids))
-                tokens += len(ids)
-                ids_sha.append(hashlib.sha256(coder.decimals(ids).encode()).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-                if keep_ids:
-                    flat.extend(ids)
-                if tokens >= PASSED:
-                    yield rows(end)
-                    counts, ids_sha, text_sha, flat, begun, tokens = [], [], [], array("i"), end, 0
-            if counts or not batch.num_rows:
-                yield rows(batch.num_rows)
+            begun = 0
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                for ids, ends in coder.coded(batch.column("text").slice(a, b - a).to_pylist()):
+                    wide = ids.astype(np.int64)
+                    columns = [batch.column("id").slice(begun, len(ends)), pa.array(np.diff(ends, prepend=0), pa.int64())]
+                    columns += [pa.array(_digests(runs, wide, ends, less), pa.string()) for runs, less in ((coder.decimals, 1), (coder.spelled, 0))]
+                    if keep_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    begun += len(ends)
         if forget:
             coder.forget()
 
