@@ -132,14 +132,37 @@ def _iban(value: Column, h: Column) -> Column:
     return F.concat(country, F.lpad(check.cast("string"), 2, "0"), rest)
 
 
-def _parts(words: list[str], h: Column, n: Column) -> Column:
-    """n words by the bytes of a hash."""
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.array(*map(F.lit, words)), _byte(h, i) % len(words)))
-
-
-def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
-    """The surrogate of an entity, or of one word of a person's name (kinds given-f, given-m, given-n, surname)."""
-    h = _hash(key, kind, value, draw)
+def _tables() -> Column:
+    """The words that names are made of, by kind and script, in one literal."""
+    kinds = {**{f"given-{g}": by for g, by in _GIVEN.items()}, "surname": _SYLLABLES}
+    words = {f"{kind}/{script}": text for kind, by in kinds.items() for script, text in by.items()}
+    words |= {f"{kind}/{script}": " ".join(letters) for kind in kinds for script, letters in _LETTERS.items()}
+    return F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+
+
+def _named(df: DataFrame, key: str) -> DataFrame:
+    """(kind, value, draw) with the hash h of each, and for names their script and the words to draw from."""
+    script = F.lit("Latin")
+    for name in [*_GIVEN["n"], *_LETTERS]:
+        if name != "Latin":
+            script = F.when(F.col("value").rlike(rf"\p{{Is{name}}}"), name).otherwise(script)
+    out = df.withColumns({"h": _hash(key, F.col("kind"), F.col("value"), F.col("draw")), "script": F.when(F.col("kind").rlike("^(given-[fmn]|surname)$"), script)})
+    return out.withColumn("words", F.split(F.try_element_at(_tables(), F.concat_ws("/", "kind", "script")), " "))
+
+
+def _name() -> Column:
+    """A name of the drawn words: more of them with each draw, so that the names are more than any vocabulary."""
+    draw, letters = F.col("draw"), F.col("script").isin(*_LETTERS)
+    first, more = (draw > 0).cast("int"), F.greatest(draw - 4, F.lit(0))
+    surname = F.col("kind") == "surname"
+    n = F.when(letters, F.greatest(F.length("value"), F.lit(2)) + first).when(surname, 3 + first + (draw > 2).cast("int")).otherwise(1 + first) + more
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", _byte(F.col("h"), i) % F.size("words")))
+    return F.when(letters, F.array_join(parts, "")).when(surname, F.initcap(F.array_join(parts, ""))).otherwise(F.array_join(parts, "-"))
+
+
+def _surrogate(key: str) -> Column:
+    """The surrogate of an entity, or of one word of a person's name (kinds given-f, given-m, given-n, surname), by _named()."""
+    kind, value, h = F.col("kind"), F.col("value"), F.col("h")
     domain = F.substring_index(value, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
@@ -152,32 +175,9 @@ def _surrogate(kind: Column, value: Column, draw: Column, key: str) -> Column:
     area = F.length(F.regexp_extract(value, r"^(\+[0-9]{1,3}(?![0-9]))?", 1))
     redrawn = _redrawn(value, h)
     phone = F.concat(F.substring(value, F.lit(1), area), F.substring(redrawn, area + 1, F.length(value)))
-
-    # a part more for each draw from the fifth on, so that the names are more than any vocabulary
-    more = F.greatest(draw - 4, F.lit(0))
-
-    def given(words: list[str]) -> Column:
-        return F.array_join(_parts(words, h, 1 + (draw > 0).cast("int") + more), "-")
-
-    def surname(words: list[str]) -> Column:
-        return F.initcap(F.array_join(_parts(words, h, 3 + (draw > 0).cast("int") + (draw > 2).cast("int") + more), ""))
-
-    def scripted(tables: dict[str, str], build) -> Column:  # noqa: ANN001
-        """Of the table of the value's script, or as many of its script's letters; Latin for any other script."""
-        out = build(tables["Latin"].split())
-        for script in tables:
-            if script != "Latin":
-                out = F.when(value.rlike(rf"\p{{Is{script}}}"), build(tables[script].split())).otherwise(out)
-        for script, letters in _LETTERS.items():
-            out = F.when(value.rlike(rf"\p{{Is{script}}}"), F.array_join(_parts(list(letters), h, F.greatest(F.length(value), F.lit(2)) + (draw > 0).cast("int") + more), "")).otherwise(out)
-        return out
-
-    out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "number", value)
+    out = F.when(F.col("script").isNotNull(), _name()).when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone).when(kind == "number", value)
     out = out.when(kind == "key_id", _redrawn(value, h, 4)).when(kind == "iban", _iban(value, h))
-    out = out.when((kind == "secret") & value.rlike("^[0-9a-f]+$"), _hex(value, h))
-    for g in "fmn":
-        out = out.when(kind == f"given-{g}", scripted(_GIVEN[g], given))
-    return out.when(kind == "surname", scripted(_SYLLABLES, surname)).otherwise(_redrawn(value, h))
+    return out.when((kind == "secret") & value.rlike("^[0-9a-f]+$"), _hex(value, h)).otherwise(redrawn)
 
 
 def _gender(person: Column) -> Column:
@@ -202,7 +202,7 @@ def assigned(values: DataFrame, key: str) -> DataFrame:
     real = values.select("kind", F.col("value").alias("surrogate")).withColumn("used", F.lit(True))
     pending, done = values.withColumn("draw", F.lit(0)), []
     for _ in range(DRAWS):
-        drawn = settled(pending.withColumn("surrogate", _surrogate(F.col("kind"), F.col("value"), F.col("draw"), key)))
+        drawn = settled(_named(pending, key).select("kind", "value", "draw", _surrogate(key).alias("surrogate")))
         # the least value of those with one surrogate keeps it, unless it is used already: counted before they move
         first = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("first"), F.count("*").alias("n"))
         used = real
