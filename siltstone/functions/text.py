@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.plans.settle import settled
@@ -44,12 +44,11 @@ def token_table(df: DataFrame, column: str) -> DataFrame:
     values = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
     values = values.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
     values = settled(values)
-    sizes = sorted((r["_p"], r["n"]) for r in values.groupBy("_p").agg(F.count("*").alias("n")).collect())  # a row a partition
-    before, total = {}, 0
-    for p, n in sizes:
-        before[p], total = total, total + n
-    offset = F.create_map(*[F.lit(x) for p, n in before.items() for x in (p, n)]) if before else F.create_map(F.lit(-1), F.lit(0))
-    return values.select(column, F.concat(F.lit("id-"), F.lpad((offset[F.col("_p")] + F.col("_k") + 1).cast("string"), max(6, len(str(total))), "0")).alias("token"))
+    total = values.count()
+    sizes = values.groupBy("_p").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
+    number = F.col("_before") + F.col("_k") + 1
+    return values.join(before, "_p").select(column, F.concat(F.lit("id-"), F.lpad(number.cast("string"), max(6, len(str(total))), "0")).alias("token"))
 
 
 def pseudonym(value: Column, prefix: str = "u:", size: int = 12) -> Column:

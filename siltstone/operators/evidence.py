@@ -68,9 +68,8 @@ def chain_status(links: DataFrame, reasons: DataFrame, expected: list[str]) -> D
     links: (chain, link, code) with a null code for a sound link; reasons: (code, status).
     """
     ranks = {"COMPLETE": 0, "NOT_PROVEN": 1, "INCOMPLETE": 2, "BROKEN": 3}
-    spark = links.sparkSession
-    wanted = links.select("chain").distinct().join(F.broadcast(spark.createDataFrame([(x,) for x in expected], "link string")))
-    known = wanted.join(links.withColumn("seen", F.lit(True)), ["chain", "link"], "left").join(F.broadcast(reasons), "code", "left")
+    wanted = links.select("chain").distinct().withColumn("link", F.explode(F.array(*map(F.lit, expected))))
+    known = wanted.join(links.withColumn("seen", F.lit(True)), ["chain", "link"], "left").join(reasons, "code", "left")
     status = F.when(F.col("seen").isNull(), "INCOMPLETE").when(F.col("code").isNull(), "COMPLETE").otherwise(F.coalesce("status", F.lit("INCOMPLETE")))
     rank = F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])
     worst = known.select("chain", rank[status].alias("r")).groupBy("chain").agg(F.max("r").alias("r"))
@@ -89,7 +88,7 @@ def decision(codes: DataFrame, priorities: DataFrame) -> DataFrame:
     """(task, decision): ERROR over BLOCKED over UNVERIFIED over VERIFIED by a task's codes; priorities: (code, decision)."""
     order = F.array(*map(F.lit, ("ERROR", "BLOCKED", "UNVERIFIED", "VERIFIED")))
     rank = F.array_position(order, F.coalesce("decision", F.lit("ERROR")))
-    best = codes.join(F.broadcast(priorities), "code", "left").groupBy("task").agg(F.min(rank).alias("r"))
+    best = codes.join(priorities, "code", "left").groupBy("task").agg(F.min(rank).alias("r"))
     return best.select("task", F.element_at(order, F.col("r").cast("int")).alias("decision"))
 
 

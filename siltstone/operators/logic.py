@@ -50,9 +50,15 @@ def wildcard(pattern: Column, escape_end: bool = True) -> Column:
 
 
 def grants(values: DataFrame, value: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """(value, pattern) pairs that match without regard to case; distinct values meet the patterns, a small rule table."""
-    shaped = patterns.select(pattern).distinct().withColumn("_re", wildcard(F.col(pattern)))
-    return values.select(value).distinct().join(F.broadcast(shaped), F.rlike(F.lower(value), F.col("_re"))).select(value, pattern)
+    """(value, pattern) pairs that match without regard to case.
+
+    A distinct value meets the patterns whose text before the first wildcard it begins with, by equality of such beginnings.
+    """
+    shaped = patterns.select(pattern).distinct().withColumns({"_re": wildcard(F.col(pattern)), "_begin": F.lower(F.regexp_extract(pattern, r"^[^*?]*", 0))})
+    lengths = sorted(r[0] for r in shaped.select(F.length("_begin")).distinct().collect())  # as many as a pattern has characters, at most
+    begins = F.filter(F.array(*[F.when(F.length(value) >= n, F.substring(F.lower(value), 1, n)) for n in lengths]), lambda x: x.isNotNull()) if lengths else F.array().cast("array<string>")
+    met = values.select(value).distinct().withColumn("_begin", F.explode(begins)).join(shaped, "_begin")
+    return met.where(F.rlike(F.lower(value), F.col("_re"))).select(value, pattern)
 
 
 #: What a property must be, by name: each gives true where the value (text, null if absent) fails.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.plans.settle import settled
+
 
 def page_sequence(df: DataFrame, key: str, index: str, first: int = 0) -> DataFrame:
     """Whether each key's pages are distinct and run from `first` without a gap."""
@@ -44,10 +46,19 @@ def duplicates(df: DataFrame, keys: list[str], content: Column) -> DataFrame:
     return out.select(*keys, "n", F.when(F.col("n") == 1, "single").when(F.col("_d") == 1, "duplicate").otherwise("conflict").alias("state"))
 
 
-def running_cap(df: DataFrame, key: str, order: list, size: str, most: int) -> DataFrame:
-    """Rows with the running total of their key, and whether it is still within the cap."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("running", F.sum(size).over(w)).withColumn("within", F.col("running") <= most)
+def running_cap(df: DataFrame, key: str, order: list[str], size: str, most: int) -> DataFrame:
+    """Rows with the running total of their key, and whether it is still within the cap; the order is total within a key.
+
+    Totals are taken within range partitions by key and order, so that no task holds all rows of a frequent key; what
+    stands before a partition's rows of a key comes from the sums of the partitions before.
+    """
+    held = settled(df.repartitionByRange(key, *order).withColumn("_p", F.spark_partition_id()))
+    inside = Window.partitionBy("_p", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = held.groupBy("_p", F.col(key).alias("_key")).agg(F.sum(size).alias("_sum"))  # a row a key and partition
+    before = sums.select(F.col("_p").alias("_q"), "_key", (F.sum("_sum").over(Window.partitionBy("_key").orderBy("_p")) - F.col("_sum")).alias("_before"))
+    out = held.withColumn("_own", F.sum(size).over(inside)).join(before, (F.col("_p") == F.col("_q")) & F.col(key).eqNullSafe(F.col("_key")))
+    out = out.withColumn("running", F.col("_own") + F.col("_before"))
+    return out.withColumn("within", F.col("running") <= most).drop("_p", "_q", "_key", "_own", "_before")
 
 
 def top(df: DataFrame, key: list[str], order: list, k: int) -> DataFrame:

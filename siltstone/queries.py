@@ -141,7 +141,7 @@ def metrics_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.metrics(m, ["category"], F.length("o_orderpriority") == F.length("event_type")).select("category", "tp", "fn", "fp", "recall", "precision", "accuracy")
 
 
-_SNAP = "SELECT o_custkey AS k, o_orderpriority AS fp, o_orderkey, CASE WHEN year(o_orderdate) <= 1997 THEN 'base' ELSE 'head' END AS side FROM orders WHERE o_custkey % 7 = 0 AND o_orderdate < TIMESTAMP '2000-01-01'"
+_SNAP = "SELECT o_custkey AS k, o_orderpriority AS fp, o_orderkey, CASE WHEN year(o_orderdate) <= 1997 THEN 'base' ELSE 'head' END AS side FROM orders"
 
 
 @sql(
@@ -152,23 +152,6 @@ _SNAP = "SELECT o_custkey AS k, o_orderpriority AS fp, o_orderkey, CASE WHEN yea
     SELECT o_orderkey, side, coalesce(st, CASE WHEN lb AND lh THEN 'undetermined' WHEN CASE side WHEN 'base' THEN pb ELSE ph END > 1 THEN 'duplicate' ELSE 'only' END) AS stage FROM e"""
 )
 def delta_two_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What of two snapshots corresponds, by identity, by fingerprint, or not."""
-    o = Tables(spark, sf_dir).orders.where((F.col("o_custkey") % 7 == 0) & (F.col("o_orderdate") < F.lit("2000-01-01").cast("timestamp")))
-    o = o.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("fp"), "o_orderkey", F.year("o_orderdate").alias("y"))
-    return matching.delta(o.where("y <= 1997").drop("y"), o.where("y > 1997").drop("y"), ["k"], "fp", F.col("k") % 2 == 0).select("o_orderkey", "side", "stage")
-
-
-_ALL_SNAP = "SELECT o_custkey AS k, o_orderpriority AS fp, o_orderkey, CASE WHEN year(o_orderdate) <= 1997 THEN 'base' ELSE 'head' END AS side FROM orders"
-
-
-@sql(
-    f"""WITH s AS ({_ALL_SNAP}), c AS (SELECT *, count(*) FILTER (side = 'base') OVER (PARTITION BY k) AS b, count(*) FILTER (side = 'head') OVER (PARTITION BY k) AS h,
-      count(*) FILTER (side = 'base') OVER (PARTITION BY k, fp) AS pb, count(*) FILTER (side = 'head') OVER (PARTITION BY k, fp) AS ph FROM s),
-    d AS (SELECT *, CASE WHEN k % 2 = 0 AND b = 1 AND h = 1 THEN 'identity' WHEN pb = 1 AND ph = 1 THEN 'fingerprint' END AS st FROM c),
-    e AS (SELECT *, bool_or(side = 'base' AND st IS NULL) OVER (PARTITION BY k) AS lb, bool_or(side = 'head' AND st IS NULL) OVER (PARTITION BY k) AS lh FROM d)
-    SELECT o_orderkey, side, coalesce(st, CASE WHEN lb AND lh THEN 'undetermined' WHEN CASE side WHEN 'base' THEN pb ELSE ph END > 1 THEN 'duplicate' ELSE 'only' END) AS stage FROM e"""
-)
-def delta_two_snapshots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of two snapshots of all orders corresponds, by identity, by fingerprint, or not."""
     o = Tables(spark, sf_dir).orders.select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("fp"), "o_orderkey", F.year("o_orderdate").alias("y"))
     return matching.delta(o.where("y <= 1997").drop("y"), o.where("y > 1997 or y is null").drop("y"), ["k"], "fp", F.col("k") % 2 == 0).select("o_orderkey", "side", "stage")
@@ -313,50 +296,23 @@ def edges_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.edges(rows, "s_nationkey", "c_nationkey", t.nation, "n_nationkey")
 
 
-_EDGES = "e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey <> c_nationkey AND s_suppkey < 30)"
-
-
-def _few_edges(t: Tables) -> DataFrame:
-    rows = t.supplier.where("s_suppkey < 30").join(t.customer, F.col("s_suppkey") == F.col("c_custkey"))
-    return graphs.edges(rows, "s_nationkey", "c_nationkey", t.nation, "n_nationkey")
+_EDGES = f"e AS ({SQL['edges_dedup']})"
 
 
 @sql(f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
 def reach_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs joined by a path."""
-    return graphs.reach(_few_edges(Tables(spark, sf_dir)))
-
-
-@sql(f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src AS node FROM r WHERE src = dst")
-def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on cycles."""
-    return graphs.cycle_nodes(_few_edges(Tables(spark, sf_dir)))
-
-
-@sql(f"WITH {_EDGES} SELECT n_nationkey, coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) FROM e WHERE dst = n_nationkey), '') AS referrers FROM nation")
-def referrers_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Who refers to each node."""
-    t = Tables(spark, sf_dir)
-    return graphs.referrers(t.nation.select("n_nationkey"), "n_nationkey", _few_edges(t))
-
-
-_ALL_EDGES = f"e AS ({SQL['edges_dedup']})"
-
-
-@sql(f"WITH RECURSIVE {_ALL_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
-def reach_recursive_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs joined by a path of any edges."""
     return graphs.reach(edges_dedup(spark, sf_dir))
 
 
-@sql(f"WITH RECURSIVE {_ALL_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src AS node FROM r WHERE src = dst")
-def cycle_nodes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@sql(f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src AS node FROM r WHERE src = dst")
+def cycle_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes on cycles of any edges."""
     return graphs.cycle_nodes(edges_dedup(spark, sf_dir))
 
 
-@sql(f"WITH {_ALL_EDGES} SELECT n_nationkey, coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) FROM e WHERE dst = n_nationkey), '') AS referrers FROM nation")
-def referrers_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@sql(f"WITH {_EDGES} SELECT n_nationkey, coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src::VARCHAR) FROM e WHERE dst = n_nationkey), '') AS referrers FROM nation")
+def referrers_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who refers to each node, by any edge."""
     return graphs.referrers(Tables(spark, sf_dir).nation.select("n_nationkey"), "n_nationkey", edges_dedup(spark, sf_dir))
 
@@ -427,11 +383,11 @@ def order_inversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.inversions(Tables(spark, sf_dir).events, "user_id", "event_id", "value")
 
 
-@sql("SELECT substr(sha256(substr(text, 1, 40)), 1, 16) AS key, count(*) AS n, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT sha256(text)) = 1 THEN 'duplicate' ELSE 'conflict' END AS state FROM documents GROUP BY 1")
+@sql("SELECT substr(sha256(text), 1, 16) AS key, count(*) AS n, CASE WHEN count(*) = 1 THEN 'single' WHEN count(DISTINCT sha256(source || '/' || lang)) = 1 THEN 'duplicate' ELSE 'conflict' END AS state FROM documents GROUP BY 1")
 def duplicate_vs_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a key, equal or not."""
-    d = Tables(spark, sf_dir).documents.withColumn("key", F.substring(F.sha2(F.substring("text", 1, 40), 256), 1, 16))
-    return sequences.duplicates(d, ["key"], F.col("text"))
+    d = Tables(spark, sf_dir).documents.withColumn("key", F.substring(F.sha2("text", 256), 1, 16))
+    return sequences.duplicates(d, ["key"], F.concat_ws("/", "source", "lang"))
 
 
 @sql("SELECT o_custkey, ['COMPLETE', 'NOT_PROVEN', 'INCOMPLETE', 'BROKEN'][1 + max(CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_totalprice < 100000 THEN 1 WHEN o_orderstatus = 'O' THEN 2 ELSE 3 END)] AS status FROM orders GROUP BY o_custkey")

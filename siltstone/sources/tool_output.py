@@ -36,10 +36,11 @@ def classified(rows: DataFrame, levels: DataFrame, prefixes: DataFrame, override
     (rule_id, category, severity, type). A security prefix makes the type Security; an error that blocks deployment is
     CRITICAL; an unknown level counts as the fallback one.
     """
-    known = F.broadcast(levels.select("level", F.col("severity").alias("l_sev"), F.col("type").alias("l_type")))  # a level a row
-    own = F.broadcast(overrides.select("rule_id", F.col("category").alias("o_cat"), F.col("severity").alias("o_sev"), F.col("type").alias("o_type")))  # a rule table
-    names = [r["level"] for r in levels.select("level").collect()]
-    out = rows.withColumn("level", F.when(F.col("level").isin(names), F.col("level")).otherwise(fallback)).join(known, "level", "left").join(own, "rule_id", "left")
+    known = levels.select("level", F.col("severity").alias("l_sev"), F.col("type").alias("l_type"))
+    other = known.where(F.col("level") == fallback).select(F.col("l_sev").alias("f_sev"), F.col("l_type").alias("f_type"), F.lit(1).alias("one"))
+    own = overrides.select("rule_id", F.col("category").alias("o_cat"), F.col("severity").alias("o_sev"), F.col("type").alias("o_type"))
+    out = rows.join(known, "level", "left").withColumn("one", F.when(F.col("l_sev").isNull() & F.col("l_type").isNull(), 1)).join(other, "one", "left")
+    out = out.withColumns({"l_sev": F.coalesce("l_sev", "f_sev"), "l_type": F.coalesce("l_type", "f_type"), "level": F.when(F.col("one").isNull(), F.col("level")).otherwise(fallback)}).join(own, "rule_id", "left")
     out = longest_prefix(out, "rule_id", prefixes, "prefix")
     blocks = (F.col("level") == "Error") & F.coalesce("blocking", F.lit(False))
     kind = F.coalesce("o_type", F.when(F.col("security"), "Security"), "l_type", F.lit("Informational"))
