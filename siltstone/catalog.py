@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone import gate_queries as gates
 from siltstone import queries as tables
 from siltstone import template_queries as templates
 
@@ -14,9 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return tables.QUERIES | templates.QUERIES
+    return tables.QUERIES | templates.QUERIES | gates.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return tables.SQL | templates.SQL
+    return tables.SQL | templates.SQL | {"gate_decisions": gates.SQL}

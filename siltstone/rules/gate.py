@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 # and the impostor of each spoofed one (kind, state).
 CHECK = "remediation-gate/verified"
 FAIL_STEPS = ("Derive the outputs from the report", "Verify the candidate against the approved contract")
-EXPECTED = {"G0": ("success", "mergeable"), "G9": ("failure", "mergeable_then_blocked"), "G1": ("success", "clean"), **{g: ("failure", "blocked") for g in "G2 G3 G3S G4 G5 G6 G10 G11".split()}}
+EXPECTED = {
+    "G0": ("success", "mergeable"),
+    "G1": ("success", "clean"),
+    "G2": ("failure", "blocked"),
+    "G3": ("failure", "blocked"),
+    "G3S": ("failure", "blocked"),
+    "G4": ("failure", "blocked"),
+    "G5": ("failure", "blocked"),
+    "G6": ("failure", "blocked"),
+    "G9": ("failure", "mergeable_then_blocked"),
+    "G10": ("failure", "blocked"),
+    "G11": ("failure", "blocked"),
+}
 IMPOSTORS = {"G3": ("check_run", "success"), "G3S": ("status", "success"), "G6": ("check_run", "skipped")}
 MERGEABLE = ("CLEAN", "UNSTABLE", "HAS_HOOKS")
 CONDITIONS = ("event", "workflow_path", "run_head_sha", "subject_is_base", "validator_pinned", "validator_checked_out", "gate_scripts_pinned", "head_env_is_pr_head", "trusted_contract", "no_relaxed_contract", "token_permissions")
@@ -129,7 +141,7 @@ def rules() -> dict[str, Column]:
     }
 
 
-def evaluated(facts: DataFrame) -> DataFrame:
-    """(scenario, rule, status, reason): a row a scenario and rule."""
+def evaluated(facts: DataFrame, keys: tuple[str, ...] = ("scenario",)) -> DataFrame:
+    """(keys, rule, status, reason): a row a row of facts and rule."""
     each = F.array(*[F.struct(F.lit(name).alias("rule"), value["status"].alias("status"), value["reason"].alias("reason")) for name, value in rules().items()])
-    return prepared(facts).select("scenario", F.inline(each))
+    return prepared(facts).select(*keys, F.inline(each))
