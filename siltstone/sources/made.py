@@ -179,9 +179,33 @@ DOCUMENTS = [
 ]
 
 
+def _q(**properties: object) -> dict:
+    return {"Type": "AWS::SQS::Queue", "Properties": properties}
+
+
+#: Two versions of a template each: nodes, entries, types, sections and attributes that change, expressions and conditions around.
+VERSIONS = [
+    (_t(Resources={"A": _q(X=1, Y=["a", "b"])}), _t(Resources={"A": _q(X=2, Y=["a", "c", "d"])})),
+    (_t(Resources={"A": _q(X=1), "B": _q()}), _t(Resources={"A": _q(X=1), "C": _q(Z="@N")})),
+    (_t(Resources={"A": _q(X=1)}), _t(Resources={"A": {"Type": "AWS::SNS::Topic", "Properties": {"X": 2}}})),
+    (_t(Resources={"A": _q(X={"Ref": "P"})}, Parameters={"P": {"Type": "String", "Default": "a"}}), _t(Resources={"A": _q(X={"Ref": "AWS::Region"})}, Parameters={"P": {"Type": "String", "Default": "@N"}})),
+    (_t(Resources={"A": _q(X={"Fn::If": ["C", "a", "b"]}) | {"Condition": "C"}}), _t(Resources={"A": _q(X={"Fn::If": ["C", "a", "{{resolve:ssm:x}}"]}) | {"Condition": "C"}})),
+    (_t(Description="a", Metadata={"X": {"Y": 1}}, Resources={"A": _q()}), _t(Description="b", Metadata={"X": {"Y": 2, "Z": 3}}, Resources={"A": _q()})),
+    (_t(Resources={"A": _q() | {"Foo": {"X": 1, "Y": 2}}}), _t(Resources={"A": _q() | {"Foo": {"X": 2, "Y": 3}}})),
+    (_t(Resources={"A": _q(X={"Y": 1})}), _t(Resources={"A": _q(X=["1"])})),
+    (_t(Resources={"A": _q(X=1)}), _t(Resources={"A": _q(X="1", W=True)})),
+    (_t(Transform="T", Resources={"A": _q(X=1), "B": {"Type": "AWS::CloudFormation::Stack"}}), _t(Transform="T", Resources={"A": _q()})),
+    (_t(Resources={"A": _q(Z={"Fn::GetAZs": ""})}, Outputs={"O": {"Value": 1, "Condition": "C"}}), _t(Resources={"A": _q(Z={"Fn::GetAZs": "x"})}, Outputs={"O": {"Value": 2, "Condition": "C"}})),
+    (_t(Resources={"A": _q(X=1)}, Conditions={"C": {"Fn::Equals": ["a", "b"]}}), _t(Resources={"A": _q(X=1)}, Conditions={"C": {"Fn::Equals": ["a", "c"]}, "D": {"Fn::Not": [{"Condition": "C"}]}})),
+    (_t(Resources={"A": _q(X=1)}), _t(Resources={"A": _q(X=1)})),
+]
+
+
 def _variants(kind: str) -> list[str]:
     if kind == "policies":
         return [json.dumps({"Parameters": _PARAMETERS, "Resources": {"It": x}}) for x in POLICIES]
+    if kind in ("base", "head"):
+        return [pair[kind == "head"] for pair in VERSIONS]
     return {"parts": RESOURCES, "templates": TEMPLATES, "documents": [t for t, _ in DOCUMENTS]}[kind]
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import semantic
 from siltstone.plans.settle import settled
 from siltstone.review import Review
 from siltstone.rules import findings
@@ -276,3 +277,50 @@ def review_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     templates = made.templates(spark, sf_dir, "parts")
     merged = findings.merged(settled(Review(templates, ("properties",)).raw()))
     return findings.summaries(merged, templates.select("template_id"))
+
+
+# Two versions of a template, by path.
+_PATH = "list_transform(regexp_extract_all(n.fullkey, '\\.\"[^\"]*\"|\\.[A-Za-z0-9_]+|\\[[0-9]+\\]'), lambda x: trim(x, '.\"[]'))"
+_SIDE = "SELECT template_id, {path} AS path, n.type AS t, CASE WHEN n.type IN ('OBJECT', 'ARRAY') THEN NULL ELSE CAST(n.value AS VARCHAR) END AS v FROM ({rows}) q, json_tree(q.body::JSON) n"
+_ENTRY = "path[1] IN ('Resources', 'Parameters', 'Conditions', 'Outputs', 'Mappings')"
+_VERSIONS = f"""b AS ({_SIDE.format(path=_PATH, rows=made.sql('base'))}), h AS ({_SIDE.format(path=_PATH, rows=made.sql('head'))}),
+ o AS (SELECT template_id, path, b.t AS bt, b.v AS bv, h.t AS ht, h.v AS hv FROM b FULL JOIN h USING (template_id, path)),
+ turned AS (SELECT o.template_id, o.path[1:2] AS owner FROM o WHERE len(o.path) = 3 AND o.path[1] = 'Resources' AND o.path[3] = 'Type' AND o.bv IS DISTINCT FROM o.hv
+   AND EXISTS (FROM o x WHERE x.template_id = o.template_id AND x.path = o.path[1:2] AND x.bt = 'OBJECT' AND x.ht = 'OBJECT')),
+ u AS (SELECT DISTINCT o.template_id, CASE WHEN NOT {_ENTRY} THEN path[1:1] WHEN t.owner IS NOT NULL THEN t.owner WHEN path[1] = 'Resources' AND len(path) > 2 AND path[3] NOT IN ('Type', 'Properties', 'DependsOn', 'Condition', 'DeletionPolicy', 'UpdateReplacePolicy', 'UpdatePolicy', 'CreationPolicy', 'Metadata') THEN path[1:3] ELSE path END AS path, t.owner IS NOT NULL AS type_changed
+   FROM o LEFT JOIN turned t ON t.template_id = o.template_id AND t.owner = o.path[1:2] WHERE bt IS DISTINCT FROM ht OR bv IS DISTINCT FROM hv),
+ k AS (SELECT u.*, CASE WHEN o.bt IS NULL THEN 'added' WHEN o.ht IS NULL THEN 'removed' ELSE 'modified' END AS change FROM u JOIN o USING (template_id, path) WHERE NOT EXISTS (FROM u x WHERE x.template_id = u.template_id AND len(x.path) < len(u.path) AND x.path = u.path[1:len(x.path)])),
+ pre AS (SELECT DISTINCT template_id FROM o WHERE path[1] = 'Transform'),
+ near AS (SELECT k.template_id, k.path, bool_or(len(o.path) > 2 AND (o.path[-1] = 'Ref' OR starts_with(o.path[-1], 'Fn::'))) AS expression, bool_or(contains(coalesce(o.bv, ''), '{{{{resolve:') OR contains(coalesce(o.hv, ''), '{{{{resolve:')) AS dyn,
+   bool_or(len(o.path) > 2 AND (o.path[-1] IN ('Fn::GetAZs', 'Fn::ImportValue') OR o.path[-1] = 'Ref' AND (starts_with(coalesce(o.bv, ''), '"AWS::') OR starts_with(coalesce(o.hv, ''), '"AWS::')))) AS ext
+   FROM k JOIN o ON o.template_id = k.template_id AND o.path[1:len(k.path)] = k.path GROUP BY ALL),
+ c AS (SELECT k.*, array_to_string(list_filter([CASE WHEN n.expression OR {_ENTRY} AND len(list_filter(k.path[3:], lambda x: x = 'Ref' OR starts_with(x, 'Fn::'))) > 0 THEN 'expression' END,
+   CASE WHEN {_ENTRY} AND list_contains(k.path[3:], 'Fn::If') OR EXISTS (FROM o x WHERE x.template_id = k.template_id AND x.path[1:2] = k.path[1:2] AND len(x.path) = 3 AND x.path[3] = 'Condition' AND x.path[1] IN ('Resources', 'Outputs')) THEN 'conditional' END,
+   CASE WHEN n.dyn THEN 'dynamic_reference' END, CASE WHEN n.ext OR {_ENTRY} AND len(list_filter(k.path[3:], lambda x: x IN ('Fn::GetAZs', 'Fn::ImportValue'))) > 0 THEN 'external' END,
+   CASE WHEN k.template_id IN (FROM pre) THEN 'pre_transform' END], lambda x: x IS NOT NULL), ',') AS qualifiers FROM k LEFT JOIN near n USING (template_id, path)),
+ ends AS (SELECT k.template_id, k.path, k.change, coalesce(o.bv, o.hv) AS rtype FROM k JOIN o ON o.template_id = k.template_id AND o.path = list_append(k.path, 'Type') WHERE len(k.path) = 2 AND k.path[1] = 'Resources' AND change <> 'modified')"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(settled(nodes(made.templates(spark, sf_dir, side))) for side in ("base", "head"))
+
+
+@sql(
+    f"""WITH {_VERSIONS} SELECT template_id, path[1] AS section, array_to_string(path, '/') AS path, change, type_changed, qualifiers,
+      CASE WHEN EXISTS (FROM ends e JOIN ends f ON f.template_id = e.template_id AND f.rtype = e.rtype AND f.change <> e.change WHERE e.template_id = c.template_id AND e.path = c.path) THEN 'possible_logical_id_rename' END AS hint, false AS failed FROM c"""
+)
+def review_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes between two versions of templates, with qualifiers and hints."""
+    return semantic.changes(*_versions(spark, sf_dir)).withColumn("path", F.array_join("path", "/"))
+
+
+@sql(
+    f"""WITH {_VERSIONS}, l AS (SELECT DISTINCT template_id, 'transform_not_expanded' AS x FROM pre UNION SELECT template_id, 'nested_stack_not_compared' FROM o WHERE path[-1] = 'Type' AND '"AWS::CloudFormation::Stack"' IN (bv, hv)
+      UNION SELECT template_id, 'dynamic_reference_unresolved' FROM o WHERE contains(coalesce(bv, '') || coalesce(hv, ''), '{{{{resolve:') UNION SELECT template_id, 'indirect_effects_not_evaluated' FROM c WHERE path[1] IN ('Parameters', 'Mappings', 'Conditions'))
+    SELECT t.template_id, count(c.path) AS total, count(*) FILTER (c.change = 'added') AS n_added, count(*) FILTER (c.change = 'removed') AS n_removed, count(*) FILTER (c.change = 'modified') AS n_modified,
+      coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM l WHERE l.template_id = t.template_id), '') AS limitations FROM (SELECT DISTINCT template_id FROM o) t LEFT JOIN c ON c.template_id = t.template_id GROUP BY t.template_id"""
+)
+def review_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of changes and limitations of each comparison."""
+    base, head = _versions(spark, sf_dir)
+    return semantic.summary(semantic.changes(base, head), semantic.limitations(base, head), made.templates(spark, sf_dir, "base"))
