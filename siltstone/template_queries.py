@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import semantic
+from siltstone.operators import facts, semantic
 from siltstone.plans.settle import settled
 from siltstone.review import Review
 from siltstone.rules import findings
@@ -324,3 +324,62 @@ def review_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of changes and limitations of each comparison."""
     base, head = _versions(spark, sf_dir)
     return semantic.summary(semantic.changes(base, head), semantic.limitations(base, head), made.templates(spark, sf_dir, "base"))
+
+
+# Facts: references in all of a resource, parameters, availability, statistics.
+_TOKENS = "regexp_extract_all({}, '\\$\\{{([A-Za-z0-9:._-]+)\\}}', 1)"
+_FACTS = f"""t AS ({made.sql('templates')}),
+ node AS (SELECT template_id, n.id, n.key, {_PATH} AS path, n.type AS vtype, CASE WHEN n.type = 'VARCHAR' THEN json_extract_string(n.value, '$') ELSE CAST(n.value AS VARCHAR) END AS v FROM t, json_tree(t.body::JSON) n),
+ own AS (SELECT *, path[2] AS src FROM node WHERE path[1] = 'Resources' AND len(path) > 2),
+ named AS (SELECT template_id, src, path[1:-2] AS spot, unnest({_TOKENS.format('v')}) AS name FROM own WHERE path[-1] = 'Fn::Sub' AND vtype = 'VARCHAR'
+   UNION ALL SELECT template_id, src, path[1:-3], unnest({_TOKENS.format('v')}) FROM own WHERE path[-2] = 'Fn::Sub' AND path[-1] = '0' AND vtype = 'VARCHAR'),
+ refs AS (SELECT DISTINCT template_id, src, dst, kind, attribute, array_to_string(spot, '/') AS place FROM (
+   SELECT template_id, src, v AS dst, 'Ref' AS kind, NULL AS attribute, path[1:-2] AS spot FROM own WHERE path[-1] = 'Ref' AND vtype = 'VARCHAR'
+   UNION ALL SELECT template_id, src, split_part(v, '.', 1), 'Fn::GetAtt', nullif(regexp_extract(v, '^[^.]*\\.(.*)$', 1), ''), path[1:-2] FROM own WHERE path[-1] = 'Fn::GetAtt' AND vtype = 'VARCHAR'
+   UNION ALL SELECT template_id, src, arg_min(v, id), 'Fn::GetAtt', nullif(array_to_string((list(v ORDER BY id))[2:], '.'), ''), path[1:-3] FROM own WHERE path[-2] = 'Fn::GetAtt' AND vtype = 'VARCHAR' GROUP BY template_id, src, path[1:-3]
+   UNION ALL SELECT template_id, src, split_part(name, '.', 1), 'Fn::Sub', nullif(regexp_extract(name, '^[^.]*\\.(.*)$', 1), ''), spot FROM named n
+     WHERE NOT EXISTS (FROM own s WHERE s.template_id = n.template_id AND len(s.path) = len(n.spot) + 3 AND s.path[1:-4] = n.spot AND s.path[-3] = 'Fn::Sub' AND s.path[-2] = '1' AND s.path[-1] IN (n.name, split_part(n.name, '.', 1)))))"""
+
+
+def _relations(spark: SparkSession, sf_dir: str, kind: str) -> Relations:
+    return Relations(settled(nodes(made.templates(spark, sf_dir, kind))))
+
+
+@sql(f"WITH {_FACTS} SELECT * FROM refs r WHERE src <> dst AND EXISTS (FROM own o WHERE o.template_id = r.template_id AND o.src = r.dst)")
+def facts_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between resources with their attributes and places."""
+    return facts.resource_references(_relations(spark, sf_dir, "templates"))
+
+
+@sql(
+    f"""WITH {_FACTS}, p AS (SELECT template_id, path[2] AS name, max(v) FILTER (path[3] = 'Type') AS type, coalesce(bool_or(path[3] = 'NoEcho' AND lower(trim(v)) = 'true'), false) AS no_echo, max(v) FILTER (path[3] = 'Default') AS d FROM node WHERE path[1] = 'Parameters' AND len(path) = 3 GROUP BY ALL)
+    SELECT template_id, name, type, no_echo, CASE WHEN no_echo AND d IS NOT NULL THEN '[REDACTED]' ELSE d END AS default_value, coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM refs r WHERE r.template_id = p.template_id AND r.dst = p.name), '') AS referenced_by FROM p"""
+)
+def facts_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters, their defaults hidden where they must not be shown, and who refers to them."""
+    return facts.parameters(_relations(spark, sf_dir, "templates"))
+
+
+@sql(f"WITH {_FACTS} SELECT template_id, src AS resource, array_to_string(path, '/') AS place FROM own WHERE path[-1] IN ({', '.join(map(repr, facts.AVAILABILITY))})")
+def facts_availability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where resources speak of availability."""
+    return facts.availability(_relations(spark, sf_dir, "templates"))
+
+
+@sql(f"WITH {_POLICY}(SELECT NULL, NULL, NULL, NULL) SELECT template_id, count(DISTINCT doc) AS documents, count(*) AS statements, count(*) FILTER (lower(trim(json_extract_string(s, '$.Effect'))) = 'allow') AS allowing FROM stmt GROUP BY template_id")
+def facts_policy_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many policies and statements each template has."""
+    return facts.policy_statistics(_relations(spark, sf_dir, "policies"))
+
+
+_DUE = ", ".join(f"('{r}', 'AWS::{t}')" for r, t, *_ in _RULES)
+
+
+@sql(
+    f"""WITH {_PARTS}, r AS (SELECT * FROM ({_PROPERTY})), n AS (SELECT count(DISTINCT rule_id) AS n FROM (VALUES {_DUE}) v(rule_id, rtype))
+    SELECT template_id, count(DISTINCT v.rule_id) AS evaluated, (SELECT count(DISTINCT rule_id) FROM r WHERE r.template_id = t.template_id) AS failing, (SELECT n FROM n) - count(DISTINCT v.rule_id) AS not_applicable
+    FROM t LEFT JOIN (VALUES {_DUE}) v(rule_id, rtype) USING (rtype) GROUP BY template_id"""
+)
+def facts_rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many property rules were tested, failed or had nothing to test, by template."""
+    return facts.rule_statistics(_relations(spark, sf_dir, "parts"))
