@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone import gate_queries as gates
 from siltstone import queries as tables
 from siltstone import template_queries as templates
+from siltstone import tool_queries as tools
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return tables.QUERIES | templates.QUERIES | gates.QUERIES
+    return tables.QUERIES | templates.QUERIES | gates.QUERIES | tools.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return tables.SQL | templates.SQL | {"gate_decisions": gates.SQL}
+    return tables.SQL | templates.SQL | tools.SQL | {"gate_decisions": gates.SQL}
