@@ -257,6 +257,45 @@ def test_every_counted_context_is_a_node(spark):
     assert len(model.table) == 1 + depth(0xFF) + depth(0xFFFF) + contexts
 
 
+def weighted(history, node, bits, depth):
+    """log of the probability that a context tree of three bytes gives the decisions of one node of the byte's bits."""
+    zeros, ones = bits.count(0), bits.count(1)
+    own = sum(math.log((k + 0.5) / (n + 1)) for k, n in [*((k, k) for k in range(zeros)), *((k, zeros + k) for k in range(ones))])
+    if depth == 3:
+        return own
+    below = {}
+    for h, b in zip(history, bits, strict=True):
+        below.setdefault(h[2 - depth], []).append((h, b))
+    deeper = sum(weighted([h for h, _ in x], node, [b for _, b in x], depth + 1) for x in below.values())
+    return math.log(0.5) + max(own, deeper) + math.log1p(math.exp(-abs(own - deeper)))
+
+
+def brute_score(train, text):
+    """log10 probability of a text after the training texts: each decision's tree, with and without it."""
+    seen = [(bytes(3) + t.encode(), i) for t in train for i in range(3, 3 + len(t.encode()))]
+    total, raw = 0.0, bytes(3) + text.encode()
+    for i in range(3, len(raw)):
+        for level in range(8):
+            prefix = raw[i] >> (8 - level)
+            had = [(t[j - 3 : j], (t[j] >> (7 - level)) & 1) for t, j in seen if t[j] >> (8 - level) == prefix]
+            history, bits = [h for h, _ in had], [b for _, b in had]
+            more = weighted([*history, raw[i - 3 : i]], None, [*bits, (raw[i] >> (7 - level)) & 1], 0)
+            total += (more - weighted(history, None, bits, 0)) / math.log(10)
+    return total
+
+
+def test_scores_are_those_of_context_tree_weighting(spark):
+    rng = random.Random(17)
+    texts = ["".join(rng.choices("ab c", k=rng.randint(1, 40))) for _ in range(12)] + ["é ab", "abab abab abab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [t for i, t in enumerate(texts) if i not in held]
+    got = {r.doc_id: r.score for r in ctw.score(docs).collect()}
+    assert held
+    for i in [*held, 0, len(texts) - 1]:
+        assert abs(got[i] - brute_score(train, texts[i])) < 1e-3 * max(1, len(texts[i]))
+
+
 def test_quality_counts_and_outliers(spark):
     rng = random.Random(9)
     words = vocabulary(rng, 500)

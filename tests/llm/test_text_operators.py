@@ -89,6 +89,36 @@ def test_license_places_and_labels(spark):
     assert got[4].labels == "gpl,gpl-3.0"
 
 
+def test_licenses_against_a_search_for_whole_notices():
+    rng = random.Random(9)
+    index = licenses.Index()
+    say = lambda n: [("".join(rng.choice("abcdefg") for _ in range(5))).encode() for _ in range(n)]
+    for label, notice, phrases in licenses.TEMPLATES:
+        own = licenses.words_of(notice)
+        before = say(rng.randint(0, 60))
+        for change in ("whole", "put in", "left out"):
+            body = list(own)
+            inside = {i for p in phrases for n in [licenses.words_of(p)] for k in range(len(own) - len(n) + 1) if own[k : k + len(n)] == n for i in range(k, k + len(n))}
+            free = [i for i in range(2, len(own)) if i not in inside and i - 1 not in inside]
+            if change != "whole" and (len(own) < 12 or not free):
+                continue
+            if change == "put in":
+                body.insert(free[0], b"zzz")
+            elif change == "left out":
+                del body[free[0]]
+            text = b" ".join([*before, *body, *say(40)]).decode()
+            spans = index.scan(text)["spans"]
+            found = {x["label"] for x in spans}
+            assert label in found
+            if change == "whole":
+                assert any(x["label"] == label and x["coverage"] == 1.0 and x["start"] == len(before) for x in spans)
+            # brute force: notices that stand word for word are all told
+            joined = " " + " ".join(w.decode() for w in licenses.words_of(text)) + " "
+            assert {t[0] for t in licenses.TEMPLATES if " " + " ".join(w.decode() for w in licenses.words_of(t[1])) + " " in joined} <= found
+    assert index.scan(" ".join(w.decode() for w in say(400)))["spans"] == []
+    assert [x["label"] for x in index.scan("// SPDX-License-Identifier: BSD-3-Clause")["spans"]] == ["bsd-3-clause"]
+
+
 def test_license_odd_rows(spark):
     docs = odd_rows(spark)
     got = licenses.summary(licenses.scan(docs))
