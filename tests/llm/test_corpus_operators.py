@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -204,6 +205,18 @@ def test_samples_follow_the_weighted_similarity():
             assert abs(np.mean(agreed) - np.mean(real)) < 0.05
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").is_dir(), reason="no tables")
+def test_recall_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    links = weighted_links(rows, 0.8)
+    held = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 100 and held >= 0.99 * len(links)
+    loose = rooted(got, weighted_links(rows, 0.79))
+    assert all(loose[i] == loose[c] for i, c in got.items())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
