@@ -32,7 +32,7 @@ def _header(headers: Column, name: str) -> Column:
     return F.try_element_at(headers, F.lit(name))
 
 
-def resolve(records: DataFrame, stretch: int = 86_400) -> DataFrame:
+def resolve(records: DataFrame, stretch: int = 3_600) -> DataFrame:
     """A row a revisit: record_id, url_key, ts, response_id, response_ts, verdict and headers.
 
     records: record_id, url, ts (whole seconds), kind ("response" or "revisit"), headers (map of lower-case names to
@@ -46,7 +46,8 @@ def resolve(records: DataFrame, stretch: int = 86_400) -> DataFrame:
     status = F.col("status") if "status" in cols else F.lit(None).cast("int")
     base = records.select("record_id", canonical(F.col("url")).alias("url_key"), F.col("ts").cast("bigint").alias("ts"), "kind", "headers", "digest", status.alias("status"))
     full = (F.col("kind") == "response") & (F.col("status").isNull() | (F.col("status") == 200)) & F.col("url_key").isNotNull() & F.col("ts").isNotNull()
-    wanted = base.where(full | (F.col("kind") == "revisit"))
+    placed = F.col("url_key").isNotNull() & F.col("ts").isNotNull()
+    wanted = base.where(full | (F.col("kind") == "revisit") & placed)
     what = F.struct("ts", "record_id", "headers", "digest")
     rows = wanted.withColumns({"stretch": F.floor(F.col("ts") / stretch), "full": F.when(full, what), "is_full": full.cast("int")})
     # responses sort after the revisits of their second, so that what stands before a revisit is earlier
@@ -60,6 +61,10 @@ def resolve(records: DataFrame, stretch: int = 86_400) -> DataFrame:
     responses = wanted.where(full).select(F.col("url_key").alias("k"), F.col("ts").alias("t"), F.col("record_id").alias("r"), what.alias("far"))
     found = far.join(responses, (F.col("url_key") == F.col("k")) & (F.col("from.ts") == F.col("t")) & (F.col("from.record_id") == F.col("r"))).groupBy("url_key", "stretch").agg(F.first("far").alias("far"))
     out = rows.where(F.col("is_full") == 0).join(found, ["url_key", "stretch"], "left").withColumn("of", F.coalesce("near", "far"))
+    # revisits without a URL or time meet nothing, and are not gathered to find that out
+    lost = base.where((F.col("kind") == "revisit") & ~placed).withColumn("of", F.lit(None).cast(out.schema["of"].dataType))
+    columns = ["record_id", "url_key", "ts", "headers", "digest", "of"]
+    out = out.select(*columns).unionByName(lost.select(*columns))
     mine, theirs = F.col("headers"), F.col("of")["headers"]
     weak = lambda c: F.regexp_replace(c, r"^W/", "")
     verdict = F.when(F.col("of").isNull(), "no-response")
