@@ -7,8 +7,20 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.matching import delta
 
-#: Reasons in the order in which they are told.
-REASONS = ("tool_unavailable", "tool_version_differs", "source_not_enabled", "file_not_reviewed", "source_failed", "identity_undetermined", "duplicate_fingerprint")
+# Reasons for which an entry cannot be told, in the order in which they are told; for which it is not confirmed.
+REASONS = (
+    "identity_undetermined",
+    "duplicate_fingerprint",
+    "source_not_comparable",
+    "tool_version_mismatch",
+    "template_not_reviewed",
+    "non_deterministic_source",
+    "possible_logical_id_rename",
+    "report_integrity_failed",
+    "template_report_mismatch",
+)
+UNDECLARED = "input_declaration_absent"
+AGENT = "Agent Review"
 
 
 def fingerprint(columns: list[str]) -> Column:
@@ -25,32 +37,60 @@ def comparable(tools: DataFrame) -> DataFrame:
     both = tools.groupBy("source").agg(*[c for n in ("available", "version", "enabled", "failed") for c in pick(n)])
     side = lambda name, default: (F.coalesce(f"{name}_base", F.lit(default)), F.coalesce(f"{name}_head", F.lit(default)))
     available, enabled, failed = side("available", False), side("enabled", False), side("failed", False)
-    checks = [
-        ("tool_unavailable", ~(available[0] & available[1])),
-        ("tool_version_differs", ~F.col("version_base").eqNullSafe(F.col("version_head"))),
-        ("source_not_enabled", ~(enabled[0] & enabled[1])),
-        ("source_failed", failed[0] | failed[1]),
-    ]
-    return both.select("source", F.array_compact(F.array(*[F.when(c, n) for n, c in checks])).alias("reasons"))
+    differs = available[0] & available[1] & ~F.col("version_base").eqNullSafe(F.col("version_head"))
+    bad = ~(available[0] & available[1]) | ~(enabled[0] & enabled[1]) | failed[0] | failed[1] | differs
+    return both.select("source", F.array_compact(F.array(F.when(bad, "source_not_comparable"), F.when(differs, "tool_version_mismatch"))).alias("reasons"))
 
 
-def entries(base: DataFrame, head: DataFrame, tools: DataFrame, declared: Column | None = None) -> DataFrame:
+def entries(base: DataFrame, head: DataFrame, tools: DataFrame, declared: Column | None = None, files: DataFrame | None = None, renamed: DataFrame | None = None, sound: bool = True, matching: bool = True) -> DataFrame:
     """Each finding of two reports once, as its pair or alone: observation, classification and reasons.
 
-    Findings: template_id, resource, category, source, finding. Any reason makes an entry Ambiguous; else one that is not
-    declared comparable is Unconfirmed; else New, Resolved or Unchanged. Nulls in the key are equal; a finding without a
-    resource, or of category Other, is only matched by its fingerprint.
+    Findings: template_id, resource, category, source, finding. Any reason makes an entry alone Ambiguous; else one that is
+    not declared comparable is Unconfirmed; else it is New or Resolved; pairs are Unchanged. Nulls in the key are equal; a
+    finding without a resource, or of category Other, is only matched by its fingerprint. files: (side, template_id) that
+    each report reviewed, all if not given; renamed: (template_id, resource) that may have another name on the other side;
+    sound: whether both reports agree with themselves; matching: whether they belong to their templates.
     """
     key = ["template_id", "resource", "category", "source"]
     known = lambda df: df.select(*key, "finding").withColumn("fp", fingerprint([*key, "finding"]))
     rows = delta(known(base), known(head), key, "fp", F.col("resource").isNotNull() & (F.col("category") != "Other"))
     rows = rows.join(comparable(tools), "source", "left")
-    own = F.array_compact(F.array(F.when(F.col("stage") == "undetermined", "identity_undetermined"), F.when(F.col("stage") == "duplicate", "duplicate_fingerprint"), F.when(F.col("reasons").isNull(), "source_not_enabled")))
-    all_ = F.concat(F.coalesce("reasons", F.array().cast("array<string>")), own)
+    none = F.lit(False)
+    if files is not None:
+        both = files.groupBy("template_id").agg((F.count_distinct("side") == 2).alias("_reviewed"))
+        rows = rows.join(both, "template_id", "left")
+        unseen = ~F.coalesce("_reviewed", none)
+    else:
+        unseen = none
+    if renamed is not None:
+        rows = rows.join(renamed.select("template_id", "resource", F.lit(True).alias("_renamed")).distinct(), ["template_id", "resource"], "left")
+        named = F.coalesce("_renamed", none)
+    else:
+        named = none
+    own = {
+        "identity_undetermined": F.col("stage") == "undetermined",
+        "duplicate_fingerprint": F.col("stage") == "duplicate",
+        "source_not_comparable": F.col("reasons").isNull() | unseen,
+        "template_not_reviewed": unseen,
+        "non_deterministic_source": F.col("source") == AGENT,
+        "possible_logical_id_rename": named,
+        "report_integrity_failed": F.lit(not sound),
+        "template_report_mismatch": F.lit(not matching),
+    }
+    held = F.concat(F.coalesce("reasons", F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(v, k) for k, v in own.items()])))
     ordered = F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(F.col("why"), r))
     alone = ~F.col("stage").isin("identity", "fingerprint")
     observation = F.when(~alone, "matched").when(F.col("stage") == "only", F.concat("side", F.lit("_only"))).otherwise("unmatched")
-    rows = rows.withColumn("why", all_).withColumns({"observation": observation, "reasons": ordered}).where(alone | (F.col("side") == "head"))
     sure = F.lit(True) if declared is None else declared
-    found = F.when(F.col("observation") == "matched", "Unchanged").when(F.size("reasons") > 0, "Ambiguous").when(~sure, "Unconfirmed").when(F.col("side") == "head", "New").otherwise("Resolved")
-    return rows.select(*key, "finding", "observation", found.alias("classification"), "reasons")
+    rows = rows.withColumn("why", held).withColumn("why", ordered).withColumn("observation", observation).where(alone | (F.col("side") == "head"))
+    found = F.when(~alone, "Unchanged").when(F.size("why") > 0, "Ambiguous").when(~sure, "Unconfirmed").when(F.col("side") == "head", "New").otherwise("Resolved")
+    reasons = F.when(~alone, F.array().cast("array<string>")).when((F.size("why") == 0) & ~sure, F.array(F.lit(UNDECLARED))).otherwise(F.col("why"))
+    return rows.select(*key, "finding", "observation", found.alias("classification"), reasons.alias("reasons"))
+
+
+def counters(found: DataFrame) -> DataFrame:
+    """(observation, classification, n) of entries, zeros told."""
+    told = found.groupBy("observation", "classification").agg(F.count("*").alias("n"))
+    spark = found.sparkSession
+    every = spark.createDataFrame([("matched", "Unchanged")] + [(o, c) for o in ("base_only", "head_only", "unmatched") for c in ("Ambiguous", "Unconfirmed", "New", "Resolved")], "observation string, classification string")
+    return every.join(told, ["observation", "classification"], "left").select("observation", "classification", F.coalesce("n", F.lit(0)).alias("n"))

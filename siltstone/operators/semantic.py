@@ -14,7 +14,7 @@ ATTRIBUTES = ("Properties", "DependsOn", "Condition", "DeletionPolicy", "UpdateR
 INDIRECT_SECTIONS = ("Parameters", "Mappings", "Conditions")
 EXTERNAL = ("Fn::ImportValue", "Fn::GetAZs")
 DYNAMIC = "{{resolve:"
-QUALIFIERS = ("expression", "conditional", "dynamic_reference", "external", "pre_transform")
+QUALIFIERS = ("expression_unevaluated", "conditional", "dynamic_reference_unresolved", "external_value", "pre_transform")
 #: Changes of a template from which its comparison counts as failed.
 MOST = 200_000
 
@@ -41,7 +41,7 @@ def compared(base: DataFrame, head: DataFrame) -> DataFrame:
 def uncompared(base: DataFrame, head: DataFrame) -> DataFrame:
     """(template_id, path, reason): the topmost nodes of either version under a repeated key, or with a time stamp."""
     odd = base.unionByName(head).where("dup_key or vtype = 'timestamp'")
-    odd = odd.groupBy("template_id", "path").agg(F.when(F.bool_or("dup_key"), "duplicate_key").otherwise("timestamp").alias("reason"))
+    odd = odd.groupBy("template_id", "path").agg(F.when(F.bool_or("dup_key"), "duplicate_key").otherwise("yaml_timestamp").alias("reason"))
     below = odd.select("template_id", "path", F.explode(_above(F.col("path"), 1)).alias("up")).join(odd.select("template_id", F.col("path").alias("up")), ["template_id", "up"], "left_semi")
     return odd.join(below.select("template_id", "path").distinct(), ["template_id", "path"], "left_anti")
 
@@ -103,10 +103,10 @@ def changes(base: DataFrame, head: DataFrame, most: int = MOST) -> DataFrame:
     out = units.join(inside, ["template_id", "path"], "left").withColumn("owner", F.slice("path", 1, 2)).join(conditional, ["template_id", "owner"], "left").join(transforms, "template_id", "left")
     entry = _key(0).isin(*ENTRY_SECTIONS)
     flags = {
-        "expression": F.col("expression") | entry & F.exists(around, lambda k: (k == "Ref") | k.startswith("Fn::")),
+        "expression_unevaluated": F.col("expression") | entry & F.exists(around, lambda k: (k == "Ref") | k.startswith("Fn::")),
         "conditional": F.col("gated") | entry & F.array_contains(around, "Fn::If"),
-        "dynamic_reference": F.col("dynamic_reference"),
-        "external": F.col("external") | entry & F.exists(around, lambda k: k.isin(*EXTERNAL)),
+        "dynamic_reference_unresolved": F.col("dynamic_reference"),
+        "external_value": F.col("external") | entry & F.exists(around, lambda k: k.isin(*EXTERNAL)),
         "pre_transform": F.col("pre_transform"),
     }
     qualifiers = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(flags[q], F.lit(False)), q) for q in QUALIFIERS])), ",")
@@ -129,3 +129,35 @@ def summary(found: DataFrame, limits: DataFrame, templates: DataFrame) -> DataFr
     out = templates.select("template_id").distinct().join(counts, "template_id", "left").join(held, "template_id", "left")
     every = F.concat(F.coalesce("held", F.array().cast("array<string>")), F.when(F.col("indirect"), F.array(F.lit("indirect_effects_not_evaluated"))).otherwise(F.array().cast("array<string>")))
     return out.select("template_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", *(f"n_{k}" for k in kinds))], F.array_join(F.array_sort(every), ",").alias("limitations"))
+
+
+def boundary(found: DataFrame, base: DataFrame, head: DataFrame, limits: DataFrame, odd: DataFrame, contracts: DataFrame, edits: DataFrame) -> DataFrame:
+    """(template_id, code, path): where changes leave what a contract allows.
+
+    found, limits and odd are changes(), limitations() and uncompared() of base and head; contracts: template_id, resource,
+    type; edits: template_id, property, operations (an array of add, remove, replace).
+    """
+    target = F.col("resource")
+    rows = found.join(contracts, "template_id")
+    steps = F.size("path")
+    inside = (F.col("section") == "Resources") & (steps >= 2) & (_key(1) == target)
+    both = base.select("template_id", "path", F.lit("b").alias("side")).unionByName(head.select("template_id", "path", F.lit("h").alias("side")))
+    held = both.where((F.size("path") == 4) & (_key(0) == "Resources") & (_key(2) == "Properties")).groupBy("template_id", F.col("path").alias("at")).agg(F.collect_set("side").alias("sides"))
+    gated = both.where((F.size("path") > 4) & (F.try_element_at("path", F.lit(-1)) == "Fn::If")).select("template_id", F.slice("path", 1, 4).alias("at"), F.lit(True).alias("gated")).distinct()
+    rows = rows.withColumns({"at": F.slice("path", 1, 4), "property": F.when((steps >= 4) & (_key(2) == "Properties"), _key(3))})
+    rows = rows.join(edits, ["template_id", "property"], "left").join(held, ["template_id", "at"], "left").join(gated, ["template_id", "at"], "left")
+    operation = F.when(F.size("sides") == 2, "replace").when(F.array_contains("sides", "h"), "add").otherwise("remove")
+    unsupported = F.exists(F.split("qualifiers", ","), lambda q: q.isin("conditional", "dynamic_reference_unresolved", "external_value", "pre_transform")) | F.coalesce("gated", F.lit(False))
+    whole = (F.col("section") == "Resources") & (steps == 2)
+    code = (
+        F.when(whole & F.col("type_changed"), "resource_type_changed").when(whole & (F.col("change") == "added"), "resource_added").when(whole & (F.col("change") == "removed"), "resource_removed")
+        .when(whole & inside, "parent_replaced").when(whole | ~inside, "template_change_outside_scope").when((steps == 3) & (_key(2) == "Properties"), "parent_replaced")
+        .when(F.col("operations").isNull(), "template_change_outside_scope").when(~F.array_contains("operations", operation), "operation_not_allowed").when(unsupported, "unsupported_construct")
+    )
+    at = F.when(code.isin("operation_not_allowed", "unsupported_construct"), F.col("at")).otherwise(F.col("path"))
+    out = rows.select("template_id", code.alias("code"), F.array_join(at, "/").alias("path")).where("code is not null")
+    out = out.unionByName(odd.join(contracts, "template_id").select("template_id", F.lit("comparison_incomplete").alias("code"), F.array_join("path", "/").alias("path")))
+    out = out.unionByName(limits.where("limitation = 'transform_not_expanded'").join(contracts, "template_id").select("template_id", F.lit("unsupported_construct").alias("code"), F.lit("").alias("path")))
+    there = base.where((F.size("path") == 3) & (_key(0) == "Resources") & (_key(2) == "Type")).select("template_id", _key(1).alias("resource"), F.col("sval").alias("type"))
+    gone = contracts.join(there, ["template_id", "resource", "type"], "left_anti")
+    return out.unionByName(gone.select("template_id", F.lit("target_resource_missing").alias("code"), F.concat(F.lit("Resources/"), target).alias("path"))).distinct()

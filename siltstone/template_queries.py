@@ -294,9 +294,9 @@ _VERSIONS = f"""b AS ({_SIDE.format(path=_PATH, rows=made.sql('base'))}), h AS (
  near AS (SELECT k.template_id, k.path, bool_or(len(o.path) > 2 AND (o.path[-1] = 'Ref' OR starts_with(o.path[-1], 'Fn::'))) AS expression, bool_or(contains(coalesce(o.bv, ''), '{{{{resolve:') OR contains(coalesce(o.hv, ''), '{{{{resolve:')) AS dyn,
    bool_or(len(o.path) > 2 AND (o.path[-1] IN ('Fn::GetAZs', 'Fn::ImportValue') OR o.path[-1] = 'Ref' AND (starts_with(coalesce(o.bv, ''), '"AWS::') OR starts_with(coalesce(o.hv, ''), '"AWS::')))) AS ext
    FROM k JOIN o ON o.template_id = k.template_id AND o.path[1:len(k.path)] = k.path GROUP BY ALL),
- c AS (SELECT k.*, array_to_string(list_filter([CASE WHEN n.expression OR {_ENTRY} AND len(list_filter(k.path[3:], lambda x: x = 'Ref' OR starts_with(x, 'Fn::'))) > 0 THEN 'expression' END,
+ c AS (SELECT k.*, array_to_string(list_filter([CASE WHEN n.expression OR {_ENTRY} AND len(list_filter(k.path[3:], lambda x: x = 'Ref' OR starts_with(x, 'Fn::'))) > 0 THEN 'expression_unevaluated' END,
    CASE WHEN {_ENTRY} AND list_contains(k.path[3:], 'Fn::If') OR EXISTS (FROM o x WHERE x.template_id = k.template_id AND x.path[1:2] = k.path[1:2] AND len(x.path) = 3 AND x.path[3] = 'Condition' AND x.path[1] IN ('Resources', 'Outputs')) THEN 'conditional' END,
-   CASE WHEN n.dyn THEN 'dynamic_reference' END, CASE WHEN n.ext OR {_ENTRY} AND len(list_filter(k.path[3:], lambda x: x IN ('Fn::GetAZs', 'Fn::ImportValue'))) > 0 THEN 'external' END,
+   CASE WHEN n.dyn THEN 'dynamic_reference_unresolved' END, CASE WHEN n.ext OR {_ENTRY} AND len(list_filter(k.path[3:], lambda x: x IN ('Fn::GetAZs', 'Fn::ImportValue'))) > 0 THEN 'external_value' END,
    CASE WHEN k.template_id IN (FROM pre) THEN 'pre_transform' END], lambda x: x IS NOT NULL), ',') AS qualifiers FROM k LEFT JOIN near n USING (template_id, path)),
  ends AS (SELECT k.template_id, k.path, k.change, coalesce(o.bv, o.hv) AS rtype FROM k JOIN o ON o.template_id = k.template_id AND o.path = list_append(k.path, 'Type') WHERE len(k.path) = 2 AND k.path[1] = 'Resources' AND change <> 'modified')"""
 
@@ -383,3 +383,26 @@ _DUE = ", ".join(f"('{r}', 'AWS::{t}')" for r, t, *_ in _RULES)
 def facts_rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many property rules were tested, failed or had nothing to test, by template."""
     return facts.rule_statistics(_relations(spark, sf_dir, "parts"))
+
+
+#: What a contract lets change: the resource A, a queue, its property X by replacing, Y by adding.
+_SCOPE = """c.path[1] = 'Resources' AND c.path[2] = 'A'"""
+
+
+@sql(
+    f"""WITH {_VERSIONS}, w AS (SELECT c.*, {_SCOPE} AS inside, c.path[1] = 'Resources' AND len(c.path) = 2 AS whole, c.path[4] AS prop, c.path[1:4] AS spot FROM c),
+     x AS (SELECT w.*, o.bt IS NOT NULL AND o.ht IS NOT NULL AS kept, o.ht IS NOT NULL AS there, EXISTS (FROM o i WHERE i.template_id = w.template_id AND len(i.path) > 4 AND i.path[1:4] = w.spot AND i.path[-1] = 'Fn::If') AS gated FROM w LEFT JOIN o ON o.template_id = w.template_id AND o.path = w.spot),
+     y AS (SELECT *, CASE WHEN whole AND type_changed THEN 'resource_type_changed' WHEN whole AND change = 'added' THEN 'resource_added' WHEN whole AND change = 'removed' THEN 'resource_removed' WHEN whole AND inside THEN 'parent_replaced' WHEN whole OR NOT inside THEN 'template_change_outside_scope'
+       WHEN len(path) = 3 AND path[3] = 'Properties' THEN 'parent_replaced' WHEN len(path) < 4 OR path[3] <> 'Properties' OR prop NOT IN ('X', 'Y') THEN 'template_change_outside_scope'
+       WHEN NOT CASE prop WHEN 'X' THEN kept ELSE there AND NOT kept END THEN 'operation_not_allowed' WHEN gated OR regexp_matches(qualifiers, 'conditional|dynamic_reference_unresolved|external_value|pre_transform') THEN 'unsupported_construct' END AS code FROM x)
+    SELECT DISTINCT template_id, code, array_to_string(CASE WHEN code IN ('operation_not_allowed', 'unsupported_construct') THEN spot ELSE path END, '/') AS path FROM y WHERE code IS NOT NULL
+    UNION SELECT template_id, 'unsupported_construct', '' FROM pre
+    UNION SELECT DISTINCT template_id, 'target_resource_missing', 'Resources/A' FROM b WHERE NOT EXISTS (FROM b x WHERE x.template_id = b.template_id AND x.path = ['Resources', 'A', 'Type'] AND x.v = '"AWS::SQS::Queue"')"""
+)
+def review_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where changes leave what a contract allows."""
+    base, head = _versions(spark, sf_dir)
+    templates = made.templates(spark, sf_dir, "base").select("template_id")
+    contracts = templates.select("template_id", F.lit("A").alias("resource"), F.lit("AWS::SQS::Queue").alias("type"))
+    edits = templates.select("template_id", F.explode(F.array(F.struct(F.lit("X").alias("property"), F.array(F.lit("replace")).alias("operations")), F.struct(F.lit("Y").alias("property"), F.array(F.lit("add")).alias("operations")))).alias("e")).select("template_id", "e.*")
+    return semantic.boundary(settled(semantic.changes(base, head)), base, head, semantic.limitations(base, head), semantic.uncompared(base, head), contracts, edits)

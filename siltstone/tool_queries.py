@@ -139,7 +139,7 @@ _TOOLS = [
     ("base", "R", True, "1", True, False), ("head", "R", True, "1", True, False), ("base", "A", True, "1", True, False), ("head", "A", True, "2", True, False),
     ("base", "N", True, "1", True, False),
 ]
-_WHY = [("R", ""), ("A", "tool_version_differs"), ("N", "tool_unavailable,tool_version_differs,source_not_enabled")]
+_WHY = [("R", 0, 0), ("A", 1, 1), ("N", 1, 0)]
 _FINDINGS = """SELECT l_orderkey AS template_id, CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey % 3 END AS resource, CASE WHEN l_partkey % 4 = 0 THEN 'Other' ELSE 'IAM' END AS category, l_returnflag AS source,
   CAST(l_quantity AS BIGINT) % 3 AS finding, CASE WHEN l_linenumber % 2 = 0 THEN 'head' ELSE 'base' END AS side FROM lineitem"""
 
@@ -150,9 +150,10 @@ _FINDINGS = """SELECT l_orderkey AS template_id, CASE WHEN l_suppkey % 3 <> 0 TH
     d AS (SELECT *, CASE WHEN elig AND b = 1 AND h = 1 THEN 'identity' WHEN pb = 1 AND ph = 1 THEN 'fingerprint' END AS st FROM g),
     e AS (SELECT *, bool_or(side = 'base' AND st IS NULL) OVER w AS lb, bool_or(side = 'head' AND st IS NULL) OVER w AS lh FROM d WINDOW w AS (PARTITION BY template_id, resource, category, source)),
     f AS (SELECT *, coalesce(st, CASE WHEN lb AND lh THEN 'undetermined' WHEN CASE side WHEN 'base' THEN pb ELSE ph END > 1 THEN 'duplicate' ELSE 'only' END) AS stage FROM e),
-    y AS (SELECT f.*, concat_ws(',', nullif(why, ''), CASE stage WHEN 'undetermined' THEN 'identity_undetermined' WHEN 'duplicate' THEN 'duplicate_fingerprint' END) AS reasons FROM f JOIN ({_rows(_WHY)}) t(source, why) USING (source) WHERE st IS NULL OR side = 'head')
+    y AS (SELECT f.*, template_id % 5 = 0 AS unseen, concat_ws(',', CASE stage WHEN 'undetermined' THEN 'identity_undetermined' WHEN 'duplicate' THEN 'duplicate_fingerprint' END, CASE WHEN bad = 1 OR template_id % 5 = 0 THEN 'source_not_comparable' END, CASE WHEN differs = 1 THEN 'tool_version_mismatch' END,
+      CASE WHEN template_id % 5 = 0 THEN 'template_not_reviewed' END, CASE WHEN template_id % 7 = 0 AND resource = 2 THEN 'possible_logical_id_rename' END) AS why FROM f JOIN ({_rows(_WHY)}) t(source, bad, differs) USING (source) WHERE st IS NULL OR side = 'head')
     SELECT template_id, resource, category, source, finding, CASE WHEN st IS NOT NULL THEN 'matched' WHEN stage = 'only' THEN side || '_only' ELSE 'unmatched' END AS observation,
-      CASE WHEN st IS NOT NULL THEN 'Unchanged' WHEN reasons <> '' THEN 'Ambiguous' WHEN side = 'head' THEN 'New' ELSE 'Resolved' END AS classification, reasons FROM y"""
+      CASE WHEN st IS NOT NULL THEN 'Unchanged' WHEN why <> '' THEN 'Ambiguous' WHEN side = 'head' THEN 'New' ELSE 'Resolved' END AS classification, CASE WHEN st IS NOT NULL THEN '' ELSE why END AS reasons FROM y"""
 )
 def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of two reports: what is new, resolved, unchanged or cannot be told, and why."""
@@ -161,5 +162,8 @@ def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity").cast("bigint") % 3).alias("finding"), "l_linenumber",
     )
     tools = spark.createDataFrame(_TOOLS, "side string, source string, available boolean, version string, enabled boolean, failed boolean")
-    found = delta.entries(lines.where("l_linenumber % 2 = 1").drop("l_linenumber"), lines.where("l_linenumber % 2 = 0").drop("l_linenumber"), tools)
+    orders = lines.select("template_id").distinct()
+    files = orders.select(F.lit("base").alias("side"), "template_id").unionByName(orders.where("template_id % 5 != 0").select(F.lit("head").alias("side"), "template_id"))
+    renamed = orders.where("template_id % 7 = 0").select("template_id", F.lit(2).cast("bigint").alias("resource"))
+    found = delta.entries(lines.where("l_linenumber % 2 = 1").drop("l_linenumber"), lines.where("l_linenumber % 2 = 0").drop("l_linenumber"), tools, files=files, renamed=renamed)
     return found.withColumn("reasons", F.array_join("reasons", ","))
