@@ -64,3 +64,40 @@ def metrics(matched: DataFrame, keys: list[str], same: Column) -> DataFrame:
 def percent(part: Column, whole: Column) -> Column:
     """part of whole in percent with one decimal, halves to even, or "N/A"."""
     return F.when(whole == 0, "N/A").otherwise(F.format_string("%.1f", F.bround(part / whole * F.lit(100.0), 1)))
+
+
+# Exit codes of a run in which an expectation was missed, and of one in which a case could not be measured.
+MISSED, UNMEASURED = 9, 10
+_KEY = ["case_id", "resource", "type", "category"]
+
+
+def of_source(findings: DataFrame, source: str) -> DataFrame:
+    """The findings that a source had a part in; findings have an array of sources."""
+    return findings.where(F.array_contains("sources", source))
+
+
+def verdicts(expected: DataFrame, actual: DataFrame, by: list[str]) -> DataFrame:
+    """(by, expected, matched, deterministic, detected, status) of pooled cases, by case_id, by category, or both.
+
+    expected: case_id, resource, type, category, deterministic; actual: case_id, resource, type, category. Cases stay apart.
+    Those that must be detected are matched again alone, so that no other expectation takes their finding: PASS if all are
+    detected, FAIL if one is missed, INFO where there are none.
+    """
+    def matched(rows: DataFrame, name: str) -> DataFrame:
+        both = one_to_one(rows.withColumn("_e", F.monotonically_increasing_id()), actual.select(*_KEY).withColumn("_a", F.monotonically_increasing_id()), _KEY, ["_e"], ["_a"])
+        return both.groupBy(*by).agg(F.count("_e").alias(name), F.count_if("matched").alias(f"{name}_met"))
+
+    every, sure = matched(expected.select(*_KEY), "expected"), matched(expected.where("deterministic").select(*_KEY), "sure")
+    on = [every[k].eqNullSafe(sure[k]) for k in by]
+    both = every.join(sure, on, "left").select(*[every[k] for k in by], "expected", F.col("expected_met").alias("matched"), F.coalesce("sure", F.lit(0)).alias("deterministic"), F.coalesce("sure_met", F.lit(0)).alias("detected"))
+    return both.withColumn("status", F.when(F.col("deterministic") == 0, "INFO").when(F.col("deterministic") == F.col("detected"), "PASS").otherwise("FAIL"))
+
+
+def exit_code(found: DataFrame, errors: int = 0) -> int:
+    """MISSED if a verdict is FAIL, else UNMEASURED if a case could not be measured, else 0."""
+    return MISSED if found.where("status = 'FAIL'").take(1) else UNMEASURED if errors else 0
+
+
+def remedied(pairs: DataFrame) -> DataFrame:
+    """pairs (wanted, suggested) with remedied: whether the suggestion holds what is wanted, without regard to case; null wanted counts for nothing."""
+    return pairs.withColumn("remedied", F.when(F.col("wanted").isNotNull(), F.coalesce(F.contains(F.lower(F.trim("suggested")), F.lower(F.trim("wanted"))), F.lit(False))))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import delta
+from siltstone.operators import delta, matching
 from siltstone.sources import tool_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,42 @@ def report_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     renamed = orders.where("template_id % 7 = 0").select("template_id", F.lit(2).cast("bigint").alias("resource"))
     found = delta.entries(lines.where("l_linenumber % 2 = 1").drop("l_linenumber"), lines.where("l_linenumber % 2 = 0").drop("l_linenumber"), tools, files=files, renamed=renamed)
     return found.withColumn("reasons", F.array_join("reasons", ","))
+
+
+_CASES = """SELECT l_orderkey % 20 AS case_id, CASE WHEN l_suppkey % 5 <> 0 THEN l_suppkey % 5 END AS resource, l_returnflag AS type, l_partkey % 6 AS category, l_quantity > 45 AS deterministic, l_linenumber % 3 = 0 AS wanted FROM lineitem"""
+
+
+def _verdict_sql(by: str) -> str:
+    return f"""WITH r AS ({_CASES}), k AS (SELECT case_id, resource, type, category, count(*) FILTER (wanted) AS e, count(*) FILTER (wanted AND deterministic) AS d, count(*) FILTER (NOT wanted) AS a FROM r GROUP BY ALL),
+      s AS (SELECT {by}, sum(e)::BIGINT AS expected, sum(least(e, a))::BIGINT AS matched, sum(d)::BIGINT AS deterministic, sum(least(d, a))::BIGINT AS detected FROM k GROUP BY ALL)
+      SELECT *, CASE WHEN deterministic = 0 THEN 'INFO' WHEN deterministic = detected THEN 'PASS' ELSE 'FAIL' END AS status FROM s"""
+
+
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    c = F.col
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        (c("l_orderkey") % 20).alias("case_id"), F.when(c("l_suppkey") % 5 != 0, c("l_suppkey") % 5).alias("resource"), c("l_returnflag").alias("type"), (c("l_partkey") % 6).alias("category"), (c("l_quantity") > 45).alias("deterministic"),
+        (c("l_linenumber") % 3 == 0).alias("wanted"),
+    )
+    return rows.where("wanted").drop("wanted"), rows.where("not wanted").drop("wanted", "deterministic")
+
+
+@sql(_verdict_sql("case_id"))
+def case_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of each case over its expectations."""
+    return matching.verdicts(*_cases(spark, sf_dir), ["case_id"])
+
+
+@sql(_verdict_sql("category"))
+def category_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of each category over the pooled cases."""
+    return matching.verdicts(*_cases(spark, sf_dir), ["category"])
+
+
+@sql("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN coalesce(c_custkey % 4 <> 0 AND c_custkey % 5 <> 0, false) END AS remedied FROM customer")
+def remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether suggestions hold the remedies that are wanted."""
+    k = F.col("k")
+    suggested = F.when(k % 4 != 0, F.when(k % 5 == 0, F.lit("something else")).otherwise(F.concat(F.lit("  Please ADD "), k.cast("string"), F.lit(" now "))))
+    pairs = _keys(spark, sf_dir).select("k", F.when(k % 3 != 0, F.concat(F.lit(" add "), k.cast("string"))).alias("wanted"), suggested.alias("suggested"))
+    return matching.remedied(pairs).select("k", "remedied")
