@@ -33,9 +33,52 @@ def reach(links: DataFrame, rounds: int = 64) -> DataFrame:
     return known
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst) that are left when nodes without an edge in or out go, again and again."""
+    n = edges.count()
+    while n:
+        begun, ended = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = settled(edges.join(ended, "src", "left_semi").join(begun, "dst", "left_semi").select("src", "dst"))
+        m = edges.count()
+        if m == n:
+            break
+        n = m
+    return edges
+
+
 def cycle_nodes(links: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return reach(links).where("src = dst").select(F.col("src").alias("node"))
+    """Nodes that reach themselves.
+
+    No pairs are made: nodes pass on the largest name that reaches them; those from which the owner of their name can be
+    reached by nodes of that name are one strong component, and go with it; what is left starts again. A round is a join
+    of the edges; there are as many as the longest way that a name or its owner's search takes.
+    """
+    edges = settled(links.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = edges.where("src = dst").select(F.col("src").alias("node"))
+    edges = settled(edges.where("src != dst"))
+    while (edges := _trimmed(edges)).take(1):
+        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+        named = settled(nodes.select("node", F.col("node").alias("name")))
+        while True:
+            met = edges.join(named, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("name").alias("other"))
+            both = named.join(met, F.col("node") == F.col("dst"), "left")
+            step = settled(both.select("node", F.coalesce(F.greatest("name", "other"), "name").alias("name"), F.coalesce(F.col("other") > F.col("name"), F.lit(False)).alias("moved")))
+            named = step.select("node", "name")
+            if not step.where("moved").take(1):
+                break
+        ends = named.select(F.col("node").alias("dst"), F.col("name").alias("to"))
+        inside = settled(edges.join(named.select(F.col("node").alias("src"), "name"), "src").join(ends, "dst").where("name = to").select("src", "dst", "name"))
+        held = settled(named.where("node = name").select("node", "name"))
+        new = held
+        while new.take(1):
+            before = inside.join(new.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"), "name").distinct()
+            new = settled(before.join(held.select("node"), "node", "left_anti"))
+            held = settled(held.unionByName(new))
+        several = held.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+        found = settled(found.unionByName(held.join(several, "name", "left_semi").select("node")))
+        gone = held.select("node")
+        edges = settled(edges.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+    return found.distinct()
 
 
 def first_cycles(links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -59,3 +59,17 @@ def test_text(spark):
     assert tx.token_table(names.limit(0), "n").count() == 0
     bits = tx.entropy(spark.createDataFrame([(1, "aaaa"), (2, "abcd")], "k int, v string"), "k", "v")
     assert {r.k: r.entropy for r in bits.collect()} == {1: 0.0, 2: 2.0}
+
+
+def test_cycle_nodes_against_reachability(spark):
+    import random
+
+    rng = random.Random(3)
+    for n, m in ((12, 14), (20, 24), (9, 30)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | {(100 + i, 101 + i) for i in range(6)}
+        reached = set(edges)
+        while new := {(a, d) for a, b in reached for c, d in edges if b == c} - reached:
+            reached |= new
+        got = sorted(r.node for r in graphs.cycle_nodes(spark.createDataFrame(sorted(edges), "src long, dst long")).collect())
+        assert got == sorted(a for a, b in reached if a == b)
+    assert graphs.cycle_nodes(spark.createDataFrame([], "src long, dst long")).count() == 0
