@@ -199,10 +199,10 @@ def category_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.verdicts(*_cases(spark, sf_dir), ["category"])
 
 
-@sql("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN coalesce(c_custkey % 4 <> 0 AND c_custkey % 5 <> 0, false) END AS remedied FROM customer")
+@sql("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'N/A' WHEN c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 THEN 'true' ELSE 'false' END AS remedied FROM customer")
 def remedies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether suggestions hold the remedies that are wanted."""
     k = F.col("k")
     suggested = F.when(k % 4 != 0, F.when(k % 5 == 0, F.lit("something else")).otherwise(F.concat(F.lit("  Please ADD "), k.cast("string"), F.lit(" now "))))
     pairs = _keys(spark, sf_dir).select("k", F.when(k % 3 != 0, F.concat(F.lit(" add "), k.cast("string"))).alias("wanted"), suggested.alias("suggested"))
-    return matching.remedied(pairs).select("k", "remedied")
+    return matching.remedied(pairs).select("k", F.coalesce(F.col("remedied").cast("string"), F.lit("N/A")).alias("remedied"))
