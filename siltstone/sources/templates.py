@@ -20,6 +20,8 @@ except ModuleNotFoundError:  # YAML documents then come out as error rows
 
 #: Limits of one document; beyond them it is refused with a reason.
 MAX_BYTES, MAX_DEPTH, MAX_NODES, MAX_ALIASES = 5 << 20, 64, 3_000_000, 10_000
+#: Nodes after which a task passes its rows on, whole documents at a time.
+PASSED = 50_000
 NODES = "template_id string, path array<string>, shape string, ord bigint, vtype string, sval string, dup_key boolean, error string"
 
 # Short tags and their long names; those not listed take "Fn::" before the tag.
@@ -61,7 +63,7 @@ def _from_yaml(text: str):  # noqa: ANN202
     if yaml is None:
         raise Refused("no YAML parser")
     try:
-        root = yaml.compose(text, Loader=yaml.SafeLoader)
+        root = yaml.compose(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except (yaml.YAMLError, RecursionError) as error:
         mark = getattr(error, "problem_mark", None)
         at = f" at line {mark.line + 1}, column {mark.column + 1}" if mark else ""
@@ -175,8 +177,13 @@ def nodes(templates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for template_id, text in zip(batch["template_id"], batch["text"], strict=True):
-                yield pd.DataFrame(nodes_of(template_id, text or ""), columns=names)
+                rows += nodes_of(template_id, text or "")
+                if len(rows) >= PASSED:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     return templates.select(F.col("template_id").cast("string"), F.col("text").cast("string")).mapInPandas(run, NODES)
 
