@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,16 +90,15 @@ def first_cycles(links: DataFrame, nodes: DataFrame) -> DataFrame:
     are the edges of a node; the first edge back to a node that is still open closes the cycle. A template is one group.
     """
 
-    def run(key: tuple, own: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+    def cycle(order: list[str], ends: list[dict]) -> list[str] | None:
         after: dict[str, list[str]] = {}
-        for src, dst in ends.sort_values(["late", "ord"])[["src", "dst"]].itertuples(index=False):
-            after.setdefault(src, []).append(dst)
+        for e in ends:
+            after.setdefault(e["src"], []).append(e["dst"])
         closed: set[str] = set()
-        for start in own.sort_values("ord")["node"]:
+        for start in order:
             if start in closed:
                 continue
-            way, rest = [start], [iter(after.get(start, ()))]
-            at = {start: 0}
+            way, rest, at = [start], [iter(after.get(start, ()))], {start: 0}
             while way:
                 node = next(rest[-1], None)
                 if node is None:
@@ -106,18 +107,22 @@ def first_cycles(links: DataFrame, nodes: DataFrame) -> DataFrame:
                     del at[gone]
                     closed.add(gone)
                 elif node in at:
-                    return pd.DataFrame({"template_id": [key[0]], "cycle": [[*way[at[node] :], node]]})
+                    return [*way[at[node] :], node]
                 elif node not in closed:
                     at[node] = len(way)
                     way.append(node)
                     rest.append(iter(after.get(node, ())))
-        return pd.DataFrame({"template_id": [], "cycle": []}, dtype=object)
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [cycle(*x) for x in zip(batch.column("nodes").to_pylist(), batch.column("ends").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("template_id"), pa.array(found, pa.list_(pa.string()))], ["template_id", "cycle"])
 
-    links = links.select(*[F.col(c).alias(c) for c in ("template_id", "src", "dst", "late", "ord")])
-    nodes = nodes.select(*[F.col(c).alias(c) for c in ("template_id", "node", "ord")])
-    linked = nodes.join(links.select(F.col("template_id").alias("template_id")).distinct(), "template_id", "left_semi")
-    ends = links.select(*[F.col(c).alias(c) for c in links.columns])
-    return linked.groupBy("template_id").cogroup(ends.groupBy("template_id")).applyInPandas(run, "template_id string, cycle array<string>")
+    ends = links.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("late", "ord", "src", "dst"))).alias("ends"))
+    own = nodes.groupBy("template_id").agg(F.array_sort(F.collect_list(F.struct("ord", "node"))).alias("nodes"))
+    both = ends.join(own, "template_id").select(F.col("template_id").cast("string").alias("template_id"), F.transform("nodes", lambda x: x["node"]).alias("nodes"), "ends")
+    return both.mapInArrow(run, "template_id string, cycle array<string>").where("cycle is not null")
 
 
 def referrers(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
