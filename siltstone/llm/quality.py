@@ -32,7 +32,7 @@ LEAST = 60
 #: Groups, at most, whose numbers (under 1 kB each) are sent to every executor; more are joined by salted keys.
 SENT, SALTS = 20_000, 64
 #: Starts of an estimate, concentration steps of each, and the fall of a log determinant that is worth another step.
-STARTS, STEPS, FALL = 4, 2, 1e-4
+STARTS, STEPS, FALL = 4, 2, 1e-3
 #: Words that an average text adds to each text, so that the shares of a short one are not wild.
 PRIOR = 40.0
 #: Least standard deviation of each transformed statistic.
