@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe, chat, ctw, decontaminate, html, licenses, minhash, pii, quality, warc
+from siltstone.llm import bpe, chat, ctw, decontaminate, html, licenses, minhash, negatives, pii, pq, quality, variants, warc
 from siltstone.llm.common import settled, table
 
 #: The key of the surrogates in these queries; a deployment passes its own.
@@ -69,6 +69,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word of the documents with its form and root, some occurrences misspelt by rule."""
+    return variants.grouped(variants.vocabulary(table(spark, sf_dir, "documents"), erase_every=199))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every anchor's positives among the embeddings."""
+    return negatives.mined(*negatives.prepared(table(spark, sf_dir, "embeddings")))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding with its links and the component of near duplicates that it is in."""
+    return pq.linked(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     """All queries by name."""
     made = (
@@ -82,10 +97,19 @@ def queries() -> dict[str, Query]:
         op8_byte_bpe,
         op9_preference_formatting,
         op10_benchmark_decontamination,
+        op11_spelling_variants,
+        op12_hard_negatives,
+        op13_embedding_near_dedup,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {"op4_warc_revisits": warc.SQL, "op9_preference_formatting": chat.SQL}
+    return {
+        "op4_warc_revisits": warc.SQL,
+        "op9_preference_formatting": chat.SQL,
+        "op11_spelling_variants": variants.SQL,
+        "op12_hard_negatives": negatives.SQL,
+        "op13_embedding_near_dedup": pq.SQL,
+    }
