@@ -35,7 +35,7 @@ _SLOTS = ("\ue000", "\ue001", "\ue002")
 _JOIN = "\ue003"
 #: The type of a text's windows.
 ARRAY = "array<struct<hash:bigint,place:int,n:int,exact:boolean>>"
-_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
+_NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
 _UNIT = "\ue000[ -]?(?:(?:" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")(?![\p{L}\p{N}])|[%°€$£])"
 _NAME = r"(?<=[\p{L}\p{N},;:)\"] )\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 
@@ -177,8 +177,8 @@ def judged(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     """
     best = F.min(F.struct((-F.col("coverage")).alias("order"), "item"))
     found = leaks(docs, benchmark, id_col, text_col, item_col).groupBy("key").agg(F.countDistinct("item").alias("n_items"), best.alias("best"))
-    rows = docs.select(docs[id_col], _key(docs, id_col, text_col).alias("key")).join(found, "key", "left")
-    return rows.select(id_col, F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best")["item"].alias("item_id"), (-F.col("best")["order"]).alias("coverage"))
+    rows = docs.select(docs[id_col].alias("id"), _key(docs, id_col, text_col).alias("key")).join(found, "key", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n_items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best")["item"].alias("item_id"), (-F.col("best")["order"]).alias("coverage"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

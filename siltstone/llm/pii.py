@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates, in DataFrame functions alone.
 
 An entity's surrogate comes from a keyed hash of what it is and what it says: the same entity gets the same surrogate
-everywhere, of the same kind, format, script and gender. Entities whose surrogates collide with another's, or with a real
+everywhere, of the same kind, format, script and gender. Whether a name is a given one, and of which gender, is settled for each
+text over all its mentions, so that one person keeps one name. Entities whose surrogates collide with another's, or with a real
 entity, and only those, take the next draw of their hash until all differ. A name that a text has after a title is replaced
 wherever else it stands in that text as well.
 """
@@ -61,7 +62,7 @@ _LETTERS = {
 _NAME_WORD = r"[\p{Lu}\p{Lt}\p{Lo}][\p{L}\p{M}]*+(?:['’-](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+"
 _TITLED = r"(?:" + "|".join(t for words in _TITLES.values() for t in words) + r")"
 _NAMED = rf"(?<![\p{{L}}]){_TITLED}\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -102,6 +103,11 @@ def _hash(key: str, kind: Column, value: Column, draw: Column) -> Column:
     return F.concat(*[F.sha2(F.concat(F.lit(f"{outer}\0{i}\0"), seed), 256) for i in range(3)])
 
 
+def _bound(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _redrawn(value: Column, h: Column, keep: int = 0) -> Column:
     """Letters and digits of the value redrawn in their class, all else and the first `keep` characters as they are."""
 
@@ -166,7 +172,7 @@ def _surrogate(key: str) -> Column:
     domain = F.substring_index(value, "@", -1)
     tld = F.substring_index(domain, ".", -1)
     name = F.substring(domain, F.lit(1), F.length(domain) - F.length(tld))
-    email = F.concat(_redrawn(F.substring_index(value, "@", 1), h), F.lit("@"), _redrawn(name, _hash(key, F.lit("domain"), domain, F.lit(0))), tld)
+    email = F.concat(_redrawn(F.substring_index(value, "@", 1), h), F.lit("@"), _bound(_hash(key, F.lit("domain"), domain, F.lit(0)), lambda d: _redrawn(name, d)), tld)
     ip = F.concat_ws(".", *[((_byte(h, F.lit(2 * i)) * 256 + _byte(h, F.lit(2 * i + 1))) % (223 if i == 0 else 256) + (1 if i == 0 else 0)).cast("string") for i in range(4)])
     drawn = _redrawn(value, h, 1)
     # the last digit of a card makes its Luhn sum 0
@@ -185,12 +191,27 @@ def _gender(person: Column) -> Column:
     return F.when(title.isin(*_TITLES["f"]), "f").when(title.isin(*_TITLES["m"]), "m").otherwise("n")
 
 
-def _words_of(entity: Column, kind: Column) -> Column:
-    """What of an entity gets surrogates of its own: (kind, value) of each name word of a person, else the entity."""
-    names = F.slice(F.split(entity, " "), 2, 10)
-    last = F.size(names) - 1
-    words = F.transform(names, lambda w, i: F.struct(F.when(i == last, "surname").otherwise(F.concat(F.lit("given-"), _gender(entity))).alias("kind"), w.alias("value")))
-    return F.when(kind == "person", words).otherwise(F.array(F.struct(kind.alias("kind"), entity.alias("value"))))
+def _mentioned(entities: Column) -> Column:
+    """(kind, value) of each name word of a text's persons, settled over all its mentions: a given name or a surname as in the
+    longest of them, of the gender that its titles tell (a title without gender tells none, different ones tell none)."""
+
+    def words(person: Column) -> Column:
+        names = F.slice(F.split(person, " "), 2, 10)
+        size = F.size(names)
+        return F.transform(names, lambda w, i: F.struct(w.alias("value"), size.alias("size"), (i < size - 1).alias("given"), _gender(person).alias("gender")))
+
+    def settle(flat: Column) -> Column:
+        def one(value: Column) -> Column:
+            own = F.filter(flat, lambda x: x["value"] == value)
+            told = lambda g: F.exists(own, lambda x: x["gender"] == g)
+            gender = F.when(told("f") & ~told("m"), "f").when(told("m") & ~told("f"), "m").otherwise("n")
+            given = F.array_max(F.transform(own, lambda x: F.struct(x["size"], x["given"].alias("given"))))["given"]
+            return F.struct(F.when(given, F.concat(F.lit("given-"), gender)).otherwise("surname").alias("kind"), value.alias("value"))
+
+        return F.transform(F.array_distinct(flat["value"]), one)
+
+    persons = F.filter(F.array_distinct(entities), lambda e: _kind(e) == "person")
+    return _bound(F.array_distinct(F.flatten(F.transform(persons, words))), settle)
 
 
 def assigned(values: DataFrame, key: str) -> DataFrame:
@@ -244,19 +265,19 @@ def replaced(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     rows = docs.where(found).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     inner = F.col("row").getField(text_col)
     rows = rows.withColumn("entities", F.regexp_extract_all(inner, F.lit(f"({PATTERN})"), F.lit(1)))
-    names = F.flatten(F.transform(F.filter("entities", lambda e: _kind(e) == "person"), lambda e: _words_of(e, F.lit("person"))))
-    rows = rows.withColumn("names", F.filter(F.array_distinct(names), lambda w: F.length(w["value"]) > 1))
+    rows = rows.withColumn("names", _mentioned(F.col("entities"))).withColumn("long", F.filter("names", lambda w: F.length(w["value"]) > 1))
     # names of the text again, without a title: letters, apostrophes and hyphens only, so they need no escapes
-    again = F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{M}}\p{{N}}])(?:"), F.array_join(F.col("names")["value"], "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
-    named = F.size("names") > 0
+    again = F.concat(F.lit(rf"{PATTERN}|(?<![\p{{L}}\p{{M}}\p{{N}}])(?:"), F.array_join(F.col("long")["value"], "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+    named = F.size("long") > 0
     every = F.when(named, F.regexp_extract_all(inner, F.concat(F.lit("("), again, F.lit(")")), F.lit(1))).otherwise(F.col("entities"))
     pieces = F.when(named, F.split(inner, again, -1)).otherwise(F.split(inner, PATTERN, -1))
     rows = settled(rows.withColumns({"pieces": pieces, "entities": every}).withColumn("at", F.monotonically_increasing_id()))
 
     def words_of(entity: Column) -> Column:
-        """What of an entity gets surrogates, a name without title as what it is after one."""
-        known = F.filter("names", lambda w: w["value"] == entity)
-        return F.when(F.size(known) > 0, F.array(F.array_max(known))).otherwise(_words_of(entity, _kind(entity)))
+        """What of an entity gets surrogates: a person's words, and names without title, as the text's mentions settle them."""
+        own = F.when(_kind(entity) == "person", F.slice(F.split(entity, " "), 2, 10)).otherwise(F.array(entity))
+        other = lambda w: F.struct(_kind(entity).alias("kind"), w.alias("value"))
+        return F.transform(own, lambda w: F.coalesce(F.get(F.filter("names", lambda x: x["value"] == w), F.lit(0)), other(w)))
 
     each = rows.select("at", "names", F.explode(F.array_distinct("entities")).alias("entity"))
     words = each.select("at", F.explode(words_of(F.col("entity"))).alias("w")).select("at", "w.kind", "w.value").distinct()

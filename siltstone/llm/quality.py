@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import settled
+from siltstone.llm.common import free, settled
 
 _SPACE = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -38,6 +38,8 @@ PRIOR = 40.0
 #: Least standard deviation of each transformed statistic.
 FLOOR = (0.05, 0.15, 0.15, 0.15)
 _P = len(FLOOR)
+#: What judged() reads of measured() rows.
+_MEASURED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def _bound(value: Column, use) -> Column:  # noqa: ANN001
@@ -72,7 +74,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Columns of docs with these names are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    some = F.regexp_replace(text, r"\A[ \t-\r]+|[ \t-\r]+\z", "")
+    some = F.btrim(text, F.lit(_SPACE))
     words = F.when(some == "", F.array().cast("array<string>")).otherwise(F.split(some, r"[ \t-\r]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
 
@@ -84,15 +86,16 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def line_counts(x: Column) -> Column:
         return (F.size(x) - F.size(F.array_distinct(x))).cast("bigint")
 
+    both = free("words", docs.columns)
     out = docs.withColumns(
         {
-            "_words": _bound(words, counts),
+            both: _bound(words, counts),
             "word_chars": F.length(F.translate(text, _SPACE, "")).cast("bigint"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("bigint"),
             "n_dup_lines": _bound(lines, line_counts),
         }
     )
-    out = out.withColumns({k: F.col("_words")[k] for k in ("n_words", "n_repeat_words")}).drop("_words")
+    out = out.withColumns({k: F.col(both)[k] for k in ("n_words", "n_repeat_words")}).drop(both)
     return out.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
@@ -252,9 +255,12 @@ def judged(stats: DataFrame, groups: DataFrame, lang_col: str = "lang", source_c
     """measured() rows with distance2 (squared, robust; null where there is no estimate) and kept, by fitted() groups.
 
     A row is kept if it passes the base rules and its distance is within CUTOFF, or if there is no estimate: only where
-    fewer than LEAST rows of the whole table pass. Repeated rows are judged alike; an empty table gives no rows.
+    fewer than LEAST rows of the whole table pass. Repeated rows are judged alike; an empty table gives no rows. Other columns
+    may have any names and stay as they are; columns named distance2 and kept are replaced.
     """
-    found = _met(_keyed(stats, lang_col, source_col), groups, ["_lang", "_source"], groups.count() <= SENT, "left")
+    whole = F.struct(*[F.col(f"`{c}`") for c in stats.columns if c not in ("distance2", "kept")])
+    rows = stats.select(whole.alias("whole"), *_MEASURED, F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{source_col}`").alias("source"))
+    found = _met(_keyed(rows, "lang", "source"), groups, ["_lang", "_source"], groups.count() <= SENT, "left")
     found = found.withColumn("distance2", _distance(0, _vector()))
     found = found.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= CUTOFF))
-    return found.select(*stats.columns, "distance2", "kept")
+    return found.select("whole.*", "distance2", "kept")
