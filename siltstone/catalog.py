@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone import gate_queries as gates
 from siltstone import queries as tables
 from siltstone import record_queries as records
+from siltstone import report_queries as reports
 from siltstone import template_queries as templates
 from siltstone import tool_queries as tools
 
@@ -17,9 +18,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return tables.QUERIES | templates.QUERIES | gates.QUERIES | tools.QUERIES | records.QUERIES
+    return tables.QUERIES | templates.QUERIES | gates.QUERIES | tools.QUERIES | records.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return tables.SQL | templates.SQL | tools.SQL | records.SQL | {"gate_decisions": gates.SQL}
+    return tables.SQL | templates.SQL | tools.SQL | records.SQL | reports.SQL | {"gate_decisions": gates.SQL}

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Rules that tell of credentials, and what a text that must not be shown is replaced by.
 CREDENTIAL_RULES = ("W1011", "W2501")
 HIDDEN = "[REDACTED]"
+NOTICE = "The Excerpt for this evidence was redacted before reporting because {}; the Template text at this location is not reproduced."
+REASONS = {"credential_rule": "a credential-detection rule (W1011, W2501) reported this location", "no_echo_parameter": "the location references a Parameter declared NoEcho: true"}
 
 
 def output_path(path: Column) -> Column:
@@ -27,7 +29,8 @@ def redacted(evidence: DataFrame, silent: DataFrame) -> DataFrame:
 
     evidence: template_id, id, rule_id, place (slash-joined), excerpt; silent: template_id, name of the parameters that must
     not be shown. A credential rule comes first; else a place within such a parameter, or an excerpt that says its name as
-    a whole word, is the parameter's. Null excerpts stay null.
+    a whole word, is the parameter's. Null excerpts stay null. Where evidence has a column detail, a notice is added to it once
+    if the excerpt is withheld.
     """
     whole = F.concat(F.lit(r"(?<![0-9A-Za-z_])\Q"), F.col("name"), F.lit(r"\E(?![0-9A-Za-z_])"))
     within = F.startswith(F.concat("place", F.lit("/")), F.concat(F.lit("Parameters/"), F.col("name"), F.lit("/")))
@@ -35,8 +38,12 @@ def redacted(evidence: DataFrame, silent: DataFrame) -> DataFrame:
     told = met.where(F.coalesce(within, F.lit(False)) | F.coalesce(F.rlike("excerpt", whole), F.lit(False))).select("id", F.lit(True).alias("_told")).distinct()
     trigger = F.when(F.col("rule_id").isin(*CREDENTIAL_RULES), "credential_rule").when(F.col("_told"), "no_echo_parameter").otherwise("none")
     out = evidence.join(told, "id", "left").withColumn("trigger", trigger)
-    shown = F.when((F.col("trigger") != "none") & F.col("excerpt").isNotNull(), HIDDEN).otherwise(F.col("excerpt"))
-    return out.withColumn("excerpt", shown).drop("_told")
+    hides = (F.col("trigger") != "none") & (F.col("excerpt") != "") & (F.col("excerpt") != HIDDEN)
+    if "detail" in evidence.columns:
+        notice = F.coalesce(*[F.when(F.col("trigger") == t, NOTICE.format(why)) for t, why in REASONS.items()])
+        added = F.when(F.coalesce(F.trim("detail"), F.lit("")) == "", notice).when(F.contains("detail", notice), F.col("detail")).otherwise(F.concat("detail", F.lit(" "), notice))
+        out = out.withColumn("detail", F.when(hides, added).otherwise(F.col("detail")))
+    return out.withColumn("excerpt", F.when(hides, HIDDEN).otherwise(F.col("excerpt"))).drop("_told")
 
 
 def canonical(fields: Column) -> Column:

@@ -13,7 +13,7 @@ from siltstone.operators import merge
 SEVERITIES = ("INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 CONFIDENCES = ("Contextual", "Likely", "Confirmed")
 TYPES = ("Informational", "BestPractice", "Validity", "Security")
-SOURCES = ("cfn-lint", "cfn-guard", "IAM Review", "Network Review", "Secret Scan", "Quality Review", "Agent Review")
+SOURCES = ("cfn-lint", "cfn-guard", "IAM Review", "Network Review", "Secret Review", "Quality Review", "Agent Review")
 COLUMNS = ("template_id", "resource", "category", "type", "severity", "confidence", "source", "rule_id", "finding")
 
 

@@ -24,4 +24,4 @@ def findings(relations: Relations) -> DataFrame:
     bits = entropy(telling, "key", "sval").where(F.col("entropy") >= LEAST_ENTROPY).select("key", F.lit(True).alias("odd"))
     hit = all_.join(bits, "key", "left").where(((F.col("shape") != "") | F.coalesce("odd", F.lit(False))) & ~F.col("sval").rlike(PLACEHOLDER))
     text = F.concat("name", F.lit(": holds what looks like a secret ("), F.when(F.col("shape") != "", F.col("shape")).otherwise("high entropy"), F.lit(")"))
-    return hit.select(*row("plaintext_secret", "HIGH", "DataProtection", "Security", "Secret Scan", text)).withColumn("rule_id", F.lit("plaintext_secret"))
+    return hit.select(*row("plaintext_secret", "HIGH", "DataProtection", "Security", "Secret Review", text)).withColumn("rule_id", F.lit("plaintext_secret"))
