@@ -11,6 +11,8 @@ from siltstone.operators import canonical, records
 from siltstone.plans.settle import settled
 from siltstone.rules import reports
 from siltstone.rules.findings import SEVERITIES, SOURCES, TYPES
+from siltstone.review import Review
+from siltstone.sources import templates
 from siltstone.sources.reports import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -283,3 +285,39 @@ def merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = lambda e: F.regexp_extract(e["Detail"], "[0-9]+", 0)
     said = F.array_join(F.transform("Evidence", lambda e: F.concat(number(e), e["Source"])), ",")
     return rows.select("report_id", F.col("Resource").alias("resource"), F.col("Normalized_Category").alias("category"), F.col("Severity").alias("severity"), F.col("Confidence").alias("confidence"), F.col("Finding").alias("wording"), F.col("Location.Line").alias("line"), said.alias("evidence"), F.array_join(F.array_sort("Source"), ",").alias("sources"))
+
+
+def shared_documents(parts: DataFrame) -> DataFrame:
+    """A YAML document a part: p_size lists each of which holds the one before twice, by aliases; a part whose key 9 divides has
+    an alias to what holds it. Every seventh part has lists nested as deep as its key by 600, in JSON."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    name = lambda i: F.concat(F.lit("a"), i.cast("string"))
+    lines = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(name(i), F.lit(": &"), name(i), F.when(i == 1, F.lit(" [x, y]")).otherwise(F.concat(F.lit(" [*"), name(i - 1), F.lit(", *"), name(i - 1), F.lit("]")))))
+    body = F.concat(F.array_join(lines, "\n"), F.when(k % 9 == 0, "\nloop: &loop {x: [*loop]}").otherwise(""))
+    deep = F.concat(F.repeat(F.lit("["), (k % 600).cast("int")), F.lit('"]"'), F.repeat(F.lit("]"), (k % 600).cast("int")))
+    return parts.select(k.cast("string").alias("template_id"), F.when((k % 7 == 0) & (k % 600 > 0), deep).otherwise(body).alias("text"))
+
+
+@sql(
+    """WITH d AS (SELECT *, p_partkey % 7 = 0 AND p_partkey % 600 > 0 AS json, p_partkey % 600 AS deep, (1::HUGEINT << (p_size + 2)) - 3 - p_size AS n FROM part)
+SELECT p_partkey::VARCHAR AS template_id, CASE WHEN json THEN CASE WHEN deep >= 64 THEN 'nested too deeply' END WHEN p_partkey % 9 = 0 THEN 'an alias refers to what holds it' WHEN n > 3000000 THEN 'too many nodes' END AS failure,
+  (CASE WHEN json THEN CASE WHEN deep > 512 THEN 0 ELSE deep + 1 END WHEN p_partkey % 9 = 0 THEN 0 ELSE least(n, 3000001) END)::BIGINT AS n_nodes,
+  (CASE WHEN json THEN CASE WHEN deep > 512 THEN 0 ELSE least(deep + 1, 65) END WHEN p_partkey % 9 = 0 THEN 0 ELSE p_size + 2 END)::INTEGER AS depth FROM d"""
+)
+def template_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How large documents are with their aliases written out, up to 2 ** 52 nodes, without writing them out."""
+    return templates.structures(shared_documents(_table(spark, sf_dir, "part")))
+
+
+@sql(
+    """SELECT p_partkey::VARCHAR AS review_id, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_size > 25 THEN 8 ELSE 0 END WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 8 ELSE CASE WHEN p_size % 2 = 0 THEN 0 ELSE 4 END END AS exit_status FROM part"""
+)
+def template_exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How runs over documents of parts end: with resources, none, or what can't be read."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    texts = [
+        F.concat(F.lit("Resources:\n"), F.when(n > 25, "  {}").otherwise(F.concat(F.lit("  R: {Type: '"), "p_brand", F.lit("'}")))), F.lit('{"Resources": {"A": 1,}}'), F.lit("- Resources: {A: {}}"), F.lit('{"Resources": []}'),
+        F.concat(F.lit('{"Resources": {"A": '), F.when(n % 2 == 0, "{}").otherwise("{"), F.lit("}}")),
+    ]
+    text = F.coalesce(*[F.when(k % 5 == i, t) for i, t in enumerate(texts)])
+    return Review(_table(spark, sf_dir, "part").select(k.cast("string").alias("template_id"), text.alias("text")), ()).exit_status()

@@ -7,9 +7,11 @@ repeated keys, the order of keys, and the types of scalars. All else is DataFram
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ except ModuleNotFoundError:  # YAML documents then come out as error rows
     yaml = None
 
 #: Limits of one document; beyond them it is refused with a reason.
-MAX_BYTES, MAX_DEPTH, MAX_NODES, MAX_ALIASES = 5 << 20, 64, 3_000_000, 10_000
+MAX_BYTES, MAX_DEPTH, MAX_NODES, MAX_ALIASES, MAX_JSON_DEPTH = 5 << 20, 64, 3_000_000, 10_000, 512
 #: Nodes after which a task passes its rows on, whole documents at a time.
 PASSED = 50_000
 NODES = "template_id string, path array<string>, shape string, ord bigint, vtype string, sval string, dup_key boolean, error string"
@@ -50,7 +52,65 @@ def _with_merged(own: _Map, merged: list[_Map]) -> _Map:
     return _Map([*out, *own])
 
 
+def _parts(value) -> list | None:  # noqa: ANN001
+    """What a container holds, of a YAML node or a JSON value; None for a leaf."""
+    if isinstance(value, _Map):
+        return [v for _, v in value]
+    if isinstance(value, list):
+        return value
+    if yaml is not None and isinstance(value, yaml.MappingNode):
+        return [v for _, v in value.value]
+    return value.value if yaml is not None and isinstance(value, yaml.SequenceNode) else None
+
+
+def structure(root: object) -> tuple[str | None, int, int]:
+    """Why a document is too large, its nodes and its depth as if all aliases were written out, without doing so.
+
+    A container that aliases share is measured once: its nodes are the sum of its parts', its depth one more than the deepest.
+    Told in this order: an alias to what holds it, too great a depth, too many nodes. Nodes and depth are told up to one more
+    than may be.
+    """
+    if _parts(root) is None:
+        return None, 1, 1
+    measured: dict[int, tuple[int, int]] = {}
+    open_ = {id(root)}
+    stack = [(root, iter(_parts(root)), [1, 1])]
+    while stack:
+        value, rest, sums = stack[-1]
+        part = next(rest, stack)
+        if part is stack:  # all parts are measured
+            stack.pop()
+            open_.discard(id(value))
+            measured[id(value)] = sums[0], sums[1]
+            if stack:
+                above = stack[-1][2]
+                above[0], above[1] = min(above[0] + sums[0], MAX_NODES + 1), max(above[1], min(sums[1] + 1, MAX_DEPTH + 1))
+            continue
+        inner = _parts(part)
+        if inner is not None and id(part) in open_:
+            return "an alias refers to what holds it", 0, 0
+        if inner is not None and id(part) not in measured:
+            open_.add(id(part))
+            stack.append((part, iter(inner), [1, 1]))
+            continue
+        n, depth = measured[id(part)] if inner is not None else (1, 1)
+        sums[0], sums[1] = min(sums[0] + n, MAX_NODES + 1), max(sums[1], min(depth + 1, MAX_DEPTH + 1))
+    n, depth = measured[id(root)]
+    return "nested too deeply" if depth > MAX_DEPTH else "too many nodes" if n > MAX_NODES else None, n, depth
+
+
+def _nesting(text: str) -> int:
+    """How deep brackets are nested outside of strings."""
+    depth = most = 0
+    for bracket in re.findall(r"[\[\]{}]", re.sub(r'"[^"\\]*(?:\\.[^"\\]*)*"', "", text, flags=re.DOTALL)):
+        depth += 1 if bracket in "[{" else -1
+        most = max(most, depth)
+    return most
+
+
 def _from_json(text: str):  # noqa: ANN202
+    if _nesting(text) > MAX_JSON_DEPTH:
+        raise Refused("nested too deeply")
     try:
         return json.loads(text, object_pairs_hook=_Map)
     except RecursionError:
@@ -68,6 +128,8 @@ def _from_yaml(text: str):  # noqa: ANN202
         mark = getattr(error, "problem_mark", None)
         at = f" at line {mark.line + 1}, column {mark.column + 1}" if mark else ""
         raise Refused(f"malformed YAML{at}: {getattr(error, 'problem', error)}") from None
+    if root is not None and (why := structure(root)[0]):
+        raise Refused(why)
     scalars, open_nodes, seen, done, aliases = yaml.SafeLoader(""), set(), [0], set(), [0]
 
     def build(node, depth: int):  # noqa: ANN001, ANN202
@@ -188,6 +250,42 @@ def nodes(templates: DataFrame) -> DataFrame:
     return templates.select(F.col("template_id").cast("string"), F.col("text").cast("string")).mapInPandas(run, NODES)
 
 
+def structures(templates: DataFrame) -> DataFrame:
+    """(template_id, failure, n_nodes, depth): how large documents are with their aliases written out, which is not done.
+
+    failure tells why a document is not taken, as nodes() does; where it can't be read, or an alias refers to what holds it, the
+    numbers are 0. Null texts are empty documents.
+    """
+
+    def measure(text: str) -> tuple:
+        try:
+            if len(text.encode("utf-8", "surrogatepass")) > MAX_BYTES:
+                raise Refused("too large")
+            body = text.removeprefix("\ufeff")
+            start = body.lstrip()[:1]
+            if not start:
+                raise Refused("empty document")
+            return structure(_from_json(body) if start in "{[" else yaml.compose(body, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)))
+        except Refused as refused:
+            return str(refused), 0, 0
+        except Exception as error:  # noqa: BLE001  one document's fault is its own row, never the job's
+            return f"unreadable: {type(error).__name__}", 0, 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [measure(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*found, strict=True) if found else ([], [], []), (pa.string(), pa.int64(), pa.int32()), strict=True))], ["template_id", "failure", "n_nodes", "depth"])
+
+    return templates.select(F.col("template_id").cast("string"), F.col("text").cast("string")).mapInArrow(run, "template_id string, failure string, n_nodes bigint, depth int")
+
+
+def reviewable(table: DataFrame) -> DataFrame:
+    """(template_id, reviewable): whether a document of a node table is a mapping whose Resources is a mapping with an entry."""
+    top = F.get("path", F.lit(0)) == "Resources"
+    has = F.bool_or((F.size("path") == 0) & (F.col("vtype") == "map")) & F.bool_or(top & (F.size("path") == 1) & (F.col("vtype") == "map")) & F.bool_or(top & (F.size("path") == 2))
+    return table.groupBy("template_id").agg(F.coalesce(has, F.lit(False)).alias("reviewable"))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(template_id, grp, text) of the template files under a folder: five suffixes, caches left out, synthesized ones told apart."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from siltstone.operators import evidence
-from siltstone.sources import tool_output
+from siltstone.sources import templates, tool_output
 from siltstone.streaming import reviews
 
 
@@ -72,3 +72,27 @@ def test_stream(spark, tmp_path):
     stream = reviews.reviewed(reviews.incoming(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), ("properties",))
     stream.trigger(availableNow=True).start().awaitTermination()
     assert {r.rule_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"sqs_queue_encrypted", "required_tags"}
+
+
+def test_aliases_are_measured_and_not_written_out(spark):
+    lines = ["a0: &a0 [x, y]"] + [f"a{i}: &a{i} [*a{i - 1}, *a{i - 1}]" for i in range(1, 61)]
+    cases = [
+        ("\n".join(lines), "too many nodes", templates.MAX_NODES + 1, 63), ("\n".join(lines[:4]), None, 1 + 3 + 7 + 15 + 31, 6), ("a: &a {b: [*a]}", "an alias refers to what holds it", 0, 0), ("x", None, 1, 1), ("", "empty document", 0, 0), (None, "empty document", 0, 0),
+        ("[" * 64 + "]" * 64, None, 64, 64), ("[" * 65 + "]" * 65, "nested too deeply", 65, 65), ("[" * 600 + "]" * 600, "nested too deeply", 0, 0), ('["[[[["]', None, 2, 2), ("{\n", "unreadable", 0, 0), ("a: [", "unreadable", 0, 0),
+    ]
+    docs = spark.createDataFrame([(str(i), t) for i, (t, *_) in enumerate(cases)], "template_id string, text string")
+    got = {int(r.template_id): r for r in templates.structures(docs).collect()}
+    for i, (text, failure, n, depth) in enumerate(cases):
+        row = got[i]
+        if failure == "unreadable":
+            assert row.failure
+            continue
+        assert (row.failure, row.n_nodes, row.depth) == (failure, n, depth), text
+    assert templates.nodes_of("t", cases[0][0])[0][-1] == "too many nodes"
+    assert templates.structures(docs.limit(0)).count() == 0
+
+
+def test_reviewable_documents(spark):
+    texts = ["Resources: {A: {Type: x}}", "Resources: {}", "Resources: [a]", "[{Resources: {A: 1}}]", "Parameters: {A: 1}", "{", "Resources: &r {A: 1}\nOther: *r"]
+    table = templates.nodes(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "template_id string, text string"))
+    assert {int(r.template_id): r.reviewable for r in templates.reviewable(table).collect()} == dict(enumerate([True, False, False, False, False, False, True]))
