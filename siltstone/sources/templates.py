@@ -128,7 +128,8 @@ def _from_yaml(text: str):  # noqa: ANN202
         mark = getattr(error, "problem_mark", None)
         at = f" at line {mark.line + 1}, column {mark.column + 1}" if mark else ""
         raise Refused(f"malformed YAML{at}: {getattr(error, 'problem', error)}") from None
-    if root is not None and (why := structure(root)[0]):
+    why, n, _ = structure(root) if root is not None else (None, 0, 0)
+    if why and n <= MAX_NODES:  # too many nodes by aliases end the building below, after MAX_ALIASES of them
         raise Refused(why)
     scalars, open_nodes, seen, done, aliases = yaml.SafeLoader(""), set(), [0], set(), [0]
 

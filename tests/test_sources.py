@@ -88,7 +88,7 @@ def test_aliases_are_measured_and_not_written_out(spark):
             assert row.failure
             continue
         assert (row.failure, row.n_nodes, row.depth) == (failure, n, depth), text
-    assert templates.nodes_of("t", cases[0][0])[0][-1] == "too many nodes"
+    assert templates.nodes_of("t", cases[0][0])[0][-1] == "too many aliases"
     assert templates.structures(docs.limit(0)).count() == 0
 
 
