@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone import artifact_queries as artifacts
 from siltstone import gate_queries as gates
 from siltstone import integrity_queries as integrity
 from siltstone import queries as tables
@@ -19,9 +20,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return tables.QUERIES | templates.QUERIES | gates.QUERIES | tools.QUERIES | records.QUERIES | reports.QUERIES | integrity.QUERIES
+    return tables.QUERIES | templates.QUERIES | gates.QUERIES | tools.QUERIES | records.QUERIES | reports.QUERIES | integrity.QUERIES | artifacts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return tables.SQL | templates.SQL | tools.SQL | records.SQL | reports.SQL | integrity.SQL | {"gate_decisions": gates.SQL}
+    return tables.SQL | templates.SQL | tools.SQL | records.SQL | reports.SQL | integrity.SQL | artifacts.SQL | {"gate_decisions": gates.SQL}
