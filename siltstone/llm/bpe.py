@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import chunks
 
 #: Bytes, as estimated, of the parts of texts that a worker remembers with their ids; beyond that it forgets all.
-REMEMBERED = 160 << 20
+REMEMBERED = 80 << 20
 #: Characters of the texts of a block; a longer text makes a block of its own.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 #: Parts of texts whose ids are put together at a time.
 GATHERED = 1 << 17
 #: Fixed value: the pattern whose pre-tokens parts() may cut at spaces; with any other, texts are split by the pattern alone.
