@@ -10,6 +10,7 @@ from siltstone import artifact_queries as artifacts
 from siltstone import chain_queries as chains
 from siltstone import gate_queries as gates
 from siltstone import integrity_queries as integrity
+from siltstone import output_queries as outputs
 from siltstone import queries as tables
 from siltstone import record_queries as records
 from siltstone import report_queries as reports
@@ -21,9 +22,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
-    return tables.QUERIES | templates.QUERIES | gates.QUERIES | tools.QUERIES | records.QUERIES | reports.QUERIES | integrity.QUERIES | artifacts.QUERIES | chains.QUERIES
+    return tables.QUERIES | templates.QUERIES | gates.QUERIES | tools.QUERIES | records.QUERIES | reports.QUERIES | integrity.QUERIES | artifacts.QUERIES | chains.QUERIES | outputs.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return tables.SQL | templates.SQL | tools.SQL | records.SQL | reports.SQL | integrity.SQL | artifacts.SQL | chains.SQL | {"gate_decisions": gates.SQL}
+    return tables.SQL | templates.SQL | tools.SQL | records.SQL | reports.SQL | integrity.SQL | artifacts.SQL | chains.SQL | outputs.SQL | {"gate_decisions": gates.SQL}

@@ -108,11 +108,16 @@ def agent_findings(output: DataFrame, categories: tuple[str, ...]) -> tuple[Data
     """Findings, and rejected rows with their reasons, of a table (template_id, text): a JSON array or {"findings": [...]}.
 
     A confirmed finding is taken as likely, an unknown category as Other; the source must be Agent Review and every piece
-    of evidence needs an excerpt.
+    of evidence needs an excerpt. An object must tell schema_version 1.x: one of another version, or without any, is rejected
+    whole, as a row without a finding.
     """
     text = F.col("text")
-    rows = F.when(F.ltrim(text).startswith("["), F.from_json(text, _AGENT)).otherwise(F.from_json(text, f"findings {_AGENT}")["findings"])
-    each = output.select("template_id", F.explode(rows).alias("f")).select("template_id", "f.*")
+    envelope = F.from_json(text, f"schema_version string, findings {_AGENT}")
+    listed = F.ltrim(text).startswith("[")
+    known = listed | F.coalesce(envelope["schema_version"].rlike(r"^1\.[0-9]+(\.[0-9]+)?$"), F.lit(False))
+    rows = F.when(listed, F.from_json(text, _AGENT)).otherwise(envelope["findings"])
+    refused = output.where(text.isNotNull() & ~known).select("template_id", F.lit(None).cast("string").alias("Finding"), F.array(F.lit("schema_version")).alias("reasons"))
+    each = output.where(known).select("template_id", F.explode(rows).alias("f")).select("template_id", "f.*")
     each = each.withColumns({"Normalized_Category": F.when(F.col("Normalized_Category").isin(*categories), F.col("Normalized_Category")).otherwise("Other"), "Confidence": F.when(F.col("Confidence") == "Confirmed", "Likely").otherwise(F.col("Confidence"))})
     checks = {
         "source": F.col("Source") != "Agent Review",
@@ -124,7 +129,7 @@ def agent_findings(output: DataFrame, categories: tuple[str, ...]) -> tuple[Data
     }
     each = each.withColumn("reasons", F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), name) for name, bad in checks.items()])))
     good = each.where(F.size("reasons") == 0).select("template_id", F.col("Resource").alias("resource"), F.col("Normalized_Category").alias("category"), F.col("FindingType").alias("type"), F.col("Severity").alias("severity"), F.col("Confidence").alias("confidence"), F.col("Source").alias("source"), F.lit(None).cast("string").alias("rule_id"), F.col("Finding").alias("finding"))
-    return good.select(*COLUMNS), each.where(F.size("reasons") > 0).select("template_id", "Finding", "reasons")
+    return good.select(*COLUMNS), each.where(F.size("reasons") > 0).select("template_id", "Finding", "reasons").unionByName(refused)
 
 
 def unknown_keys(text: Column, allowed: list[str]) -> Column:
