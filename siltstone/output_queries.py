@@ -56,10 +56,10 @@ _MONTH = "month(o_orderdate)"
 @sql(
     f"""WITH r AS (SELECT 'c' || o_custkey AS template_id, c_nationkey AS n, o_orderkey, {_MONTH} AS m, o_orderpriority[1] AS p, o_orderstatus AS s, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey),
 j AS (SELECT *, array_to_string(list_filter([CASE WHEN m = 1 THEN 'source' END, CASE WHEN p = '5' THEN 'severity' END, CASE WHEN s = 'P' THEN 'type' END, CASE WHEN m = 2 THEN 'confidence' END, CASE WHEN price < 20000 THEN 'finding' END, CASE WHEN m IN (3, 4) OR price > 280000 THEN 'excerpt' END], lambda x: x IS NOT NULL), ',') AS reasons
-  FROM r WHERE n NOT IN (3, 9))
+  FROM r WHERE n <> 3)
 SELECT template_id, CASE WHEN reasons = '' THEN 'f' || o_orderkey WHEN price >= 20000 THEN 'f' || o_orderkey ELSE ' ' END AS finding, CASE WHEN reasons = '' THEN CASE WHEN s = 'F' THEN 'IAM' ELSE 'Other' END END AS category,
   CASE WHEN reasons = '' THEN CASE WHEN m = 5 THEN 'Contextual' ELSE 'Likely' END END AS confidence, CASE WHEN reasons = '' THEN NULL ELSE reasons END AS reasons FROM j
-UNION ALL SELECT DISTINCT template_id, NULL, NULL, NULL, 'schema_version' FROM r WHERE n IN (3, 9)"""
+UNION ALL SELECT DISTINCT template_id, NULL, NULL, NULL, 'schema_version' FROM r WHERE n = 3"""
 )
 def agent_output_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An agent's output a customer, a finding an order: what is taken and as what, and why the rest is not."""
@@ -74,7 +74,7 @@ def agent_output_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_nationkey")
     version = F.when(n == 3, "2.0").when(n != 9, "1.4")
     whole = F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"schema_version": "'), version, F.lit('", ')), F.lit("")), F.lit('"findings": '), F.col("all"), F.lit("}"))
-    rows = _table(spark, sf_dir, "customer").join(lists, "c_custkey").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("template_id"), F.when((n % 2 == 0) & ~n.isin(3, 9), F.concat(F.lit("  "), F.col("all"))).otherwise(whole).alias("text"))
+    rows = _table(spark, sf_dir, "customer").join(lists, "c_custkey").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("template_id"), F.when(n % 2 == 0, F.concat(F.lit("  "), F.col("all"))).otherwise(whole).alias("text"))
     good, bad = tool_output.agent_findings(rows, ("IAM", "Encryption"))
     none = lambda name: F.lit(None).cast("string").alias(name)
     return good.select("template_id", "finding", "category", "confidence", none("reasons")).unionByName(bad.select("template_id", F.col("Finding").alias("finding"), none("category"), none("confidence"), F.array_join("reasons", ",").alias("reasons")))

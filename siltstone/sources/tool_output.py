@@ -108,13 +108,13 @@ def agent_findings(output: DataFrame, categories: tuple[str, ...]) -> tuple[Data
     """Findings, and rejected rows with their reasons, of a table (template_id, text): a JSON array or {"findings": [...]}.
 
     A confirmed finding is taken as likely, an unknown category as Other; the source must be Agent Review and every piece
-    of evidence needs an excerpt. An object must tell schema_version 1.x: one of another version, or without any, is rejected
-    whole, as a row without a finding.
+    of evidence needs an excerpt. An object that tells a schema_version other than 1.x is rejected whole, as a row without a
+    finding.
     """
     text = F.col("text")
     envelope = F.from_json(text, f"schema_version string, findings {_AGENT}")
     listed = F.ltrim(text).startswith("[")
-    known = listed | F.coalesce(envelope["schema_version"].rlike(r"^1\.[0-9]+(\.[0-9]+)?$"), F.lit(False))
+    known = F.coalesce(listed, F.lit(True)) | F.coalesce(envelope["schema_version"].rlike(r"^1\.[0-9]+(\.[0-9]+)?$"), F.lit(True))
     rows = F.when(listed, F.from_json(text, _AGENT)).otherwise(envelope["findings"])
     refused = output.where(text.isNotNull() & ~known).select("template_id", F.lit(None).cast("string").alias("Finding"), F.array(F.lit("schema_version")).alias("reasons"))
     each = output.where(known).select("template_id", F.explode(rows).alias("f")).select("template_id", "f.*")
