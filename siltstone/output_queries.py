@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import records
-from siltstone.sources import tool_output
+from siltstone.sources import listing, tool_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -107,3 +107,19 @@ def summaries_of_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     bare = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pair")).join(by.select("pair").distinct(), "pair", "left_anti")
     found = records.summaries_comparable(by, orders.where("o_totalprice > 295000").select(pair))
     return found.unionByName(bare.join(found, "pair", "left_anti").select("pair", F.lit(True).alias("comparable")))
+
+
+#: The path of an order's file, as SQL that both engines take.
+_FILE = "concat(CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'b/node_modules/' WHEN o_orderkey % 7 = 0 THEN 'b/cdk.out/' ELSE 'b/c/' END WHEN o_orderkey % 3 = 0 THEN 'cdk.out/' WHEN o_orderkey % 11 = 0 THEN 'cdk.out/deep/' ELSE '' END, 'T', o_orderkey, CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN '.YAML' WHEN '2' THEN '.template' WHEN '3' THEN '.template.json' WHEN '4' THEN '.txt' ELSE '.json' END)"
+
+
+@sql(
+    rf"""WITH f AS (SELECT o_custkey AS review_id, {_FILE} AS path, floor(o_totalprice * 30)::BIGINT AS length FROM orders WHERE o_orderkey % 13 <> 0),
+c AS (SELECT *, CASE WHEN regexp_matches(path, '^cdk\.out/[^/]+\.template\.json$') THEN 'synthesized' WHEN regexp_matches(lower(path), '\.(yaml|yml|json|template)$') AND NOT regexp_matches(path, '(^|/)(cdk\.out|node_modules)/') THEN 'standalone' END AS grp FROM f),
+t AS (SELECT *, sum(length) OVER (PARTITION BY review_id ORDER BY grp = 'synthesized', path)::BIGINT AS running FROM c WHERE grp IS NOT NULL)
+SELECT review_id, path, grp, running, CASE WHEN running > 52428800 THEN CASE WHEN running - length <= 52428800 THEN 'stopped' ELSE 'not_reached' END WHEN length > 5242880 THEN 'too_large' ELSE 'taken' END AS state FROM t"""
+)
+def listed_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of a customer's folder, one an order, a review reads, and where it stops."""
+    files = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("review_id"), F.expr(_FILE).alias("path"), F.floor(F.col("o_totalprice") * 30).cast("bigint").alias("length"), (F.col("o_orderkey") % 13 == 0).alias("outside"))
+    return listing.candidates(files)

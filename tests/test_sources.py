@@ -6,7 +6,7 @@ import json
 from pyspark.sql import functions as F
 
 from siltstone.operators import evidence
-from siltstone.sources import templates, tool_output
+from siltstone.sources import listing, templates, tool_output
 from siltstone.streaming import reviews
 
 
@@ -96,3 +96,22 @@ def test_reviewable_documents(spark):
     texts = ["Resources: {A: {Type: x}}", "Resources: {}", "Resources: [a]", "[{Resources: {A: 1}}]", "Parameters: {A: 1}", "{", "Resources: &r {A: 1}\nOther: *r"]
     table = templates.nodes(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "template_id string, text string"))
     assert {int(r.template_id): r.reviewable for r in templates.reviewable(table).collect()} == dict(enumerate([True, False, False, False, False, False, True]))
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    texts = {"b.yaml": "B", "a/Z.YML": "Z", "a/node_modules/x.json": "no", "cdk.out/s.template.json": "S", "cdk.out/other.json": "no", "cdk.out/in/t.template.json": "no", "a/readme.txt": "no", "c d.template": "C"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {r.template_id: (r.grp, r.state, r.text) for r in listing.read(spark, str(tmp_path)).collect()}
+    assert got == {"b.yaml": ("standalone", "taken", "B"), "a/Z.YML": ("standalone", "taken", "Z"), "c d.template": ("standalone", "taken", "C"), "cdk.out/s.template.json": ("synthesized", "taken", "S")}
+    got = {r.template_id: (r.state, r.text) for r in listing.read(spark, str(tmp_path), most=2).collect()}
+    assert got == {"a/Z.YML": ("taken", "Z"), "b.yaml": ("taken", "B"), "c d.template": ("stopped", None), "cdk.out/s.template.json": ("not_reached", None)}
+
+
+def test_listings_without_lengths_and_empty_ones(spark):
+    schema = "review_id int, path string, length long, outside boolean"
+    rows = [(1, "a.json", None, None), (1, "b.json", 6 << 20, False), (1, "c.json", 1, True), (1, ".git/d.json", 1, False), (2, "x.YAML", 5 << 20, False)]
+    got = {(r.review_id, r.path): (r.running, r.state) for r in listing.candidates(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, "a.json"): (0, "taken"), (1, "b.json"): (6 << 20, "too_large"), (2, "x.YAML"): (5 << 20, "taken")}
+    assert listing.candidates(spark.createDataFrame([], schema)).count() == 0
