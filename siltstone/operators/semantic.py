@@ -31,10 +31,13 @@ def _above(path: Column, least: int) -> Column:
 def compared(base: DataFrame, head: DataFrame) -> DataFrame:
     """(template_id, path, b, h, bt, ht, bv, hv): the nodes of both versions by path; those that cannot be compared, and all
     below them, left out (see uncompared)."""
+    odd = settled(uncompared(base, head).select("template_id", "path"))
     sides = [df.where("vtype != 'error'").select("template_id", "path", F.lit(True).alias(s), F.col("vtype").alias(f"{s}t"), F.col("sval").alias(f"{s}v")) for df, s in ((base, "b"), (head, "h"))]
     both = sides[0].join(sides[1], ["template_id", "path"], "full")
-    odd = uncompared(base, head).select("template_id", "path")
-    below = both.select("template_id", "path", F.explode(F.concat(_above(F.col("path"), 0), F.array("path"))).alias("up")).join(odd.withColumnRenamed("path", "up"), ["template_id", "up"], "left_semi").select("template_id", "path").distinct()
+    if not odd.take(1):
+        return both
+    held = both.join(odd.select("template_id").distinct(), "template_id", "left_semi")  # only these templates' nodes are looked through
+    below = held.select("template_id", "path", F.explode(F.concat(_above(F.col("path"), 0), F.array("path"))).alias("up")).join(odd.withColumnRenamed("path", "up"), ["template_id", "up"], "left_semi").select("template_id", "path").distinct()
     return both.join(below, ["template_id", "path"], "left_anti")
 
 
