@@ -31,16 +31,35 @@ def _above(path: Column, least: int) -> Column:
 def compared(base: DataFrame, head: DataFrame) -> DataFrame:
     """(template_id, path, b, h, bt, ht, bv, hv): the nodes of both versions by path; those that cannot be compared, and all
     below them, left out (see uncompared)."""
-    odd = settled(uncompared(base, head).select("template_id", "path"))
+    return _compared(base, head, settled(uncompared(base, head)))
+
+
+def _compared(base: DataFrame, head: DataFrame, odd: DataFrame) -> DataFrame:
     sides = [df.where("vtype != 'error'").select("template_id", "path", F.lit(True).alias(s), F.col("vtype").alias(f"{s}t"), F.col("sval").alias(f"{s}v")) for df, s in ((base, "b"), (head, "h"))]
     both = sides[0].join(sides[1], ["template_id", "path"], "full")
     if not odd.take(1):
         return both
+    odd = odd.select("template_id", "path")
     held = both.join(odd.select("template_id").distinct(), "template_id", "left_semi")  # only these templates' nodes are looked through
     below = held.select("template_id", "path", F.explode(F.concat(_above(F.col("path"), 0), F.array("path"))).alias("up")).join(odd.withColumnRenamed("path", "up"), ["template_id", "up"], "left_semi").select("template_id", "path").distinct()
     return both.join(below, ["template_id", "path"], "left_anti")
 
 
+def _one_sided(base: DataFrame, head: DataFrame, odd: DataFrame) -> DataFrame:
+    """(template_id, change, type): resources that can't be compared and stand in one version only, as if they were removed or added;
+    the type is null where it is not told by one text."""
+    names = odd.where((F.size("path") == 2) & (_key(0) == "Resources")).select("template_id", F.col("path").alias("owner")).distinct()
+
+    def side(df: DataFrame, change: str) -> DataFrame:
+        own = df.where((F.size("path").isin(2, 3)) & (_key(0) == "Resources")).withColumn("owner", F.slice("path", 1, 2)).join(names, ["template_id", "owner"], "left_semi")
+        kinds = F.collect_set(F.when((F.size("path") == 3) & (_key(2) == "Type") & ~F.col("dup_key"), F.when(F.col("vtype") == "str", F.col("sval")))).alias("kinds")
+        return own.groupBy("template_id", "owner").agg(kinds, F.bool_or((F.size("path") == 2) & F.col("dup_key")).alias("again")).select("template_id", "owner", F.lit(change).alias("change"), F.when((F.size("kinds") == 1) & ~F.col("again"), F.col("kinds")[0]).alias("type"))
+
+    both = side(base, "removed").unionByName(side(head, "added"))
+    alone = both.groupBy("template_id", "owner").agg(F.count_distinct("change").alias("n")).where("n = 1").select("template_id", "owner")
+    return both.join(alone, ["template_id", "owner"], "left_semi").select("template_id", "change", "type")
+
+
 def uncompared(base: DataFrame, head: DataFrame) -> DataFrame:
     """(template_id, path, reason): the topmost nodes of either version under a repeated key, or with a time stamp."""
     odd = base.unionByName(head).where("dup_key or vtype = 'timestamp'")
@@ -78,10 +97,11 @@ def changes(base: DataFrame, head: DataFrame, most: int = MOST) -> DataFrame:
 
     Entries are compared node by node; a section that has no entries, and an attribute of a resource that is not known, is
     one unit; so is a resource whose type changes. Of what is added, removed or modified only the topmost is told.
-    Qualifiers tell of what stands in a unit or around it; a hint tells of a resource removed and one added of one type. A
-    template of more than `most` changes has failed. Node tables have the columns of sources.templates.nodes.
+    Qualifiers tell of what stands in a unit or around it; a hint tells of a resource removed and one added of one type, or of any
+    type where the other one can't be compared and has no type that is known. A template of more than `most` changes has failed. Node tables have the columns of sources.templates.nodes.
     """
-    both = settled(compared(base, head))
+    odd = settled(uncompared(base, head))
+    both = settled(_compared(base, head, odd))
     types = both.where((F.size("path") == 3) & (_key(0) == "Resources") & (_key(2) == "Type")).select("template_id", F.slice("path", 1, 2).alias("owner"), "bv", "hv", "bt", "ht")
     owners = both.where((F.size("path") == 2) & (_key(0) == "Resources") & (F.col("bt") == "map") & (F.col("ht") == "map")).select("template_id", F.col("path").alias("owner"))
     turned = types.where(~(F.col("bv").eqNullSafe(F.col("hv")) & F.col("bt").eqNullSafe(F.col("ht")))).join(owners, ["template_id", "owner"], "left_semi").select("template_id", "owner", F.lit(True).alias("turned"))
@@ -117,9 +137,12 @@ def changes(base: DataFrame, head: DataFrame, most: int = MOST) -> DataFrame:
 
     ends = out.where((F.col("section") == "Resources") & (F.size("path") == 2) & (F.col("change") != "modified"))
     kinds = both.where((F.size("path") == 3) & (_key(0) == "Resources") & (_key(2) == "Type")).select("template_id", F.slice("path", 1, 2).alias("path"), F.coalesce("bv", "hv").alias("type"))
-    ends = ends.join(kinds, ["template_id", "path"]).select("template_id", "path", "change", "type")
-    other = ends.select("template_id", "type", F.when(F.col("change") == "added", "removed").otherwise("added").alias("change")).distinct()
-    hinted = ends.join(other, ["template_id", "type", "change"], "left_semi").select("template_id", "path", F.lit("possible_logical_id_rename").alias("hint"))
+    ends = ends.join(kinds, ["template_id", "path"], "left").select("template_id", "path", "change", "type")
+    alone = _one_sided(base, head, odd) if odd.where((F.size("path") == 2) & (_key(0) == "Resources")).take(1) else ends.select("template_id", "change", "type").where("false")
+    across = F.when(F.col("change") == "added", "removed").otherwise("added").alias("change")
+    other = ends.select("template_id", "change", "type").unionByName(alone).select("template_id", "type", across).distinct()
+    hinted = ends.join(other, ["template_id", "type", "change"], "left_semi").select("template_id", "path").unionByName(ends.join(alone.where("type is null").select("template_id", across), ["template_id", "change"], "left_semi").select("template_id", "path"))
+    hinted = hinted.select("template_id", "path", F.lit("possible_logical_id_rename").alias("hint")).distinct()
     counts = out.groupBy("template_id").agg(F.count("*").alias("n"))
     return out.join(hinted, ["template_id", "path"], "left").join(counts, "template_id").select(*out.columns, "hint", (F.col("n") > most).alias("failed"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import canonical, records
+from siltstone.operators import canonical, excerpts, records
 from siltstone.plans.settle import settled
 from siltstone.rules import reports
 from siltstone.rules.findings import SEVERITIES, SOURCES, TYPES
@@ -321,3 +321,28 @@ def template_exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     text = F.coalesce(*[F.when(k % 5 == i, t) for i, t in enumerate(texts)])
     return Review(_table(spark, sf_dir, "part").select(k.cast("string").alias("template_id"), text.alias("text")), ()).exit_status()
+
+
+_DEEP = 12
+
+
+@sql(
+    f"""WITH o AS (SELECT o_custkey AS id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+p AS (SELECT c_custkey AS id, repeat(c_mktsegment, 5 + c_custkey % 40) AS t FROM customer WHERE c_custkey IN (SELECT id FROM o))
+SELECT id::VARCHAR AS template_id, 'L' AS place, 'list' AS vtype, NULL AS sval FROM p UNION ALL SELECT id::VARCHAR, 'L/' || (i - 1), 'int', k::VARCHAR FROM o WHERE i <= 10
+UNION ALL SELECT DISTINCT id::VARCHAR, 'L/10', 'str', '... [omitted: ' || (n - 10) || CASE WHEN n = 11 THEN ' item' ELSE ' items' END || ' more]' FROM o WHERE n > 10
+UNION ALL SELECT id::VARCHAR, 'M', 'map', NULL FROM p UNION ALL SELECT id::VARCHAR, 'M/k' || k, 'list', NULL FROM o WHERE i <= 20 UNION ALL SELECT id::VARCHAR, 'M/k' || k || '/0', 'int', i::VARCHAR FROM o WHERE i <= 20
+UNION ALL SELECT DISTINCT id::VARCHAR, 'M/__omitted__', 'str', '[omitted: ' || (n - 20) || CASE WHEN n = 21 THEN ' key' ELSE ' keys' END || ' more]' FROM o WHERE n > 20
+UNION ALL SELECT id::VARCHAR, 'T', 'str', CASE WHEN length(t) > 200 THEN t[1:200] || '... [truncated]' ELSE t END FROM p
+UNION ALL SELECT id::VARCHAR, 'D' || repeat('/0', d), CASE WHEN d < 10 THEN 'list' ELSE 'str' END, CASE WHEN d = 10 THEN '[omitted: sequence with 1 item]' END FROM p, (SELECT unnest(range(11)) AS d)"""
+)
+def bounded_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Excerpts of documents of customers' orders: a list and a mapping of them, a long text, and lists in lists."""
+    ranked = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    rows = ranked.join(_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    entries = F.array_join(F.transform("keys", lambda x, i: F.concat(F.lit('"k'), x.cast("string"), F.lit('": ['), (i + 1).cast("string"), F.lit("]"))), ", ")
+    text = F.expr("repeat(c_mktsegment, cast(5 + c_custkey % 40 as int))")
+    body = F.concat(F.lit('{"Resources": {"R": {"Properties": {"L": ['), F.array_join(F.transform("keys", lambda x: x.cast("string")), ", "), F.lit('], "M": {'), entries, F.lit('}, "T": "'), text, F.lit('", "D": ' + "[" * _DEEP + '"x"' + "]" * _DEEP + "}}}}"))
+    table = settled(templates.nodes(rows.select(F.col("c_custkey").cast("string").alias("template_id"), body.alias("text"))))
+    found = excerpts.bounded(table, 4)
+    return found.select("template_id", F.array_join(F.slice("path", 4, 100), "/").alias("place"), "vtype", "sval")

@@ -69,7 +69,8 @@ def _props(relations: Relations) -> DataFrame:
 
 
 def statements(relations: Relations) -> DataFrame:
-    """(template_id, logical_id, kind, doc, stmt, effect): doc and stmt are places; one row a statement and branch."""
+    """(template_id, logical_id, kind, doc, stmt, effect): doc and stmt are places; one row a statement and branch. A statement
+    that tells no effect has none, and is no detector's."""
     spark = relations.nodes.sparkSession
     sites = F.broadcast(spark.createDataFrame(SITES, "type string, site string, kind string"))
     props = _props(relations)
@@ -79,7 +80,7 @@ def statements(relations: Relations) -> DataFrame:
     found = maps.withColumn("doc", doc).where((F.col("doc") != "") & shape.rlike(r"/Statement(/\*)*$") & (F.regexp_replace(shape, r"/Statement(/\*)*$", "") == F.col("site")))
     roots = found.select("template_id", "logical_id", "kind", "doc", F.col("place").alias("stmt"))
     effect = props.where(F.col("place").rlike(r"/Effect$")).select("template_id", "logical_id", F.regexp_replace("place", "/Effect$", "").alias("stmt"), F.lower(F.trim("sval")).alias("effect"))
-    return roots.join(effect, ["template_id", "logical_id", "stmt"])
+    return roots.join(effect, ["template_id", "logical_id", "stmt"], "left")
 
 
 def candidates(relations: Relations, stmts: DataFrame) -> DataFrame:

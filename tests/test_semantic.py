@@ -42,3 +42,20 @@ def test_counters_tell_zeros(spark):
     rows = spark.createDataFrame([("head_only", "New"), ("head_only", "New"), ("matched", "Unchanged")], "observation string, classification string")
     got = {(r.observation, r.classification): r.n for r in delta.counters(rows).collect()}
     assert got["head_only", "New"] == 2 and got["matched", "Unchanged"] == 1 and sum(got.values()) == 3 and len(got) == 13
+
+
+def hints(spark, base, head):
+    return sorted("/".join(r.path) for r in semantic.changes(*sides(spark, base, head)).where("hint is not null").collect())
+
+
+def test_ends_that_cannot_be_compared_hint_at_renames(spark):
+    known = "Resources:\n  B: {Type: T}\n  C: {Type: U}"
+    assert hints(spark, "Resources:\n  A: {Type: T}\n  C: {Type: U}", known) == ["Resources/A", "Resources/B"]
+    assert hints(spark, "Resources:\n  A: {Type: V}\n  C: {Type: U}", known) == []
+    # a resource that stands twice has no type that is known: it may be any
+    assert hints(spark, "Resources:\n  A: {Type: V}\n  A: {Type: W}\n  C: {Type: U}", known) == ["Resources/B"]
+    assert hints(spark, "Resources:\n  A: 2001-01-01 00:00:00\n  C: {Type: U}", known) == ["Resources/B"]
+    # it is no end where it stands on either side
+    assert hints(spark, "Resources:\n  A: {Type: V}\n  A: {Type: W}\n  C: {Type: U}", known + "\n  A: {Type: V}") == []
+    # a type that is no text pairs with nothing but what may be any
+    assert hints(spark, "Resources:\n  A: {Type: [T]}\n  C: {Type: U}", "Resources:\n  B: {Type: [T]}\n  C: {Type: U}") == []
