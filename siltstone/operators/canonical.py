@@ -78,6 +78,25 @@ def text(value: Column, kind: T.DataType, indent: int | None = None, ascii_only:
     return F.coalesce(out, F.lit("null"))
 
 
+def least_bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes that the text of a value can't have fewer of, counted without rendering any of it: lengths, keys and separators alone.
+    Escapes and indents only add to it."""
+    total = lambda parts: F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    if isinstance(kind, T.StringType):
+        out = F.octet_length(value).cast("bigint") + 2
+    elif isinstance(kind, T.ArrayType):
+        out = total(F.transform(value, lambda x: least_bytes(x, kind.elementType) + 1)) + 1 + (F.size(value) == 0).cast("bigint")
+    elif isinstance(kind, T.MapType):
+        out = total(F.transform(F.map_entries(value), lambda e: F.octet_length(e["key"]) + 4 + least_bytes(e["value"], kind.valueType))) + 1 + (F.size(value) == 0).cast("bigint")
+    elif isinstance(kind, T.StructType) and kind.names == [RAW]:
+        return F.coalesce(F.octet_length(value[RAW]).cast("bigint"), F.lit(4).cast("bigint"))
+    elif isinstance(kind, T.StructType):
+        out = F.when(value.isNotNull(), sum((least_bytes(value[f.name], f.dataType) + len(f.name.encode()) + 4 for f in kind.fields), F.lit(1 + (not kind.fields)).cast("bigint")))
+    else:
+        out = F.octet_length(value.cast("string")).cast("bigint")
+    return F.coalesce(out, F.lit(4).cast("bigint"))
+
+
 def of(df: DataFrame, column: str, indent: int | None = None, ascii_only: bool = False) -> Column:
     """The canonical text of a column of df, by the type it has there."""
     return text(F.col(column), df.schema[column].dataType, indent, ascii_only)

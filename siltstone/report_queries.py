@@ -161,6 +161,23 @@ def report_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built_of_orders(spark, sf_dir).select("report_id", "refused", F.sha2("text", 256).alias("digest"), F.octet_length("text").alias("n_bytes"))
 
 
+_MOST = 12_000
+_LONG = _json({"error_class": f"'\"{reports.TOO_LONG}\"'", "source": "'null'", "tool": "'null'", "exit_code": "'null'", "message": f"'\"the report is longer than {_MOST} bytes\"'", "required_min_version": "'null'", "detected_version": "'null'", "remediation": "'null'", "stderr_head": "'[]'"}, 2, 2)
+
+
+@sql(
+    f"""WITH {_REPORTS},
+sized AS (SELECT *, CASE WHEN refused IS NOT NULL THEN 'refused' WHEN strlen(text) > {_MOST} THEN 'minimal' ELSE 'whole' END AS state FROM texts),
+cut AS (SELECT report_id, state, text[:strpos(text, '"errors": [') - 1] AS before, text[strpos(text, '"errors": ['):strpos(text, '"findings": [') - 1] AS errors, text[strpos(text, '  "schema_version"'):] AS after, text FROM sized)
+SELECT report_id, state, CASE state WHEN 'whole' THEN sha256(text) WHEN 'minimal' THEN
+  sha256(before || CASE WHEN starts_with(errors, '"errors": []') THEN '"errors": [' || chr(10) || '    ' || {_LONG} || chr(10) || '  ],' || chr(10) || '  ' ELSE replace(errors, chr(10) || '  ],', ',' || chr(10) || '    ' || {_LONG} || chr(10) || '  ],') END || '"findings": [],' || chr(10) || after) END AS digest FROM cut"""
+)
+def report_texts_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's report within a bound: whole, or without its findings where it would be longer."""
+    found = reports.within(built_of_orders(spark, sf_dir).drop("text"), _MOST)
+    return found.select("report_id", "state", F.sha2("text", 256).alias("digest"))
+
+
 def spoilt(text: Column, how: Column) -> Column:
     """The bytes of a report's text, spoilt in one of eight ways, or not."""
     twice = F.replace(text, F.lit('"schema_version": "1.0.0"'), F.lit('"schema_version": "1.0.0",\n  "schema_version": "1.0.0"'))

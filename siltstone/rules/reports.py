@@ -187,6 +187,31 @@ def dumped(reports: DataFrame) -> DataFrame:
     return reports.withColumn("text", F.when(F.col("report").isNotNull(), whole))
 
 
+#: Bytes of a report's text at most.
+MOST_BYTES = 128 << 20
+TOO_LONG = "output_size_limit_exceeded"
+
+
+def within(reports: DataFrame, most: int = MOST_BYTES) -> DataFrame:
+    """(report_id, state, text): dumped() reports of at most `most` bytes as they are (whole); of a longer one what it is about, its tools,
+    errors and counts, with one more error and no findings (minimal).
+
+    Whether a report is longer is told from its parts' lengths where that suffices, so that it is never rendered; only reports near
+    the bound are rendered and then measured. Refused reports have no text and are refused.
+    """
+    kind = reports.schema["report"].dataType
+    rows = reports.withColumn("near", canonical.least_bytes(F.col("report"), kind) < most)
+    near = dumped(rows.where("near and report is not null")).withColumn("fits", F.octet_length("text") <= most)
+    far = rows.where("not near and report is not null").withColumns({"text": F.lit(None).cast("string"), "fits": F.lit(False)})
+    tried = near.unionByName(far)
+    values = {"error_class": F.lit(TOO_LONG), "message": F.lit(f"the report is longer than {most} bytes"), "stderr_head": F.array().cast("array<string>")}
+    error = F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ERROR.fields])
+    less = F.col("report").withField("findings", F.array().cast(kind["findings"].dataType)).withField("errors", F.array_append("report.errors", error))
+    long = dumped(tried.where("not fits").select("report_id", "refused", less.alias("report")))
+    out = tried.where("fits").select("report_id", F.lit("whole").alias("state"), "text").unionByName(long.select("report_id", F.lit("minimal").alias("state"), "text"))
+    return out.unionByName(rows.where("report is null").select("report_id", F.lit("refused").alias("state"), F.lit(None).cast("string").alias("text")))
+
+
 def exit_status(reviews: DataFrame, failures: DataFrame) -> DataFrame:
     """(review_id, exit_status): 0 if any template was reviewed and any source succeeded, else the first failure's code.
 

@@ -169,3 +169,42 @@ def test_exit_status(spark):
     reviews = spark.createDataFrame([(1, True, True), (2, True, False), (3, None, True), (4, False, False)], "review_id int, reviewed boolean, succeeded boolean")
     failures = spark.createDataFrame([(1, 0, 4), (2, 2, 6), (2, 0, 0), (2, 1, 5), (3, 0, 8)], "review_id int, seq int, code int")
     assert {r.review_id: r.exit_status for r in reports.exit_status(reviews, failures).collect()} == {1: 0, 2: 5, 3: 8, 4: 0}
+
+
+def test_least_bytes_bound_the_text(spark):
+    rng = random.Random(8)
+    rows = [some(KIND, rng) for _ in range(200)]
+    held = [(i, r and r | {"n": None if r["n"] is None else Decimal(r["n"])}) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(held, T.StructType().add("i", T.IntegerType()).add("v", KIND))
+    got = df.select("v", canonical.least_bytes(F.col("v"), KIND).alias("least"), F.octet_length(canonical.of(df, "v")).alias("real")).collect()
+    escaped = ('"\\', "\\", "\n", "\x00", '"')
+    for r in got:
+        assert r.least <= r.real
+        if not any(c in str(r.v) for c in ("\\", "\x00")) and not any(e in str(r.v) for e in escaped):
+            assert r.least == r.real
+
+
+def test_reports_within_a_bound(spark):
+    meta = spark.createDataFrame([(1, ["a"], ["cfn-lint"], False, "ran", []), (2, ["a"], ["cfn-lint"], False, "ran", []), (3, ["/a"], ["cfn-lint"], False, "ran", [])], "report_id int, files array<string>, sources_enabled array<string>, cdk_detected boolean, cdk_synthesis string, synthesized array<string>")
+    rows = []
+    for i in range(9):
+        f = finding(Resource=f"R{i}")
+        f.pop("ID")
+        f["Location"] = f["Location"] | {"TemplatePath": None}
+        rows.append((1 if i < 8 else 2, f))
+    findings = spark.createDataFrame(rows, T.StructType().add("report_id", T.IntegerType()).add("f", reports.FINDING)).select("report_id", "f.*")
+    errors = spark.createDataFrame([], T.StructType([T.StructField("report_id", T.IntegerType()), T.StructField("seq", T.IntegerType()), *reports.ERROR.fields]))
+    tools = spark.createDataFrame([], T.StructType([T.StructField("report_id", T.IntegerType()), *reports.TOOL.fields]))
+    made = reports.built(meta, findings, errors, tools)
+    whole = {r.report_id: r.text for r in reports.dumped(made).collect()}
+    for most, states in ((10**6, ["whole", "whole", "refused"]), (len(whole[1]) - 1, ["minimal", "whole", "refused"]), (len(whole[2]), ["minimal", "whole", "refused"]), (10, ["minimal", "minimal", "refused"])):
+        got = reports.within(made, most).orderBy("report_id").collect()
+        assert [r.state for r in got] == states
+        for r in got:
+            if r.state == "whole":
+                assert r.text == whole[r.report_id]
+            elif r.state == "minimal":
+                body = json.loads(r.text)
+                assert body["findings"] == []
+                assert body["errors"][-1]["error_class"] == reports.TOO_LONG
+                assert body["summary"] == json.loads(whole[r.report_id])["summary"]
