@@ -72,7 +72,8 @@ def text(value: Column, kind: T.DataType, indent: int | None = None, ascii_only:
     elif isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
         pairs = F.array(*[F.concat(quoted(F.lit(f.name), ascii_only), F.lit(colon), deeper(value[f.name], f.dataType)) for f in fields])
-        out = F.when(value.isNotNull(), wrapped(pairs, "{}")) if fields else F.when(value.isNotNull(), F.lit("{}"))
+        body = F.concat(F.lit("{" + inner), F.array_join(pairs, "," + inner), F.lit(outer + "}")) if fields else F.lit("{}")  # its parts are read once
+        out = F.when(value.isNotNull(), body)
     else:
         raise ValueError(f"no canonical text of {kind.simpleString()}")
     return F.coalesce(out, F.lit("null"))

