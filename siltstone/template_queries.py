@@ -269,11 +269,11 @@ def review_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @sql(
     f"""WITH {_PARTS}, r AS (SELECT * FROM ({_PROPERTY})), {_MERGED}
     SELECT t.template_id, count(m.template_id) AS total, {', '.join(f"count(*) FILTER (m.severity = '{s}') AS n_{s.lower()}" for s in findings.SEVERITIES)},
-      {', '.join(f"count(*) FILTER (m.type = '{k}') AS n_{k.lower()}" for k in findings.TYPES)}, count(m.template_id) = 0 AS passed
+      {', '.join(f"count(*) FILTER (m.type = '{k}') AS n_{k.lower()}" for k in findings.TYPES)}, count(m.template_id) = 0 AS passed, CASE WHEN count(*) FILTER (m.severity IN ('HIGH', 'CRITICAL')) > 0 THEN 1 ELSE 0 END AS exit_status
     FROM (SELECT DISTINCT template_id FROM t) t LEFT JOIN m ON m.template_id = t.template_id GROUP BY t.template_id"""
 )
 def review_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of a template's merged findings by severity and type, zeros told, and whether it passes."""
+    """Counts of a template's merged findings by severity and type, zeros told, whether it passes, and the exit status of a gate."""
     templates = made.templates(spark, sf_dir, "parts")
     merged = findings.merged(settled(Review(templates, ("properties",)).raw()))
     return findings.summaries(merged, templates.select("template_id"))

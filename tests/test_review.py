@@ -119,3 +119,10 @@ def test_first_cycle_of_several(spark):
     text = "Resources:\n" + "\n".join(f"  {a}: {q % b}" for a, b in (("S", "C"), ("A", "B"), ("B", "A"), ("C", "D"), ("D", "C")))
     rows = [r for r in Review(spark.createDataFrame([("t", text)], "template_id string, text string"), ("quality",)).raw().collect() if r.rule_id == "circular_dependency"]
     assert len(rows) == 1 and rows[0].resource == "C" and rows[0].finding.startswith("C -> D -> C")
+
+
+def test_summaries_tell_the_exit_status_of_a_gate(spark):
+    rows = [("a", "HIGH"), ("a", "LOW"), ("b", "MEDIUM"), ("c", "CRITICAL")]
+    found = spark.createDataFrame(rows, "template_id string, severity string").selectExpr("*", "'Security' AS type")
+    out = findings.summaries(found, spark.createDataFrame([(x,) for x in "abcd"], "template_id string"))
+    assert {r.template_id: (r.total, r.passed, r.exit_status) for r in out.collect()} == {"a": (2, False, 1), "b": (1, False, 0), "c": (1, False, 1), "d": (0, True, 0)}
