@@ -1,6 +1,8 @@
 """Ids of directories against a fold in plain Python, clauses against plain search."""
 
+import base64
 import hashlib
+import json
 import random
 
 import pytest
@@ -110,3 +112,12 @@ def test_clauses_stand_where_a_plain_search_finds_them(spark, monkeypatch, autom
         parts = [p for p in marked.split("\0") if p]
         said = ["".join(ch for ch in p if ch not in clauses.SPARED) for p in parts]
         assert left[source] == (len(parts), " ".join(s for s in said if s))
+
+
+def test_an_answer_of_a_file_on_neither_side_fails_for_its_source(spark):
+    c = "a" * 40
+    raw = json.dumps({"content": base64.b64encode(b"x").decode(), "sha": object_id(b"blob", b"x"), "encoding": "base64", "path": "p"}).encode()
+    answers = spark.createDataFrame([(1, 1, "API", "COMPLETE", f"/repos/o/r/contents/p?ref={c}", raw)], "answer_id int, tree_id int, source_type string, completeness string, endpoint string, raw binary")
+    none = spark.createDataFrame([], "tree_id int, path string, content binary")
+    out = artifacts.published(answers, spark.createDataFrame([(1, c, "MATCH")], "tree_id int, commit string, status string"), none, none).first()
+    assert (out.status, out.reason) == ("FAILED", "served_bytes_differ_from_approved_source")
