@@ -115,3 +115,12 @@ def test_listings_without_lengths_and_empty_ones(spark):
     got = {(r.review_id, r.path): (r.running, r.state) for r in listing.candidates(spark.createDataFrame(rows, schema)).collect()}
     assert got == {(1, "a.json"): (0, "taken"), (1, "b.json"): (6 << 20, "too_large"), (2, "x.YAML"): (5 << 20, "taken")}
     assert listing.candidates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_texts_of_one_file_are_parsed_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    monkeypatch.setattr(templates, "TASK_BYTES", 1000)
+    one = spark.range(200).selectExpr("cast(id as string) AS template_id", """concat('{"a": ', id, '}') AS text""").coalesce(1)
+    table = templates.nodes(one)
+    assert table.rdd.getNumPartitions() >= 2 and table.count() == 400 and table.select("template_id").distinct().count() == 200
+    assert templates.structures(one).rdd.getNumPartitions() >= 2
+    assert templates.nodes(one.where("false")).count() == 0
