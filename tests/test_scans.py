@@ -31,3 +31,9 @@ def test_a_repeated_key_is_marked_at_its_last_place_in_wide_mappings(spark):
     text = "{" + ", ".join(f"{json.dumps(k)}: {i}" for i, k in enumerate([*keys, "k7"])) + "}"
     table = nodes(spark.createDataFrame([("t", text)], "template_id string, text string"))
     assert [(r.path, r.sval) for r in table.where("dup_key").collect()] == [(["k7"], "20000")] and table.count() == 20_001
+
+
+def test_statements_are_grouped_without_joins_of_their_parts(spark):
+    relations = _relations(spark, "policies")
+    assert _plan(iam.judged(relations)).count("Join ") <= 2  # sites, and values of parameters
+    assert _plan(iam.findings(relations)).count("Join ") == 0
