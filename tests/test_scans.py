@@ -37,3 +37,7 @@ def test_statements_are_grouped_without_joins_of_their_parts(spark):
     relations = _relations(spark, "policies")
     assert _plan(iam.judged(relations)).count("Join ") <= 2  # sites, and values of parameters
     assert _plan(iam.findings(relations)).count("Join ") == 0
+
+
+def test_quality_rules_read_the_nodes_three_times_and_what_is_told_of_parameters_apart(spark):
+    assert _reads(quality.findings(_relations(spark, "templates")), "path", "dup_key") <= 3 + 4
