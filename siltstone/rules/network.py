@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.plans.settle import settled
 from siltstone.sources.templates import Relations
 
 
-def row(rule: str, severity: str, category: str, kind: str, source: str, text: Column, resource: str = "logical_id") -> list:
+def row(rule: str | Column, severity: str | Column, category: str, kind: str | Column, source: str, text: Column, resource: str = "logical_id") -> list:
     """The columns of a confirmed finding."""
     fixed = {"category": category, "type": kind, "severity": severity, "confidence": "Confirmed", "source": source, "rule_id": rule}
     return ["template_id", F.col(resource).alias("resource"), *[F.lit(x).alias(c) for c, x in fixed.items()], text.alias("finding")]
@@ -17,7 +18,7 @@ def row(rule: str, severity: str, category: str, kind: str, source: str, text: C
 def findings(relations: Relations) -> DataFrame:
     """Detached gateways, tables without a default route, reachable databases, orphaned route tables."""
     net = lambda rule, severity, text: row(rule, severity, "NetworkSecurity", "Security", "Network Review", F.concat("logical_id", F.lit(text)))
-    res, edges = relations.resources, relations.edges()
+    res, edges = relations.resources, settled(relations.edges())
     of = lambda t: res.where(F.col("type") == f"AWS::EC2::{t}").select("template_id", "logical_id")
     sources = lambda df: edges.join(df.select("template_id", F.col("logical_id").alias("src")), ["template_id", "src"], "left_semi").select("template_id", F.col("dst").alias("logical_id"))
     gateways = of("InternetGateway")

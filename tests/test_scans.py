@@ -41,3 +41,7 @@ def test_statements_are_grouped_without_joins_of_their_parts(spark):
 
 def test_quality_rules_read_the_nodes_three_times_and_what_is_told_of_parameters_apart(spark):
     assert _reads(quality.findings(_relations(spark, "templates")), "path", "dup_key") <= 3 + 4
+
+
+def test_network_rules_read_the_nodes_for_two_properties_only(spark):
+    assert _reads(network.findings(_relations(spark, "templates")), "path", "dup_key") == 2
