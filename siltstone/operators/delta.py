@@ -52,8 +52,8 @@ def entries(base: DataFrame, head: DataFrame, tools: DataFrame, declared: Column
     sound: whether both reports agree with themselves; matching: whether they belong to their templates.
     """
     key = ["template_id", "resource", "category", "source"]
-    known = lambda df: df.select(*key, "finding").withColumn("fp", fingerprint([*key, "finding"]))
-    rows = delta(known(base), known(head), key, "fp", F.col("resource").isNotNull() & (F.col("category") != "Other"))
+    known = lambda df: df.select(*key, "finding")
+    rows = delta(known(base), known(head), key, "finding", F.col("resource").isNotNull() & (F.col("category") != "Other"))
     rows = rows.join(comparable(tools), "source", "left")
     none = F.lit(False)
     if files is not None:
@@ -77,12 +77,12 @@ def entries(base: DataFrame, head: DataFrame, tools: DataFrame, declared: Column
         "report_integrity_failed": F.lit(not sound),
         "template_report_mismatch": F.lit(not matching),
     }
-    held = F.concat(F.coalesce("reasons", F.array().cast("array<string>")), F.array_compact(F.array(*[F.when(v, k) for k, v in own.items()])))
-    ordered = F.filter(F.array(*map(F.lit, REASONS)), lambda r: F.array_contains(F.col("why"), r))
+    of_tool = lambda r: F.coalesce(F.array_contains("reasons", r), none)
+    why = F.array_compact(F.array(*[F.when(own.get(r, none) | of_tool(r), r) for r in REASONS]))  # each is asked for once, in order
     alone = ~F.col("stage").isin("identity", "fingerprint")
     observation = F.when(~alone, "matched").when(F.col("stage") == "only", F.concat("side", F.lit("_only"))).otherwise("unmatched")
     sure = F.lit(True) if declared is None else declared
-    rows = rows.withColumn("why", held).withColumn("why", ordered).withColumn("observation", observation).where(alone | (F.col("side") == "head"))
+    rows = rows.withColumn("why", why).withColumn("observation", observation).where(alone | (F.col("side") == "head"))
     found = F.when(~alone, "Unchanged").when(F.size("why") > 0, "Ambiguous").when(~sure, "Unconfirmed").when(F.col("side") == "head", "New").otherwise("Resolved")
     reasons = F.when(~alone, F.array().cast("array<string>")).when((F.size("why") == 0) & ~sure, F.array(F.lit(UNDECLARED))).otherwise(F.col("why"))
     return rows.select(*key, "finding", "observation", found.alias("classification"), reasons.alias("reasons"))

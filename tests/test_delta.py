@@ -34,3 +34,12 @@ def test_an_unavailable_tool_never_makes_new_or_resolved(spark):
         got = delta.entries(base, head, t).collect()
         assert not {r.classification for r in got} & {"New", "Resolved"}
         assert all(r.reasons for r in got if r.classification == "Ambiguous")
+
+
+def test_entries_compare_findings_themselves_and_ask_for_each_reason_once(spark):
+    rows = spark.createDataFrame([("t", "r", "IAM", "S", "x")], "template_id string, resource string, category string, source string, finding string")
+    tools = spark.createDataFrame([("base", "S", True, "1", True, False)], "side string, source string, available boolean, version string, enabled boolean, failed boolean")
+    found = delta.entries(rows, rows.where("false"), tools)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "array_contains(why" not in plan and plan.count("identity_undetermined") <= 3
+    assert [(r.classification, r.reasons) for r in found.collect()] == [("Ambiguous", ["source_not_comparable"])]
