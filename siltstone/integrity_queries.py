@@ -47,7 +47,7 @@ def revisions_of_orders(orders: DataFrame) -> DataFrame:
     """A revision an order, in the store of its customer."""
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     rows = orders.select(F.col("o_custkey").alias("store"), F.col("o_orderkey").alias("revision"), F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), before.alias("p"))
-    return settled(rows.select("store", "revision", *[F.expr(e).alias(c) for c, e in _REVISION.items()]))
+    return rows.select("store", "revision", *[F.expr(e).alias(c) for c, e in _REVISION.items()])
 
 
 #: States one after the other, as SQL tells them.

@@ -74,3 +74,17 @@ def test_blocks_by_shuffle_and_empty_tables(spark, monkeypatch):
     assert got["W1"] == ("NOT_PROVEN", "no_evidence_named")
     assert got["OVERALL"][0] == "NOT_PROVEN"
     assert len(got) == 15
+
+
+def test_checks_are_not_kept_a_row_each_before_their_verdict(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(integrity, "settled", lambda df: kept.append(set(df.columns)) or df)
+    requests = spark.createDataFrame([(1, "a", "e", "API", None, True), (2, "b", None, "API", None, True)], "request_id int, store string, evidence_id string, source_type string, subject_commit string, require_complete boolean")
+    statuses = spark.createDataFrame([("a", 1, "VALID")], "store string, revision long, status string")
+    findings = spark.createDataFrame([("b", 1, "V2", "x"), ("b", 1, "V2", "a")], "store string, revision long, check_id string, code string")
+    columns = "store string, revision long, evidence_id string, source_type string, capture_id string, page_index int, has_next boolean, pagination_complete boolean, http_status int, body string, body_recorded boolean, completeness string, subject_commit string, scanned boolean, storable boolean"
+    envelopes = spark.createDataFrame([("a", 1, "e", "API", "c", 1, False, True, 200, "json", True, "COMPLETE", None, True, True)], columns)
+    got = {(r.request_id, r.check_id): (r.status, r.reasons) for r in integrity.validated(requests, statuses, findings, envelopes).collect()}
+    assert len(got) == 30 and not any({"check_id", "reasons"} <= columns for columns in kept)
+    assert got[1, "OVERALL"] == ("PASS", "") and got[1, "V9"] == ("NOT_APPLICABLE", "no_sanitized_evidence_type") and got[1, "V5"] == ("PASS", "")
+    assert got[2, "V2"] == ("FAILED", "a,x") and got[2, "OVERALL"][0] == "FAILED" and got[2, "V5"] == ("NOT_PROVEN", "store_integrity_not_verified")
