@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,7 @@ DYNAMIC = "{{resolve:"
 QUALIFIERS = ("expression_unevaluated", "conditional", "dynamic_reference_unresolved", "external_value", "pre_transform")
 #: Changes of a template from which its comparison counts as failed.
 MOST = 200_000
+_NODE = ("template_id", "path", "vtype", "sval")
 
 
 def _key(i: int) -> Column:
@@ -35,8 +39,11 @@ def compared(base: DataFrame, head: DataFrame) -> DataFrame:
 
 
 def _compared(base: DataFrame, head: DataFrame, odd: DataFrame) -> DataFrame:
-    sides = [df.where("vtype != 'error'").select("template_id", "path", F.lit(True).alias(s), F.col("vtype").alias(f"{s}t"), F.col("sval").alias(f"{s}v")) for df, s in ((base, "b"), (head, "h"))]
-    both = sides[0].join(sides[1], ["template_id", "path"], "full")
+    rows = base.select(*_NODE, F.lit(False).alias("new")).unionByName(head.select(*_NODE, F.lit(True).alias("new"))).where("vtype != 'error'")
+    rows = rows.repartition(base.rdd.getNumPartitions() + head.rdd.getNumPartitions(), "template_id")  # and there all that follows stays
+    of = lambda new, value: F.max(F.when(F.col("new") == new, value))
+    sides = [(of(new, F.lit(True)).alias(s), of(new, F.col("vtype")).alias(f"{s}t"), of(new, F.col("sval")).alias(f"{s}v")) for new, s in ((False, "b"), (True, "h"))]
+    both = rows.groupBy("template_id", "path").agg(*[column for pair in zip(*sides, strict=True) for column in pair])
     if not odd.take(1):
         return both
     odd = odd.select("template_id", "path")
@@ -89,22 +96,30 @@ def limitations(base: DataFrame, head: DataFrame) -> DataFrame:
         "dynamic_reference_unresolved": text & F.contains("sval", F.lit(DYNAMIC)),
     }
     held = F.array_compact(F.array(*[F.when(F.coalesce(v, F.lit(False)), k) for k, v in kinds.items()]))
-    return nodes.select("template_id", F.explode(held).alias("limitation")).distinct()
+    return nodes.where(reduce(or_, kinds.values())).select("template_id", F.explode(held).alias("limitation")).distinct()
 
 
-def changes(base: DataFrame, head: DataFrame, most: int = MOST) -> DataFrame:
+def changes(base: DataFrame, head: DataFrame, most: int = MOST, limits: DataFrame | None = None) -> DataFrame:
     """(template_id, section, path, change, type_changed, qualifiers, hint, failed) of two node tables.
 
     Entries are compared node by node; a section that has no entries, and an attribute of a resource that is not known, is
     one unit; so is a resource whose type changes. Of what is added, removed or modified only the topmost is told.
     Qualifiers tell of what stands in a unit or around it; a hint tells of a resource removed and one added of one type, or of any
-    type where the other one can't be compared and has no type that is known. A template of more than `most` changes has failed. Node tables have the columns of sources.templates.nodes.
+    type where the other one can't be compared and has no type that is known. A template of more than `most` changes has failed. Node tables have the columns of sources.templates.nodes and
+    should be settled: their nodes are compared in as many tasks as they have. limits are limitations() of both, if at hand.
     """
     odd = settled(uncompared(base, head))
     both = settled(_compared(base, head, odd))
-    types = both.where((F.size("path") == 3) & (_key(0) == "Resources") & (_key(2) == "Type")).select("template_id", F.slice("path", 1, 2).alias("owner"), "bv", "hv", "bt", "ht")
-    owners = both.where((F.size("path") == 2) & (_key(0) == "Resources") & (F.col("bt") == "map") & (F.col("ht") == "map")).select("template_id", F.col("path").alias("owner"))
-    turned = types.where(~(F.col("bv").eqNullSafe(F.col("hv")) & F.col("bt").eqNullSafe(F.col("ht")))).join(owners, ["template_id", "owner"], "left_semi").select("template_id", "owner", F.lit(True).alias("turned"))
+    # what is told of entries by themselves, their type and their condition: read once
+    resource, at = _key(0) == "Resources", F.size("path")
+    heads = both.where(resource & (at == 2) | _key(0).isin("Resources", "Outputs") & (at == 3) & _key(2).isin("Type", "Condition")).withColumn("owner", F.slice("path", 1, 2))
+    kind = resource & (at == 3) & (_key(2) == "Type")
+    heads = settled(heads.groupBy("template_id", "owner").agg(
+        F.bool_or(resource & (at == 2) & (F.col("bt") == "map") & (F.col("ht") == "map")).alias("held"),
+        F.max(F.when(kind, F.struct("bv", "hv", "bt", "ht"))).alias("kind"),
+        F.bool_or((at == 3) & (_key(2) == "Condition")).alias("gated"),
+    ))
+    turned = heads.where(F.col("held") & ~(F.col("kind.bv").eqNullSafe(F.col("kind.hv")) & F.col("kind.bt").eqNullSafe(F.col("kind.ht")))).select("template_id", "owner", F.lit(True).alias("turned"))
 
     differs = F.col("b").isNull() | F.col("h").isNull() | ~(F.col("bt").eqNullSafe(F.col("ht")) & F.col("bv").eqNullSafe(F.col("hv")))
     found = both.where(differs).withColumn("owner", F.slice("path", 1, 2)).join(turned, ["template_id", "owner"], "left")
@@ -120,9 +135,9 @@ def changes(base: DataFrame, head: DataFrame, most: int = MOST) -> DataFrame:
     marks = _marked(both)
     names = ("expression", "dynamic_reference", "external")
     inside = marks.withColumn("path", F.explode(F.concat(_above(F.col("path"), 1), F.array("path")))).groupBy("template_id", "path").agg(*[F.bool_or(n).alias(n) for n in names])
-    conditional = both.where((F.size("path") == 3) & _key(0).isin("Resources", "Outputs") & (_key(2) == "Condition")).select("template_id", F.slice("path", 1, 2).alias("owner"), F.lit(True).alias("gated")).distinct()
+    conditional = heads.where("gated").select("template_id", "owner", "gated")
     around = F.slice("path", 3, F.greatest(F.size("path") - 2, F.lit(0)))
-    transforms = limitations(base, head).where("limitation = 'transform_not_expanded'").select("template_id", F.lit(True).alias("pre_transform"))
+    transforms = (limitations(base, head) if limits is None else limits).where("limitation = 'transform_not_expanded'").select("template_id", F.lit(True).alias("pre_transform"))
     out = units.join(inside, ["template_id", "path"], "left").withColumn("owner", F.slice("path", 1, 2)).join(conditional, ["template_id", "owner"], "left").join(transforms, "template_id", "left")
     entry = _key(0).isin(*ENTRY_SECTIONS)
     flags = {
@@ -133,10 +148,10 @@ def changes(base: DataFrame, head: DataFrame, most: int = MOST) -> DataFrame:
         "pre_transform": F.col("pre_transform"),
     }
     qualifiers = F.array_join(F.array_compact(F.array(*[F.when(F.coalesce(flags[q], F.lit(False)), q) for q in QUALIFIERS])), ",")
-    out = out.select("template_id", _key(0).alias("section"), "path", "change", "type_changed", qualifiers.alias("qualifiers"))
+    out = settled(out.select("template_id", _key(0).alias("section"), "path", "change", "type_changed", qualifiers.alias("qualifiers")))
 
     ends = out.where((F.col("section") == "Resources") & (F.size("path") == 2) & (F.col("change") != "modified"))
-    kinds = both.where((F.size("path") == 3) & (_key(0) == "Resources") & (_key(2) == "Type")).select("template_id", F.slice("path", 1, 2).alias("path"), F.coalesce("bv", "hv").alias("type"))
+    kinds = heads.where("kind is not null").select("template_id", F.col("owner").alias("path"), F.coalesce("kind.bv", "kind.hv").alias("type"))
     ends = ends.join(kinds, ["template_id", "path"], "left").select("template_id", "path", "change", "type")
     alone = _one_sided(base, head, odd) if odd.where((F.size("path") == 2) & (_key(0) == "Resources")).take(1) else ends.select("template_id", "change", "type").where("false")
     across = F.when(F.col("change") == "added", "removed").otherwise("added").alias("change")

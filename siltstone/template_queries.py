@@ -323,7 +323,8 @@ def review_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of changes and limitations of each comparison."""
     base, head = _versions(spark, sf_dir)
-    return semantic.summary(semantic.changes(base, head), semantic.limitations(base, head), made.templates(spark, sf_dir, "base"))
+    limits = settled(semantic.limitations(base, head))
+    return semantic.summary(semantic.changes(base, head, limits=limits), limits, made.templates(spark, sf_dir, "base"))
 
 
 # Facts: references in all of a resource, parameters, availability, statistics.

@@ -2,9 +2,10 @@
 
 import json
 
+from siltstone.operators import semantic
 from siltstone.plans.settle import settled
 from siltstone.rules import iam, network, quality
-from siltstone.sources import made
+from siltstone.sources import made, templates
 from siltstone.sources.templates import Relations, nodes
 
 
@@ -45,3 +46,17 @@ def test_quality_rules_read_the_nodes_three_times_and_what_is_told_of_parameters
 
 def test_network_rules_read_the_nodes_for_two_properties_only(spark):
     assert _reads(network.findings(_relations(spark, "templates")), "path", "dup_key") == 2
+
+
+def _dealt(spark, monkeypatch, kind, n_bytes):
+    """A node table of many tasks, however small."""
+    monkeypatch.setattr(templates, "TASK_BYTES", n_bytes)
+    texts = [(str(i), text.replace(made.KEY, str(i))) for i, text in enumerate(made._variants(kind))]
+    return settled(nodes(spark.createDataFrame(texts, "template_id string, text string")))
+
+
+def test_versions_are_compared_without_a_join_in_as_many_tasks_as_they_have(spark, monkeypatch):
+    base, head = (_dealt(spark, monkeypatch, kind, 500) for kind in ("base", "head"))
+    tasks = base.rdd.getNumPartitions() + head.rdd.getNumPartitions()
+    both = semantic._compared(base, head, base.where("false"))
+    assert tasks > 4 and both.rdd.getNumPartitions() == tasks and "Join " not in _plan(both)
