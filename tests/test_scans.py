@@ -2,6 +2,7 @@
 
 import json
 
+from siltstone import report_queries
 from siltstone.operators import semantic
 from siltstone.plans.settle import settled
 from siltstone.rules import iam, network, quality
@@ -60,3 +61,10 @@ def test_versions_are_compared_without_a_join_in_as_many_tasks_as_they_have(spar
     tasks = base.rdd.getNumPartitions() + head.rdd.getNumPartitions()
     both = semantic._compared(base, head, base.where("false"))
     assert tasks > 4 and both.rdd.getNumPartitions() == tasks and "Join " not in _plan(both)
+
+
+def test_documents_of_parts_are_made_after_parts_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(report_queries, "TASK_PARTS", 50)
+    plan = _plan(report_queries.template_structures(spark, "/root/testdata/sf0.001"))
+    made_at, dealt_at = plan.index("transform("), [i for i in range(len(plan)) if plan.startswith("RepartitionByExpression", i)]
+    assert len(dealt_at) == 2 and dealt_at[0] < made_at < dealt_at[1]
