@@ -2,10 +2,12 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from siltstone import report_queries
 from siltstone.operators import semantic
 from siltstone.plans.settle import settled
-from siltstone.rules import iam, network, quality
+from siltstone.rules import iam, network, profiles, quality
 from siltstone.sources import made, templates
 from siltstone.sources.templates import Relations, nodes
 
@@ -68,3 +70,10 @@ def test_documents_of_parts_are_made_after_parts_are_dealt(spark, monkeypatch):
     plan = _plan(report_queries.template_structures(spark, "/root/testdata/sf0.001"))
     made_at, dealt_at = plan.index("transform("), [i for i in range(len(plan)) if plan.startswith("RepartitionByExpression", i)]
     assert len(dealt_at) == 2 and dealt_at[0] < made_at < dealt_at[1]
+
+
+def test_profile_rules_join_nothing_and_hold_what_a_task_parsed(spark, monkeypatch):
+    table = _dealt(spark, monkeypatch, "policies", 2_000)
+    relations, targets = Relations(table), table.where("ord = 0").select("template_id", F.lit("It").alias("logical_id"))
+    for found in (profiles.billing_mode(relations, targets), profiles.inline_statements(relations, targets, "s")):
+        assert relations.tasks > 3 and found.rdd.getNumPartitions() == relations.tasks and "Join " not in _plan(found) and found.count() == targets.count()
