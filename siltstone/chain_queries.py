@@ -89,25 +89,24 @@ def chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "lineitem")
     k = F.col("o_orderkey")
     repo = F.lit("repo").alias("repo")
-    named = lambda prefix, of, keep: orders.where(keep).select(repo, F.concat(F.lit(prefix), of.cast("string")).alias("commit")).distinct()
-    commits = named("h", k, k % 13 != 0).unionByName(named("b", k % 50, k % 50 % 17 != 0)).unionByName(named("c", k % 20, k % 20 % 9 != 0))
-    pair = lambda a, b, keep: orders.where(keep).select(repo, F.concat(*a).alias("ancestor"), F.concat(*b).alias("commit")).distinct()
+    named = lambda prefix, of, keep: orders.where(keep).select(repo, F.concat(F.lit(prefix), of.cast("string")).alias("commit"))
+    commits = named("h", k, k % 13 != 0).unionByName(named("b", k % 50, k % 50 % 17 != 0).distinct()).unionByName(named("c", k % 20, k % 20 % 9 != 0).distinct())
+    pair = lambda a, b, keep: orders.where(keep).select(repo, F.concat(*a).alias("ancestor"), F.concat(*b).alias("commit"))
     base, head, config = ((F.lit(p), n.cast("string")) for p, n in (("b", k % 50), ("h", k), ("c", k % 20)))
-    ancestry = pair(base, head, k % 11 != 0).unionByName(pair(config, base, (k % 20 + k % 50) % 7 != 0))
+    ancestry = pair(base, head, k % 11 != 0).unionByName(pair(config, base, (k % 20 + k % 50) % 7 != 0).distinct())
     side = (k % 20 + k % 3) % 11
     blobs = orders.where(side != 0).select(repo, F.concat(*config).alias("commit"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("path"), F.when(side == 1, "120000").otherwise("100644").alias("mode"), F.concat_ws("-", F.concat(F.lit("k"), (k % 20).cast("string")), (k % 3).cast("string")).alias("sha256")).distinct()
-    chains = chain.with_history(_columns(orders, _CHAINS), commits, ancestry, blobs)
+    chains = _columns(orders, _CHAINS)
     reports = _columns(orders.where("day(o_orderdate) <> 8"), _REPORTS)
     reviews = _columns(orders.where("day(o_orderdate) <> 14"), _REVIEWS)
     line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     findings = lines.where("l_quantity <> 5").select(F.col("l_orderkey").alias("chain_id"), F.col("l_linenumber").alias("finding_id"), line.alias("sha256"), line.alias("identity"))
-    asked = lines.where("l_linenumber < 4").select(F.col("l_orderkey").alias("chain_id"), F.col("l_linenumber").alias("finding_id"), F.when(F.col("l_orderkey") % 61 == 0, "x").otherwise(line).alias("sha256"), F.when(F.col("l_orderkey") % 67 == 0, "x").otherwise(line).alias("identity")).distinct()
+    asked = lines.where("l_linenumber < 4").select(F.col("l_orderkey").alias("chain_id"), F.col("l_linenumber").alias("finding_id"), F.when(F.col("l_orderkey") % 61 == 0, "x").otherwise(line).alias("sha256"), F.when(F.col("l_orderkey") % 67 == 0, "x").otherwise(line).alias("identity"))
     gates = orders.select(k.alias("chain_id"), F.expr(_GATES).alias("code")).where("code is not null")
-    own = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").distinct().join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    own = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber").join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
     n, store = F.col("l_linenumber"), F.col("o_custkey").cast("string")
     evidence = own.select(k.alias("chain_id"), n.alias("evidence_id"), F.when(n == 5, "s0-").when(n != 6, F.concat(F.lit("s"), store)).alias("revision"), F.when(n != 6, F.concat(F.lit("m"), store)).alias("manifest_sha256"), F.when(k % 71 == 0, "other").otherwise("own").alias("repository"))
-    found = settled(chain.links(chains, reports, reviews, findings, asked, gates, evidence))
-    return found.unionByName(chain.composed(found).select("chain_id", F.lit("chain").alias("link"), "status", F.lit("").alias("codes")))
+    return chain.judged(chains, chain.history(chains, commits, ancestry, blobs), reports, reviews, findings, asked, gates, evidence)
 
 
 #: A gate a customer: its orders of status F are reviewers of its candidate, others are records of them.
