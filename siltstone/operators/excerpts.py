@@ -28,12 +28,36 @@ def bounded(nodes: DataFrame, base: int, text: int = TEXT, items: int = ITEMS, k
 
     Of a list the first `items` stay, of a mapping the first `keys` in the order of the source, and one more entry tells how many
     more there are; a list or mapping `depth` steps below a value is a text that tells its size; texts are cut. What stands
-    below an entry that goes, goes with it: cuts are looked for among the places above a node, by equality. Scalars that are
-    no texts stay as they are; errors and null paths are left out.
+    below an entry that goes, goes with it. Scalars that are no texts stay as they are; errors and null paths are left out.
+
+    A table with the places of its nodes is taken row by row: nothing is moved or kept. Of one without, places are settled first.
     """
     size = F.size("path")
-    rows = nodes.where((F.col("vtype") != "error") & (size >= base) & (size <= base + depth + 1)).select("template_id", "path", "vtype", "sval", "ord")
-    rows = settled(rows.withColumns({"deep": size - base, "parent": F.slice("path", 1, size - 1)}))
+    within = (F.col("vtype") != "error") & (size >= base)
+    kept = (_in_place if "places" in nodes.columns else _by_parents)(nodes.where(within).withColumn("deep", size - base), base, items, keys, depth)
+    container = F.col("vtype").isin(*DEEP)
+    low = container & (F.col("deep") == depth)
+    shape = F.when(F.col("vtype") == "map", _told(DEEP["map"], F.col("n"), "key")).otherwise(_told(DEEP["list"], F.col("n"), "item"))
+    short = F.when((F.col("vtype") == "str") & (F.length("sval") > text), F.concat(F.substring("sval", 1, text), F.lit(CUT_TEXT))).otherwise(F.col("sval"))
+    over = F.col("n") - F.when(F.col("vtype") == "map", keys).otherwise(items)
+    last = F.when(F.col("vtype") == "map", KEY_OF_CUT).otherwise(str(items))
+    said = F.when(F.col("vtype") == "map", _told(CUT_KEYS, over, "key")).otherwise(_told(CUT_ITEMS, over, "item"))
+    own = F.struct("path", F.when(low, "str").otherwise(F.col("vtype")).alias("vtype"), F.when(low, shape).otherwise(short).alias("sval"))
+    mark = F.struct(F.concat("path", F.array(last)).alias("path"), F.lit("str").alias("vtype"), said.alias("sval"))
+    return kept.select("template_id", F.inline(F.when(container & ~low & (over > 0), F.array(own, mark)).otherwise(F.array(own))))
+
+
+def _in_place(rows: DataFrame, base: int, items: int, keys: int, depth: int) -> DataFrame:
+    """(template_id, path, vtype, sval, deep, n) of the nodes that stay, by the places of their steps."""
+    below = F.slice("places", base + 1, depth)
+    stays = (F.coalesce(F.array_max(below), F.lit(-1)) < keys) & (F.coalesce(F.array_min(below), F.lit(0)) >= -items)
+    return rows.where((F.col("deep") <= depth) & stays).select("template_id", "path", "vtype", "sval", "deep", F.col("entries").alias("n"))
+
+
+def _by_parents(rows: DataFrame, base: int, items: int, keys: int, depth: int) -> DataFrame:
+    """The same of a table without places: nodes are numbered under their parents, and cuts looked for among the places above a node, by equality."""
+    size = F.size("path")
+    rows = settled(rows.where(F.col("deep") <= depth + 1).select("template_id", "path", "vtype", "sval", "ord", "deep", F.slice("path", 1, size - 1).alias("parent")))
     inside = Window.partitionBy("template_id", "parent").orderBy("ord")
     ranked = rows.where("deep > 0").withColumn("rank", F.row_number().over(inside))
     counts = ranked.groupBy("template_id", F.col("parent").alias("path")).agg(F.max("rank").alias("n"))
@@ -46,14 +70,4 @@ def bounded(nodes: DataFrame, base: int, text: int = TEXT, items: int = ITEMS, k
         gone = kept.where(F.col("deep") > 0).select("template_id", "path", above.alias("up")).join(cut, ["template_id", "up"], "left_semi").select("template_id", "path").distinct()
         kept = kept.join(gone, ["template_id", "path"], "left_anti")
     kept = kept.join(counts, ["template_id", "path"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    kept = settled(kept.select("template_id", "path", "vtype", "sval", "deep", "n"))
-    container = F.col("vtype").isin(*DEEP)
-    low = container & (F.col("deep") == depth)
-    shape = F.when(F.col("vtype") == "map", _told(DEEP["map"], F.col("n"), "key")).otherwise(_told(DEEP["list"], F.col("n"), "item"))
-    short = F.when((F.col("vtype") == "str") & (F.length("sval") > text), F.concat(F.substring("sval", 1, text), F.lit(CUT_TEXT))).otherwise(F.col("sval"))
-    plain = kept.select("template_id", "path", F.when(low, "str").otherwise(F.col("vtype")).alias("vtype"), F.when(low, shape).otherwise(short).alias("sval"))
-    over = F.col("n") - F.when(F.col("vtype") == "map", keys).otherwise(items)
-    last = F.when(F.col("vtype") == "map", KEY_OF_CUT).otherwise(str(items))
-    said = F.when(F.col("vtype") == "map", _told(CUT_KEYS, over, "key")).otherwise(_told(CUT_ITEMS, over, "item"))
-    marks = kept.where(container & ~low & (over > 0)).select("template_id", F.concat("path", F.array(last)).alias("path"), F.lit("str").alias("vtype"), said.alias("sval"))
-    return plain.unionByName(marks)
+    return kept.select("template_id", "path", "vtype", "sval", "deep", "n")

@@ -3,6 +3,7 @@
 import json
 import random
 
+from siltstone import report_queries
 from siltstone.operators import excerpts
 from siltstone.sources.templates import nodes
 
@@ -56,3 +57,31 @@ def test_excerpts_equal_a_walk(spark):
                 expected |= {(i, p): x for p, x in out.items()}
         assert got == expected
     assert excerpts.bounded(table.where("false"), 1).count() == 0
+
+
+def test_excerpts_by_places_equal_a_walk_and_move_nothing(spark):
+    rng = random.Random(13)
+    docs = {str(i): {"A": some(rng, 0), "B": [some(rng, 0)]} for i in range(60)} | {"numbers": {"A": {"0": [[]], "1": {"1": 1, "0": [2]}, "x": [1, [2], 3]}}, "empty": {}}
+    rows = [(i, json.dumps(d)) for i, d in docs.items()] + [("bad", "{"), ("again", '{"A": {"x": 1, "y": 2, "x": [3, 4, 5], "z": {"y": 1, "y": 2}, "w": 6}}')]
+    docs["again"] = {"A": {"y": 2, "x": [3, 4, 5], "z": {"y": 2}, "w": 6}}
+    table = nodes(spark.createDataFrame(rows, "template_id string, text string").coalesce(1), places=True, dealt=True)
+    for bounds in ({"text": 5, "items": 2, "keys": 3, "depth": 3}, {"text": 8, "items": 4, "keys": 1, "depth": 1}, {"depth": 0}, {}):
+        full = {"text": excerpts.TEXT, "items": excerpts.ITEMS, "keys": excerpts.KEYS, "depth": excerpts.DEPTH} | bounds
+        made = excerpts.bounded(table, 1, **bounds)
+        assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+        found = [(r.template_id, tuple(r.path), r.vtype, r.sval) for r in made.collect()]
+        expected = []
+        for i, d in docs.items():
+            for k, v in d.items():
+                out = {}
+                walked(v, (k,), 0, out=out, **full)
+                expected += [(i, p, *x) for p, x in out.items()]
+        assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+def test_excerpts_of_orders_keep_nothing_on_disk(spark, monkeypatch):
+    kept = []
+    for module in (excerpts, report_queries):
+        monkeypatch.setattr(module, "settled", lambda df: kept.append(df) or df)
+    assert report_queries.bounded_excerpts(spark, "/root/testdata/sf0.001").count() > 0
+    assert not kept
